@@ -1,9 +1,334 @@
-"""The registered queries of the gridded-data operators."""
+"""The registered queries of the gridded-data operators, and their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from .functions import identity, periods
+from .operators import catalog, cells, export, series, zones
+from .plans import sync
+
+AS_OF = "2001-06-30"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+_CELLS = """cells AS (SELECT 'grid_daily' AS dataset_id, l_shipdate AS time, l_partkey % 68 AS ix, l_suppkey % 62 AS iy,
+  -13.5e0 + (l_partkey % 68) * 5e-2 AS lon, 10e0 - (l_suppkey % 62) * 5e-2 AS lat, l_quantity AS value, l_orderkey AS granule, l_linenumber AS line FROM lineitem)"""
+_HOURLY = """hourly AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS time, user_id::DOUBLE AS lon, sum(value) AS value FROM events GROUP BY ALL)"""
+_TYPE = "list_extract(['hourly', 'daily', 'monthly', 'yearly'], (o_custkey % 50 % 4 + 1)::INT)"
+_PERIOD = "CASE {p} WHEN 'hourly' THEN strftime({t}, '%Y-%m-%dT%H') WHEN 'daily' THEN strftime({t}, '%Y-%m-%d') WHEN 'monthly' THEN strftime({t}, '%Y-%m') ELSE strftime({t}, '%Y') END"
+_BOX_TEXT = "printf('%.6f,%.6f,%.6f,%.6f', (o_custkey % 4) - 13.5e0, 6.9e0, (o_custkey % 4) - 12.5e0, 10e0)"
+
+
+def _adler(text: str) -> str:
+    a = f"list_transform(range(0, length({text}) + 1), lambda n: (1 + list_sum(list_transform(range(1, n + 1), lambda i: ord(substr({text}, i, 1)))))::BIGINT % 65521)"
+    return f"(SELECT printf('%08x', ((list_sum(z[2:]) % 65521) * 65536 + z[-1])::BIGINT) FROM (SELECT list_transform({a}, lambda x: coalesce(x, 1)) AS z))"
+
+
+_ARTIFACTS = f"""boxes AS (SELECT bk, {_adler('t')} AS hash FROM (SELECT DISTINCT o_custkey % 4 AS bk, {_BOX_TEXT} AS t FROM orders)),
+base AS (SELECT o_orderkey AS seq, 'ds_' || (o_custkey % 50) AS dataset_id, o_custkey % 50 AS k,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'ext_a' WHEN o_orderpriority LIKE '2%' THEN 'ext_b' END AS extent_id,
+  CASE WHEN o_orderpriority LIKE '3%' THEN o_custkey % 4 END AS box,
+  CASE WHEN o_orderstatus = 'P' THEN 'netcdf' ELSE 'zarr' END AS format, o_orderstatus = 'F' AS is_published, o_orderdate AS created_at,
+  {_PERIOD.format(t='o_orderdate', p=_TYPE)} AS coverage_end FROM orders),
+artifacts AS (SELECT base.*, dataset_id || '_' || coalesce(extent_id, 'bbox_' || hash, 'global') AS managed_id,
+  CASE WHEN k < 48 THEN list_extract(['hourly', 'daily', 'monthly', 'yearly'], (base.k % 4 + 1)::INT) END AS period_type
+  FROM base LEFT JOIN boxes ON base.box = boxes.bk),
+latest AS (SELECT * FROM artifacts QUALIFY row_number() OVER (PARTITION BY managed_id ORDER BY created_at DESC, seq) = 1)"""
+_ZONES = """zones AS (SELECT n_nationkey AS k, 'N' || n_nationkey AS zone_id, n_name AS name, -13.525e0 + (n_nationkey % 5) * 7e-1 AS x0, 10.025e0 - (n_nationkey // 5) * 6e-1 AS y1 FROM nation),
+corners(i, a, b) AS (VALUES (0, 0e0, 0e0), (1, 7e-1, 0e0), (2, 7e-1, 3e-1), (3, 35e-2, 3e-1), (4, 35e-2, 6e-1), (5, 0e0, 6e-1)),
+edges AS (SELECT zone_id, x0 + p.a AS x1, y1 - p.b AS y1, x0 + q.a AS x2, y1 - q.b AS y2 FROM zones, corners p JOIN corners q ON q.i = (p.i + 1) % 6)"""
+_INSIDE = """positions AS (SELECT DISTINCT lon, lat FROM cells),
+inside AS (SELECT zone_id, lon, lat FROM positions, edges WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+def query(sql: str | None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _managed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.with_managed_id(fx.artifacts(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# --- cells ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_CELLS} SELECT dataset_id, strftime(min(time), '%Y-%m-%d') AS start, strftime(max(time), '%Y-%m-%d') AS "end", min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax
+FROM cells WHERE time >= '1996-01-01' AND time < '1999-01-01' AND lon BETWEEN -13e0 AND -11e0 AND lat BETWEEN 8e0 AND 9.5e0 GROUP BY dataset_id""")
+def subset_coverage(spark, sf_dir):
+    return cells.coverage(cells.subset(fx.daily_cells(spark, sf_dir), "1996", "1998", (-13.0, 8.0, -11.0, 9.5)), F.lit("daily"))
+
+
+@query(f"""WITH {_CELLS}, c AS (SELECT dataset_id, min(time) AS "start", max(time) AS "end", min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM cells GROUP BY 1)
+SELECT t.dataset_id, c."start", c."end", xmin, ymin, xmax, ymax FROM (SELECT DISTINCT CASE WHEN o_custkey % 50 = 0 THEN 'grid_daily' ELSE 'ds_' || (o_custkey % 50) END AS dataset_id FROM orders WHERE o_custkey % 50 < 48) t LEFT JOIN c USING (dataset_id)""")
+def template_coverage(spark, sf_dir):
+    t = fx.templates(spark, sf_dir).select(F.when(F.col("dataset_id") == "ds_0", "grid_daily").otherwise(F.col("dataset_id")).alias("dataset_id"))
+    return cells.with_coverage(t, cells.coverage(fx.daily_cells(spark, sf_dir)))
+
+
+@query(f"""WITH {_CELLS} SELECT dataset_id, time, lon, lat, value FROM cells QUALIFY row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule DESC, line DESC) = 1""")
+def mosaic_newest_wins(spark, sf_dir):
+    c = cells.mosaic(fx.daily_cells(spark, sf_dir), [F.desc("granule"), F.desc("line")], ["dataset_id", "time", "ix", "iy"])
+    return c.select(*cells.KEY, "value")
+
+
+@query(f"""WITH {_CELLS} SELECT (date_diff('day', DATE '1970-01-01', time::DATE) // 30)::BIGINT AS time_chunk, (ix // 8)::BIGINT AS tile_x, (iy // 8)::BIGINT AS tile_y, count(*) AS n, sum(value) AS total FROM cells GROUP BY ALL""")
+def chunk_layout(spark, sf_dir):
+    laid = cells.with_layout(fx.daily_cells(spark, sf_dir), "daily", F.col("ix"), F.col("iy"), spatial=8)
+    return laid.groupBy("time_chunk", "tile_x", "tile_y").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT *, row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule, line) AS n, min(granule) OVER (PARTITION BY time, ix, iy) AS g FROM cells WHERE time >= '1996-01-01' AND time < '1997-01-01')
+SELECT strftime(time, '%Y-%m') AS month, count(*) AS added FROM k WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM cells s WHERE s.time = k.time AND s.ix = k.ix AND s.iy = k.iy AND s.granule % 2 = 0) GROUP BY 1""")
+def incremental_append(spark, sf_dir):
+    c = fx.daily_cells(spark, sf_dir)
+    stored = c.where("granule % 2 = 0")
+    added = cells.append_missing(stored, cells.subset(c, "1996", "1996"), ["dataset_id", "time", "ix", "iy"])
+    return added.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("added"))
+
+
+@query(f"""WITH {_CELLS} SELECT dataset_id, time, lon, lat, CASE WHEN value <> 50 THEN value END AS value FROM cells WHERE time >= '1997-03-01' AND time < '1997-04-01'""")
+def nodata_filter(spark, sf_dir):
+    return cells.without_nodata(cells.subset(fx.daily_cells(spark, sf_dir), "1997-03", "1997-03").select(*cells.KEY, "value"), 50.0)
+
+
+@query(f"""WITH {_CELLS} SELECT time, lat, lon FROM cells WHERE time >= '1996-06-01' AND time < '1996-07-01' AND lon BETWEEN -13e0 AND -12e0 AND lat BETWEEN 8e0 AND 9e0 ORDER BY time, lat, lon LIMIT 20""")
+def preview(spark, sf_dir):
+    return cells.preview(cells.subset(fx.daily_cells(spark, sf_dir), "1996-06", "1996-06", (-13.0, 8.0, -12.0, 9.0))).select("time", "lat", "lon")
+
+
+@query(f"""WITH {_CELLS} SELECT count(DISTINCT granule) AS file_count, strftime(min(time), '%Y-%m-%d') AS start, strftime(max(time), '%Y-%m-%d') AS "end", 'completed' AS status, count(DISTINCT granule) || ' files' AS message FROM cells""")
+def run_summary(spark, sf_dir):
+    return export.run_summary(fx.daily_cells(spark, sf_dir), "granule")
+
+
+# --- periods and identity ------------------------------------------------------------------------
+
+
+@query(f"SELECT o_orderkey, {_TYPE} AS period_type, {_PERIOD.format(t='o_orderdate', p=_TYPE)} AS period FROM orders")
+def period_strings(spark, sf_dir):
+    return fx.artifacts(spark, sf_dir).select(F.col("seq").alias("o_orderkey"), F.col("own_type").alias("period_type"), F.col("coverage_end").alias("period"))
+
+
+@query(f"""SELECT o_orderkey, CASE {_TYPE} WHEN 'hourly' THEN strftime(date_trunc('hour', o_orderdate) + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') WHEN 'daily' THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d')
+WHEN 'monthly' THEN strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m') ELSE strftime(date_trunc('year', o_orderdate) + INTERVAL 1 YEAR, '%Y') END AS next_start FROM orders""")
+def next_period_start(spark, sf_dir):
+    return fx.artifacts(spark, sf_dir).select(F.col("seq").alias("o_orderkey"), periods.next_period_start(F.col("coverage_end"), F.col("own_type")).alias("next_start"))
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, o_orderdate AS t, {_TYPE} AS k FROM orders) SELECT o_orderkey, date_trunc(CASE k WHEN 'hourly' THEN 'hour' WHEN 'daily' THEN 'day' WHEN 'monthly' THEN 'month' ELSE 'year' END, t)::TIMESTAMP AS lower,
+CASE k WHEN 'hourly' THEN date_trunc('hour', t) + INTERVAL 1 HOUR WHEN 'daily' THEN date_trunc('day', t) + INTERVAL 1 DAY WHEN 'monthly' THEN date_trunc('month', t) + INTERVAL 1 MONTH ELSE date_trunc('year', t) + INTERVAL 1 YEAR END::TIMESTAMP AS upper FROM p""")
+def period_bounds(spark, sf_dir):
+    p = F.col("coverage_end")
+    return fx.artifacts(spark, sf_dir).select(F.col("seq").alias("o_orderkey"), periods.lower_bound(p).alias("lower"), periods.upper_bound(p).alias("upper"))
+
+
+@query(f"WITH {_ARTIFACTS} SELECT seq, managed_id FROM artifacts")
+def managed_id(spark, sf_dir):
+    return _managed(spark, sf_dir).select("seq", "managed_id")
+
+
+@query(f"WITH b AS (SELECT DISTINCT {_BOX_TEXT} AS bbox FROM orders WHERE o_orderpriority LIKE '3%') SELECT bbox, {_adler('bbox')} AS hash FROM b")
+def bbox_hash(spark, sf_dir):
+    b = fx.artifacts(spark, sf_dir).where("bbox is not null").select(identity.bbox_text(F.col("bbox")).alias("bbox")).distinct()
+    return b.select("bbox", identity.adler32(F.col("bbox")).alias("hash"))
+
+
+@query("""SELECT o_orderkey, (o_custkey % 4) - 13.5e0 AS xmin, CASE WHEN o_orderkey % 3 = 0 THEN 6.9e0 END AS ymin, o_orderkey % 3 = 0 AS whole FROM (SELECT * FROM orders) WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, NULL, NULL, false FROM orders WHERE o_orderkey % 3 <> 0""")
+def bbox_parse(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    text = F.expr("concat(' ', (o_custkey % 4) - 13.5e0, ' ,6.9,', CASE o_orderkey % 3 WHEN 0 THEN '1, 2' WHEN 1 THEN '1' ELSE '1,north' END)")
+    box = identity.parsed_bbox(text)
+    return o.select("o_orderkey", box["xmin"].alias("xmin"), box["ymin"].alias("ymin"), box.isNotNull().alias("whole"))
+
+
+# --- catalog -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT managed_id, dataset_id, coalesce(period_type, 'unknown') AS period_type, CASE WHEN period_type IS NOT NULL THEN 'Short ' || k END AS short_name, coverage_end, format, seq FROM latest""")
+def catalog_list(spark, sf_dir):
+    return catalog.datasets(_managed(spark, sf_dir), fx.templates(spark, sf_dir)).select("managed_id", "dataset_id", "period_type", "short_name", "coverage_end", "format", "seq")
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT managed_id, row_number() OVER (PARTITION BY managed_id ORDER BY created_at DESC, seq)::INTEGER AS version_no, seq, format, coverage_end FROM artifacts""")
+def version_history(spark, sf_dir):
+    return catalog.version_history(_managed(spark, sf_dir)).select("managed_id", "version_no", "seq", "format", "coverage_end")
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT managed_id, string_agg(seq || ':' || format, ',' ORDER BY created_at DESC, seq) AS versions, count(*) AS n FROM artifacts GROUP BY 1""")
+def dataset_details(spark, sf_dir):
+    d = catalog.dataset_details(_managed(spark, sf_dir).withColumn("id", F.col("seq")), ["id", "format"])
+    return d.select("managed_id", F.array_join(F.transform("versions", lambda v: F.concat_ws(":", v["id"], v["format"])), ",").alias("versions"), F.size("versions").cast("bigint").alias("n"))
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT r.seq AS request_id, max(a.seq) AS seq FROM base r JOIN base a ON a.dataset_id = r.dataset_id AND a.extent_id IS NOT DISTINCT FROM r.extent_id AND a.box IS NOT DISTINCT FROM r.box
+WHERE a.format = 'zarr' AND r.seq % 100 = 0 GROUP BY 1""")
+def dedup_lookup(spark, sf_dir):
+    a = fx.artifacts(spark, sf_dir).select("seq", "dataset_id", "extent_id", "bbox", "format")
+    return catalog.dedup_lookup(a, a.where("seq % 100 = 0").withColumnRenamed("seq", "request_id"), ["extent_id", "bbox"], prefer_zarr=True)
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT managed_id, max(seq) AS seq FROM artifacts WHERE is_published GROUP BY 1""")
+def published_collections(spark, sf_dir):
+    return catalog.published_collections(_managed(spark, sf_dir)).select("managed_id", "seq")
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT seq, 'published' AS status, CASE WHEN NOT is_published THEN managed_id END AS collection_id, CASE WHEN NOT is_published THEN '/ogcapi/collections/' || managed_id END AS path FROM artifacts""")
+def publish(spark, sf_dir):
+    p = catalog.published(_managed(spark, sf_dir), F.lit(AS_OF))
+    return p.select("seq", "publication.status", "publication.collection_id", "publication.path")
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT managed_id, seq FROM latest ORDER BY managed_id LIMIT 20 OFFSET 20""")
+def catalog_page(spark, sf_dir):
+    return catalog.page(catalog.latest(_managed(spark, sf_dir)).select("managed_id", "seq"), "managed_id", offset=20)
+
+
+@query("""WITH t AS (SELECT DISTINCT o_custkey % 50 AS k FROM orders) SELECT 'ds_' || k AS id, CASE WHEN k % 3 = 0 THEN 'second' ELSE 'first' END AS origin, k AS position FROM t WHERE k < 48""")
+def template_union(spark, sf_dir):
+    t = fx.templates(spark, sf_dir).select(F.col("dataset_id").alias("id"), "position")
+    return catalog.template_union([t.withColumn("origin", F.lit("first")), t.where("position % 3 = 0").withColumn("origin", F.lit("second"))])
+
+
+@query("""SELECT 'ext_' || (o_custkey % 20) AS id, min(o_orderkey) AS position FROM orders GROUP BY 1""")
+def extent_first(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "orders").selectExpr("concat('ext_', o_custkey % 20) AS id", "o_orderkey AS position")
+    return catalog.first_extents(e)
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT seq, CASE WHEN k >= 48 THEN 'unknown dataset' WHEN extent_id = 'ext_b' THEN 'unknown extent' END AS reason FROM base""")
+def request_resolution(spark, sf_dir):
+    r = fx.artifacts(spark, sf_dir).select("seq", "dataset_id", "extent_id")
+    e = fx.artifacts(spark, sf_dir).where("extent_id = 'ext_a'").select(F.col("extent_id").alias("id")).distinct().selectExpr("id", "array(0e0, 0e0, 1e0, 1e0) AS bbox", "'X' AS country_code")
+    found, lost = catalog.matched_requests(r, fx.templates(spark, sf_dir), e)
+    return found.select("seq", F.lit(None).cast("string").alias("reason")).unionByName(lost.select("seq", "reason"))
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT managed_id, CASE WHEN period_type IS NULL THEN 'unknown' WHEN n > '{AS_OF}' THEN 'up_to_date' ELSE 'due' END AS status, CASE WHEN n <= '{AS_OF}' THEN n END AS start, CASE WHEN n <= '{AS_OF}' THEN '{AS_OF}' END AS "end", extent_id
+FROM (SELECT *, CASE period_type WHEN 'hourly' THEN strftime(date_trunc('hour', created_at) + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') WHEN 'daily' THEN strftime(created_at + INTERVAL 1 DAY, '%Y-%m-%d')
+WHEN 'monthly' THEN strftime(date_trunc('month', created_at) + INTERVAL 1 MONTH, '%Y-%m') WHEN 'yearly' THEN strftime(date_trunc('year', created_at) + INTERVAL 1 YEAR, '%Y') END AS n FROM latest)""")
+def sync_plan(spark, sf_dir):
+    return sync.sync_plan(_managed(spark, sf_dir), fx.templates(spark, sf_dir), None, AS_OF).select("managed_id", "status", "start", "end", "extent_id")
+
+
+# --- series --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_HOURLY} SELECT time, lon, round(value, 6) AS value FROM hourly")
+def deaccumulate(spark, sf_dir):
+    from pyspark.sql import Window
+
+    h = fx.hourly_cells(spark, sf_dir)
+    w = Window.partitionBy("lon", F.to_date(F.col("time") - F.expr("interval 1 hour"))).orderBy("time")
+    return _rounded(series.deaccumulate(h.withColumn("value", F.sum("value").over(w))).select("time", "lon", "value"), "value")
+
+
+@query(f"""WITH {_HOURLY}, d AS (SELECT lon, time::DATE AS day, sum(value) AS value FROM hourly GROUP BY ALL), i AS (SELECT lon, day - (row_number() OVER (PARTITION BY lon ORDER BY day))::INTEGER AS island FROM d WHERE value > 50)
+SELECT lon, max(n) AS longest_spell FROM (SELECT lon, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1""")
+def spell_length(spark, sf_dir):
+    return series.spell_length(series.resample(fx.hourly_cells(spark, sf_dir), "daily"), 50.0).select("lon", "longest_spell")
+
+
+def _resample(resolution: str, unit: str) -> None:
+    def run(spark, sf_dir):
+        return _rounded(series.resample(fx.hourly_cells(spark, sf_dir), resolution).select("lon", "time", "value"), "value")
+
+    run.__name__ = f"resample_{resolution}"
+    query(f"WITH {_HOURLY} SELECT lon, date_trunc('{unit}', time)::TIMESTAMP AS time, round(sum(value), 6) AS value FROM hourly GROUP BY ALL")(run)
+
+
+for _r, _u in (("daily", "day"), ("weekly", "week"), ("monthly", "month")):
+    _resample(_r, _u)
+
+
+@query(f"WITH {_HOURLY} SELECT time, lon, round(value - 273.15e0, 6) AS celsius, round(value * 1000e0, 6) AS mm FROM hourly")
+def unit_convert(spark, sf_dir):
+    h = fx.hourly_cells(spark, sf_dir)
+    c = series.convert_units(h, "kelvin", "degC").withColumnRenamed("value", "celsius").withColumn("value", F.col("celsius") + 273.15)
+    return _rounded(series.convert_units(c, "m", "mm").select("time", "lon", "celsius", F.col("value").alias("mm")), "celsius", "mm")
+
+
+# --- zones ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_CELLS}, {_ZONES}, {_INSIDE} SELECT zone_id, count(value) AS count, sum(value) AS sum, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM zones LEFT JOIN inside USING (zone_id) LEFT JOIN cells USING (lon, lat) GROUP BY 1""")
+def zonal_stats(spark, sf_dir):
+    return _rounded(zones.zonal_statistics(fx.daily_cells(spark, sf_dir), fx.nation_zones(spark, sf_dir), ("count", "sum", "mean", "min", "max")), "mean")
+
+
+@query(f"""WITH {_CELLS}, {_ZONES}, {_INSIDE} SELECT zone_id, median(value) AS median, round(stddev_pop(value), 6) AS std FROM zones LEFT JOIN inside USING (zone_id) LEFT JOIN cells USING (lon, lat) GROUP BY 1""")
+def zonal_median_std(spark, sf_dir):
+    return _rounded(zones.zonal_statistics(fx.daily_cells(spark, sf_dir), fx.nation_zones(spark, sf_dir), ("median", "std")), "std")
+
+
+@query(f"""WITH {_CELLS}, {_ZONES}, {_INSIDE}, touched AS (SELECT zone_id, lon, lat FROM positions, edges WHERE least(x1, x2) <= lon + 4e-2 AND greatest(x1, x2) >= lon - 4e-2 AND least(y1, y2) <= lat + 4e-2 AND greatest(y1, y2) >= lat - 4e-2
+UNION SELECT zone_id, lon, lat FROM inside)
+SELECT zone_id, count(value) AS count, sum(value) AS sum FROM zones LEFT JOIN touched USING (zone_id) LEFT JOIN cells USING (lon, lat) GROUP BY 1""")
+def zonal_all_touched(spark, sf_dir):
+    return zones.zonal_statistics(fx.daily_cells(spark, sf_dir), fx.nation_zones(spark, sf_dir), ("count", "sum"), all_touched=(0.08, 0.08))
+
+
+@query(f"""WITH {_CELLS} SELECT s_suppkey AS point_id, time, value FROM supplier JOIN cells ON cells.ix = s_suppkey % 68 AND cells.iy = s_suppkey % 62 WHERE time >= '1996-01-01' AND time < '1998-01-01'""")
+def point_values(spark, sf_dir):
+    c = cells.subset(fx.daily_cells(spark, sf_dir), "1996", "1997")
+    return zones.point_values(c, fx.points(spark, sf_dir), fx.LON0, fx.LAT0, fx.STEP, -fx.STEP).select("point_id", "time", "value")
+
+
+@query("""WITH RECURSIVE z AS (SELECT 'N' || n_nationkey AS zone_id, 'R' || n_regionkey AS parent_id, 3 AS level FROM nation UNION ALL SELECT 'R' || r_regionkey, 'ROOT', 2 FROM region),
+t AS (SELECT * FROM z WHERE zone_id = 'R1' UNION ALL SELECT z.* FROM z JOIN t ON z.parent_id = t.zone_id) SELECT zone_id, level, parent_id FROM t""")
+def unit_subtree(spark, sf_dir):
+    return zones.subtree(fx.zones(spark, sf_dir), "R1").select("zone_id", "level", "parent_id")
+
+
+@query("""SELECT 'N' || n_nationkey AS zone_id FROM nation WHERE (n_name ILIKE '%a%' OR 'R' || n_regionkey IN ('R1', 'R2')) AND NOT n_name LIKE 'U%'""")
+def attribute_filter(spark, sf_dir):
+    return zones.attribute_filter(fx.zones(spark, sf_dir), "level BETWEEN 3 AND 4 AND (name ILIKE '%a%' OR parent_id IN ('R1', 'R2')) AND NOT name LIKE 'U%' AND name IS NOT NULL").select("zone_id")
+
+
+@query(f"""WITH {_ZONES} SELECT 'R' || n_regionkey AS parent_id, round(min(x1), 6) AS xmin, round(min(e.y1), 6) AS ymin, round(max(x1), 6) AS xmax, round(max(e.y1), 6) AS ymax FROM edges e JOIN nation ON zone_id = 'N' || n_nationkey GROUP BY 1""")
+def total_bounds(spark, sf_dir):
+    return _rounded(zones.bounds(fx.nation_zones(spark, sf_dir), "parent_id"), "xmin", "ymin", "xmax", "ymax")
+
+
+_UNIT_SQL = f"""WITH {_CELLS}, {_ZONES}, {_INSIDE}, daily AS (SELECT zone_id, time, avg(value) AS v FROM cells JOIN inside USING (lon, lat) GROUP BY ALL)"""
+
+
+@query(f"{_UNIT_SQL} SELECT zone_id, date_trunc('month', time)::TIMESTAMP AS period, round(sum(v), 6) AS value FROM daily GROUP BY ALL")
+def unit_month_values(spark, sf_dir):
+    return _rounded(zones.unit_values(fx.daily_cells(spark, sf_dir), fx.nation_zones(spark, sf_dir)), "value")
+
+
+@query(f"""{_UNIT_SQL}, w AS (SELECT zone_id, isoyear(time) || 'W' || week(time) AS period, max(v) AS value FROM daily GROUP BY ALL) SELECT period, zone_id, round(value, 6) AS value FROM w""")
+def data_values(spark, sf_dir):
+    v = export.data_values(zones.unit_values(fx.daily_cells(spark, sf_dir), fx.nation_zones(spark, sf_dir), "weekly", temporal="max"), "PRECIP", "weekly")
+    d = F.from_json("data_value", "struct<period:string,orgUnit:string,value:double>")
+    return v.select(d["period"].alias("period"), d["orgUnit"].alias("zone_id"), F.round(d["value"], 6).alias("value"))
+
+
+@query("""SELECT 'station_' || (user_id % 3) AS dataset_id, count(*) AS n FROM events GROUP BY 1""")
+def station_counts(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").selectExpr("concat('station_', user_id % 3) AS dataset_id", "ts AS valid_time", "1e0 AS longitude", "2e0 AS latitude", "value AS v")
+    return cells.one_variable(e, "v").groupBy("dataset_id").agg(F.count("*").alias("n"))
