@@ -201,7 +201,8 @@ def pieces(m: Mix) -> DataFrame:
 def taken(m: Mix) -> DataFrame:
     """(source_no, first, taken): the words that the mix takes of each document, repeats counted."""
     times = m.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    return pieces(m).join(times, ["source_no", "block"]).groupBy("source_no", "first").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
+    # Spark can't tell how many slots a shard makes, so it is told not to broadcast them.
+    return pieces(m).join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "first").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(df: DataFrame, m: Mix | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
@@ -212,17 +213,17 @@ def mixed_documents(df: DataFrame, m: Mix | None = None, doc_id: str = "doc_id",
     Ids repeat where rows do. All columns of ``df`` are returned, with ``n_chars`` counted anew.
     """
     m = m or mix(df, doc_id, text, source)
-    parts = pieces(m).join(m.slots.select("source_no", "block", "pass_no"), ["source_no", "block"])
+    parts = pieces(m).join(m.slots.select("source_no", "block", "pass_no").hint("merge"), ["source_no", "block"])
     parts = parts.groupBy("source_no", "first", "pass_no").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("ranges"))
     keys = ["_id", "_source", "_size", "_row"]
-    chosen = parts.join(m.docs.where("size > 0").select("source_no", "first", F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")), ["source_no", "first"])
+    chosen = parts.hint("merge").join(m.docs.where("size > 0").select("source_no", "first", F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")), ["source_no", "first"])
     # Rows of one id, source and size share the places that these have, in an order that a rerun repeats.
     chosen = chosen.withColumn("_row", F.dense_rank().over(Window.partitionBy("_id", "_source", "_size").orderBy("first")))
     chosen = chosen.groupBy(*keys).agg(F.collect_list("ranges").alias("passes"))
     rows = df.withColumn("_n", n_words(F.col(text))).where("_n > 0")
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(doc_id, source, "_n").orderBy(F.xxhash64(text))))
     same = rows[doc_id].eqNullSafe(F.col("_id")) & rows[source].eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_row"))
-    out = rows.join(chosen, same)
+    out = rows.join(chosen.hint("merge"), same)
     out = out.withColumn("_ranges", F.explode("passes"))
     whole = F.aggregate("_ranges", F.lit(0).cast("bigint"), lambda s, r: s + r["n_words"]) == F.col("_size")
     words = F.split(F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")), " ")
