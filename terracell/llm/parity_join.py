@@ -6,14 +6,17 @@ node from the start. For the others:
 1. *Parity sketches.* A set is dealt over P words; each n-gram flips bits in the one word that its
    hash names. Two sets that differ in D n-grams differ in at most D words, and in at most D bits of
    any sketch in which an n-gram flips one bit.
-2. *Pigeonhole join per size band.* Sizes fall into bands. Within a band, and between neighbours, the
-   threshold bounds D, and P = D + 1 + spare words are kept, so that similar sets agree in more than
-   ``spare`` words. Words made by fewer than two n-grams say little and are left out; a set with more
-   of them than ``spare`` is dealt once more with another seed, and the last dealing keeps all of its
-   words, so no pair is lost. Nodes that share a word are candidates.
+2. *Pigeonhole join per size band.* Sizes fall into bands; a set is entered in its own band and in
+   those above in which it may have a partner. The threshold bounds D for a band's largest sets, and
+   P is larger than that, so similar sets have at least P - D words in common. All words of all sets
+   stand in one order: those that more n-grams made come first, then by their hash. The first common
+   word of two sets is preceded by at most D others in either, so each set is entered under its first
+   D + 1 words only, D being the most that its own size allows. Sets that share an entry are
+   candidates. Words made by few n-grams, which say little, are the ones left out.
 3. *Verify in rounds.* First each node is held against the leading node of each of its words. The
    links found make components. Then only words whose nodes are still in different components are
-   paired within themselves, under the bit sketch's bound. Every pair that might add a link between
+   paired within themselves, under the bound of a bit sketch of 512 bits. What passes, here and
+   before, meets the bound of a sketch with some bits for each n-gram. Every pair that might add a link between
    components is thus intersected exactly, and pairs whose link could change nothing are skipped, so
    that a group of thousands of near copies does not become millions of pairs.
 
@@ -38,10 +41,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_rows, mix64, slices, text_bytes
 
-#: Dealings of a set's n-grams over words; the last keeps every word.
-LEVELS = 3
-#: Words of the bit sketch, 64 bits each.
-SKETCH = 8
+#: A band's largest size as a multiple of its smallest.
+BAND = 1.6
+#: Links that a file of a round of components holds, on average.
+LINKS_A_FILE = 200_000
+#: Words kept for each word that must be entered.
+SPARE = 1.25
+#: Words of the short bit sketch, 64 bits each, and bits that the long one has for each n-gram at least.
+SKETCH, BITS = 8, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,25 +70,19 @@ class Join:
         """The most n-grams in which two linked sets of at most this size differ."""
         return 2 * size * (self.den - self.num) // (self.den + self.num)
 
-    def bands(self, size: int) -> list[tuple[int, int, int, int]]:
-        """(number, D, spare, P) of the bands in which a set of this size is entered."""
+    def bands(self, size: int) -> list[tuple[int, int, int]]:
+        """(number, D for this size, P) of the bands in which a set of this size is entered."""
         out, lo, k = [], 1, 0
         while True:
-            hi = max(lo, int(lo * 1.08 * self.den / self.num))
-            if lo <= size <= hi or (size < lo and size * self.den >= self.num * lo):
-                out.append((k, *self._parts(lo, hi)))
+            hi = max(lo, int(lo * BAND))
             if lo > size and size * self.den < self.num * lo:
                 return out
+            if size <= hi:
+                largest = min(hi, size * self.den // self.num)
+                d = (size + largest) * (self.den - self.num) // (self.den + self.num)
+                out.append((k, d, math.ceil(SPARE * (self.differing(hi) + 1))))
             lo, k = hi + 1, k + 1
 
-    def _parts(self, lo: int, hi: int) -> tuple[int, int, int]:
-        d, spare = self.differing(hi), 0
-        for _ in range(4):
-            mean = lo / (d + 1 + spare)
-            weak = (d + 1 + spare) * math.exp(-mean) * (1 + mean)
-            spare = math.ceil(weak + 2 * math.sqrt(weak))
-        return d, spare, d + 1 + spare
-
 
 def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word: runs of bytes other than space and tab to CR, A-Z lower-cased."""
@@ -138,32 +139,28 @@ def set_hash(s: np.ndarray) -> int | None:
     return int(mix64(np.array([both], np.uint64)).view(np.int64)[0])
 
 
-def bit_sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the n-grams that name each of 64 * SKETCH bits."""
-    bits = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def bit_sketch(s: np.ndarray, bits: int = 64 * SKETCH) -> np.ndarray:
+    """Parity of the n-grams that name each of a power of two of bits."""
+    count = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(count.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def long_sketch(s: np.ndarray) -> np.ndarray:
+    return bit_sketch(s, max(64 * SKETCH, 1 << (BITS * max(1, len(s)) - 1).bit_length()))
 
 
 def sketch_words(s: np.ndarray, join: Join) -> np.ndarray:
     """Keys of the parity words under which a set is entered."""
-    out = []
-    for band, d, spare, parts in join.bands(len(s)):
+    out, code = [], mix64(s ^ _STEP)
+    for band, d, parts in join.bands(len(s)):
         if not d:
             continue
-        for level in range(LEVELS):
-            code = mix64(s ^ np.uint64(0x9E3779B97F4A7C15 * (level + 1) & 0xFFFFFFFFFFFFFFFF))
-            part = ((code >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            part = part.astype(np.int64)
-            count = np.bincount(part, minlength=parts)
-            word = np.zeros(parts, np.uint64)
-            np.bitwise_xor.at(word, part, mix64(code))
-            strong = count >= 2
-            last = level == LEVELS - 1
-            use = np.flatnonzero(strong | last)
-            salt = np.uint64(((band * LEVELS + level) << 40) & 0xFFFFFFFFFFFFFFFF)
-            out.append(mix64(word[use] ^ mix64(use.astype(np.uint64) ^ salt)))
-            if parts - int(strong.sum()) <= spare:
-                break
+        part = (((code >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        count = np.bincount(part, minlength=parts)
+        word = np.zeros(parts, np.uint64)
+        np.bitwise_xor.at(word, part, mix64(code))
+        key = mix64(word ^ mix64(np.arange(parts, dtype=np.uint64) ^ np.uint64(band << 40)))
+        out.append(key[np.lexsort((key, -count))[: d + 1]])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -177,10 +174,11 @@ def _described(df: DataFrame, ngram: int) -> DataFrame:
                 sets = ngram_sets(part.column("text"), ngram)
                 sk = np.stack([bit_sketch(s) for s in sets])
                 arrays = [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(sk[:, i]) for i in range(SKETCH))], ["id", "size", "node", *cols])
+                wide = pa.array([long_sketch(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(sk[:, i]) for i in range(SKETCH)), wide], ["id", "size", "node", *cols, "wide"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return map_rows(df, run, f"id {kind}, size bigint, node bigint, " + ", ".join(f"{c} bigint" for c in cols))
+    return map_rows(df, run, f"id {kind}, size bigint, node bigint, " + ", ".join(f"{c} bigint" for c in cols) + ", wide array<bigint>")
 
 
 def _entries(df: DataFrame, join: Join) -> DataFrame:
@@ -205,12 +203,25 @@ def _entries(df: DataFrame, join: Join) -> DataFrame:
     return map_rows(df.select("text"), run, "key bigint, node bigint")
 
 
+def _most(join: Join, a: str, b: str) -> Column:
+    return F.floor((F.col(f"{a}.size") + F.col(f"{b}.size")) * (join.den - join.num) / (join.den + join.num))
+
+
 def _near(join: Join, a: str, b: str) -> Column:
-    """What linked nodes must meet: sizes within the threshold, and sketches within D bits."""
+    """What linked nodes must meet: sizes within the threshold, and short sketches within D bits."""
     size = lambda x: F.col(f"{x}.size")
     differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)])
-    most = F.floor((size(a) + size(b)) * (join.den - join.num) / (join.den + join.num))
-    return (F.least(size(a), size(b)) * join.den >= F.greatest(size(a), size(b)) * join.num) & (differ <= most)
+    return (F.least(size(a), size(b)) * join.den >= F.greatest(size(a), size(b)) * join.num) & (differ <= _most(join, a, b))
+
+
+def _within(join: Join, a: str, b: str) -> Column:
+    """Long sketches within D bits; the longer one is folded, sizes being less than a factor 2 apart."""
+    x, y = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    half = lambda w: (F.size(w) / 2).cast("int")
+    folded = lambda w: F.zip_with(F.slice(w, 1, half(w)), F.slice(w, half(w) + 1, half(w)), lambda p, q: p.bitwiseXOR(q))
+    shorter = lambda w, v: F.when(F.size(w) > F.size(v), folded(w)).otherwise(w)
+    bits = F.zip_with(shorter(x, y), shorter(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return (F.size(x) > 2 * F.size(y)) | (F.size(y) > 2 * F.size(x)) | (F.aggregate(bits, F.lit(0), lambda n, z: n + z) <= _most(join, a, b))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
@@ -248,19 +259,20 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     Large-star and small-star steps alternate until the links no longer change; each step joins the
     links with their nodes' smallest neighbours, so no neighbourhood is gathered in one place.
     """
-    e = cut(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u != v").distinct())
-    before = None
+    e, before = cut(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u != v").distinct()), None
     while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v"), F.col("v")).distinct())
+        # Few links need few files, whatever the session's count of partitions.
+        before, files = now, 1 + now[0] // LINKS_A_FILE
+        e = e.coalesce(files)
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small.where("u != v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v"), F.col("v")).distinct())
-        before = now
+        e = cut(small.where("u != v").distinct().coalesce(files))
 
 
 def groups(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,20 +280,23 @@ def groups(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     rows = cut(_described(docs, join.ngram))
     sketch = [f"s{i}" for i in range(SKETCH)]
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in sketch))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in sketch), F.first("wide").alias("wide"))
 
     by_key = Window.partitionBy("key").orderBy("node")
     led = _entries(docs, join).select("key", "node", F.first("node").over(by_key).alias("leader"), F.lag("node").over(by_key).alias("last"))
     led = cut(led.where("node != leader and node != last").select("key", "node", "leader"))
 
     def near_pairs(pairs: DataFrame) -> DataFrame:
-        a, b = nodes.alias("p"), nodes.alias("q")
-        return pairs.join(a, F.col("a") == F.col("p.node")).join(b, F.col("b") == F.col("q.node")).where(_near(join, "p", "q")).select("a", "b")
+        short, wide = nodes.select("node", "size", *sketch), nodes.select("node", "size", "wide")
+        for cols, bound in ((short, _near), (wide, _within)):
+            both = pairs.join(cols.alias("p"), F.col("a") == F.col("p.node")).join(cols.alias("q"), F.col("b") == F.col("q.node"))
+            pairs = both.where(bound(join, "p", "q")).select("a", "b")
+        return pairs
 
     stars = led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     tried = cut(near_pairs(stars))
     links = cut(_verified(tried, docs, nodes, join))
-    comp = components(links)
+    comp = cut(components(links))
 
     members = led.select("key", "node").union(led.select("key", F.col("leader").alias("node")).distinct())
     members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -290,10 +305,14 @@ def groups(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "t
     p, q = rest.alias("p"), rest.alias("q")
     crossing = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp")) & _near(join, "p", "q"))
     crossing = crossing.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(cut(crossing), docs, nodes, join)
-    comp = components(links.union(more))
-
-    ids = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("node", "rep", "comp")
+    more = _verified(cut(near_pairs(crossing)), docs, nodes, join)
+    # Links between components make components of components.
+    own = rest.select("node", "comp").distinct()
+    bridges = more.join(own.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a").join(own.select(F.col("node").alias("b"), F.col("comp").alias("v")), "b")
+    merged = components(bridges.select("u", "v"), "u", "v").select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+
+    ids = nodes.select("node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ids = ids.join(merged, "comp", "left").select("node", "rep", F.coalesce("over", "comp").alias("comp"))
     first = ids.groupBy("comp").agg(F.min("rep").alias("first"))
     ids = ids.join(first, "comp").select("node", "first")
     out = rows.select("id", "size", "node").join(ids, "node", "left")
