@@ -117,7 +117,7 @@ def likeness(a: Column | str, b: Column | str) -> Column:
     return F.when(F.size(filled) == 0, F.lit(1.0)).otherwise(F.size(F.filter(filled, lambda p: p["x"] == p["y"])) / F.size(filled))
 
 
-def edited_by_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] = ()) -> DataFrame:
+def edited_by_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] = (), ids: DataFrame | None = None) -> DataFrame:
     """doc_id, ``carry``, ``edited`` and ``next_<c>`` of each carried column, for every row.
 
     ``edited`` is the text whose last floor(n/2) code points gave way to the first as many of the
@@ -125,16 +125,20 @@ def edited_by_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     ranges by approximate quantiles; a range is sorted and walked over in one task, and the first row
     of each range is also sent to the range before it. So texts cross the network once, and neither
     all rows nor all texts of a range are held. Rows of equal ids follow each other by a hash of the text.
+    The ranges are found in passes over the ids alone; ``ids`` may name a table that has the same ids
+    and is cheaper to read than ``df``.
     """
     spark = df.sparkSession
     kind, names = df.schema[doc_id].dataType.simpleString(), list(carry)
     rows = df.select(df[doc_id].alias("id"), *names, F.coalesce(df[text], F.lit("")).alias("text"))
-    rows = rows.withColumn("at", F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")))
-    n = rows.select("at").count()
+    place = lambda c: F.coalesce(c.cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    rows = rows.withColumn("at", place(F.col("id")))
+    alone = (df if ids is None else ids).select(place(F.col(doc_id)).alias("at"))
+    n = alone.count()
     ranges = max(1, min(20_000, n // RANGE_ROWS))
     cuts: list[int] = []
     if ranges > 1:
-        cuts = sorted(set(rows.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]))
+        cuts = sorted(set(alone.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]))
     edges = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")
@@ -143,7 +147,7 @@ def edited_by_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
         return pd.Series(np.searchsorted(edges, at.to_numpy(), side="right").astype(np.int32))
 
-    first = {r["part"]: r["top"] for r in rows.select("at").withColumn("part", range_of("at")).groupBy("part").agg(F.max("at").alias("top")).collect()}
+    first = {r["part"]: r["top"] for r in alone.withColumn("part", range_of("at")).groupBy("part").agg(F.max("at").alias("top")).collect()}
     order = sorted(first)
     # A range for each RANGE_ROWS rows, 20,000 at most.
     seams = spark.createDataFrame([(p, first[p], order[(i + 1) % len(order)]) for i, p in enumerate(order)], "part int, top bigint, before int")

@@ -43,9 +43,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = lz.fingerprints(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
-    edited = lz.edited_by_next(docs, carry=["n_chars", "fingerprint"])
+    table = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = lz.fingerprints(table).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+    edited = lz.edited_by_next(docs, carry=["n_chars", "fingerprint"], ids=table)
     both = lz.fingerprints(edited, "edited", "edited_fingerprint")
     return both.select(
         "doc_id", "n_chars", _hex(F.col("edited").cast("binary")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
