@@ -35,7 +35,7 @@ MARGIN = 2
 #: Rank of a pair that is no token.
 NEVER = 1 << 40
 #: Pieces that a worker remembers (up to twice as many for a while), and the longest of them in characters.
-REMEMBERED, LONGEST = 350_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 
 
 def reduce_tree(parts: list, join: Callable, empty):

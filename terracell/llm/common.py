@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass handles at a time; bounds a worker's memory.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 _SHIPPED = "spark.terracell.shipped"
 
 
@@ -24,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     batches are bound by bytes and rows, so that long texts do not pile up in a worker.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     sc = spark.sparkContext
     done = getattr(sc, "_terracell_shipped", None)
     if done:
