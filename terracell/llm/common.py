@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass handles at a time; bounds a worker's memory.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 250_000
 _SHIPPED = "spark.terracell.shipped"
 
 
