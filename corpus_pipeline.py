@@ -59,9 +59,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
-    ranks = rank_file()
     rows = docs.select(F.struct("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).alias("row"), "text")
-    both = bpe.decode_documents(bpe.encode_documents(rows, ranks, public_tokenizers.PATTERN, "row"), ranks, public_tokenizers.PATTERN, "row")
+    both = bpe.round_trip_documents(rows, rank_file(), public_tokenizers.PATTERN, "row")
     return both.select("row.doc_id", "row.source", "row.lang", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("row.digest")).alias("round_trip"))
 
 

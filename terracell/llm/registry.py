@@ -36,9 +36,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = rank_file()
-    ids = bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    both = bpe.decode_documents(ids, ranks, public_tokenizers.PATTERN)
+    both = bpe.round_trip_documents(_table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), _hex("ids").alias("ids_sha256"), _hex("decoded").alias("decoded_sha256"))
 
 

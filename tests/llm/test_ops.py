@@ -99,6 +99,9 @@ def test_bpe_documents(spark, hard, empty):
     expect = [(i, np.array(ref.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, *_ in HARD]
     assert sorted(((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got), key=key) == sorted(expect, key=key)
     assert bpe.encode_documents(empty, ranks, public_tokenizers.PATTERN).count() == 0
+    once = rows(bpe.round_trip_documents(hard, ranks, public_tokenizers.PATTERN))
+    assert sorted(map(repr, once)) == sorted(map(repr, got))
+    assert bpe.round_trip_documents(empty, ranks, public_tokenizers.PATTERN).count() == 0
     texts = {d["doc_id"]: d["text"] for d in documents()}
     for r in rows(registry.op2_byte_bpe(spark, SF)):
         ids = np.array(ref.encode_ordinary(texts[r["doc_id"]]), "<u4").tobytes()
