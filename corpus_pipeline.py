@@ -12,7 +12,7 @@ import tempfile
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terracell.llm import bpe, langid, mixing, parity_join, pii
@@ -35,16 +35,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: the one with the smallest id."""
-    groups = parity_join.groups(docs, NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # Rows of one id are one document, of which the first by its text stays.
-    kept = docs.select(COLUMNS).join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
-    return kept.withColumn("_row", F.row_number().over(_same())).where("_row = 1").select(COLUMNS)
-
-
-def _same():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = parity_join.groups(docs, NEAR).where(first).select(*_id_key()).distinct()
+    # One shuffle by the id's key serves both the join and the window. Rows of one id are one
+    # document, of which the first by its text stays.
+    kept = docs.select(*COLUMNS, *_id_key()).join(ids, ["_id", "_no_id"], "left_semi")
+    one = Window.partitionBy("_id", "_no_id").orderBy(F.xxhash64("text"))
+    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(COLUMNS)
+
+
+def _id_key() -> list[Column]:
+    """The id as two columns without nulls, so that a plain join meets null ids too."""
+    return [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_no_id")]
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, mix64, slices, text_bytes
+from .common import cut, free, map_rows, mix64, slices, text_bytes
 
 #: A band's largest size as a multiple of its smallest.
 BAND = 1.6
@@ -294,18 +294,25 @@ def groups(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "t
         return pairs
 
     stars = led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    free(df.sparkSession)
     tried = cut(near_pairs(stars))
+    free(df.sparkSession)
     links = cut(_verified(tried, docs, nodes, join))
+    free(df.sparkSession)
     comp = cut(components(links))
+    free(df.sparkSession)
 
     members = led.select("key", "node").union(led.select("key", F.col("leader").alias("node")).distinct())
     members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
     rest = cut(members.join(mixed, "key").join(nodes, "node").select("key", "node", "comp", "size", *sketch))
+    del led, stars, members, mixed
+    free(df.sparkSession)
     p, q = rest.alias("p"), rest.alias("q")
     crossing = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp")) & _near(join, "p", "q"))
     crossing = crossing.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(cut(near_pairs(crossing)), docs, nodes, join)
+    more = cut(_verified(cut(near_pairs(crossing)), docs, nodes, join))
+    del crossing
     # Links between components make components of components.
     own = rest.select("node", "comp").distinct()
     bridges = more.join(own.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a").join(own.select(F.col("node").alias("b"), F.col("comp").alias("v")), "b")
@@ -315,5 +322,7 @@ def groups(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "t
     ids = ids.join(merged, "comp", "left").select("node", "rep", F.coalesce("over", "comp").alias("comp"))
     first = ids.groupBy("comp").agg(F.min("rep").alias("first"))
     ids = ids.join(first, "comp").select("node", "first")
+    del rest, p, q, own
+    free(df.sparkSession)
     out = rows.select("id", "size", "node").join(ids, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
