@@ -12,7 +12,7 @@ import tempfile
 import uuid
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terracell.llm import bpe, langid, mixing, parity_join, pii
@@ -34,19 +34,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one with the smallest id."""
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = parity_join.groups(docs, NEAR).where(first).select(*_id_key()).distinct()
-    # One shuffle by the id's key serves both the join and the window. Rows of one id are one
-    # document, of which the first by its text stays.
-    kept = docs.select(*COLUMNS, *_id_key()).join(ids, ["_id", "_no_id"], "left_semi")
-    one = Window.partitionBy("_id", "_no_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(COLUMNS)
-
-
-def _id_key() -> list[Column]:
-    """The id as two columns without nulls, so that a plain join meets null ids too."""
-    return [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_no_id")]
+    """Keep one document of each group of near copies: the one with the smallest id, none being last.
+
+    Texts without a word are copies of nothing and stay. Different texts without an id, or under
+    one id, are different documents; rows of one id and one text are one.
+    """
+    leading = parity_join.leading(docs, NEAR).withColumnRenamed("row", "_key")
+    # The window's shuffle serves the join as well; repeats are left out before it.
+    one = Window.partitionBy("_key").orderBy("lang", "source", "n_chars")
+    worded = docs.where(parity_join.has_word()).select(*COLUMNS, parity_join.row_key().alias("_key"))
+    kept = worded.withColumn("_row", F.row_number().over(one)).where("_row = 1").join(leading, "_key", "left_semi")
+    return kept.select(COLUMNS).unionByName(docs.where(~parity_join.has_word()).select(COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

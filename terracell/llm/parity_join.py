@@ -22,8 +22,8 @@ node from the start. For the others:
 
 Defined results: null text, or text without a word, has an empty set and links with nothing, itself
 included; a text with fewer than n words has its whole word sequence as its one n-gram; rows with
-equal sets are always linked; repeated ids share a component. Sets, nodes and n-grams are known by
-64-bit hashes. Nothing is capped: a word shared by many nodes is sorted and, where Spark finds it
+equal sets are always linked, whatever their ids; rows without an id, or with a repeated one, stand
+for themselves. Sets, nodes, n-grams and rows (id and text) are known by 64-bit hashes. Nothing is capped: a word shared by many nodes is sorted and, where Spark finds it
 large, split by its adaptive joins.
 """
 
@@ -165,7 +165,7 @@ def sketch_words(s: np.ndarray, join: Join) -> np.ndarray:
 
 
 def _described(df: DataFrame, ngram: int) -> DataFrame:
-    """id, size, node and bit sketch of every row."""
+    """id, row key, size, node and bit sketch of every row."""
     cols = [f"s{i}" for i in range(SKETCH)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +173,12 @@ def _described(df: DataFrame, ngram: int) -> DataFrame:
             for part in slices(batch, "text"):
                 sets = ngram_sets(part.column("text"), ngram)
                 sk = np.stack([bit_sketch(s) for s in sets])
-                arrays = [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
+                arrays = [part.column("id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
                 wide = pa.array([long_sketch(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(sk[:, i]) for i in range(SKETCH)), wide], ["id", "size", "node", *cols, "wide"])
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(sk[:, i]) for i in range(SKETCH)), wide], ["id", "row", "size", "node", *cols, "wide"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return map_rows(df, run, f"id {kind}, size bigint, node bigint, " + ", ".join(f"{c} bigint" for c in cols) + ", wide array<bigint>")
+    return map_rows(df, run, f"id {kind}, row bigint, size bigint, node bigint, " + ", ".join(f"{c} bigint" for c in cols) + ", wide array<bigint>")
 
 
 def _entries(df: DataFrame, join: Join) -> DataFrame:
@@ -226,7 +226,7 @@ def _within(join: Join, a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     """Those of the pairs of nodes whose sets are similar enough, by exact intersection."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "lead"), "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +234,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, join: Join) -
                 sets = ngram_sets(part.column("text"), join.ngram)
                 yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
 
-    texts = docs.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").select("text")
-    # An id that stands on several rows may bring other texts along: they are joined with no pair.
+    texts = docs.join(wanted.select("lead.row"), "row", "left_semi").select("text")
     sets = map_rows(texts, run, "node bigint, grams binary").where("node is not null").groupBy("node").agg(F.first("grams").alias("grams"))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,12 +274,22 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         e = cut(small.where("u != v").distinct().coalesce(files))
 
 
-def groups(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every row."""
-    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What rows of one id (or none) and one text have in common."""
+    return F.xxhash64(id_col, text_col)
+
+
+def has_word(text_col: str = "text") -> Column:
+    """Whether a row has a set that is not empty."""
+    return F.coalesce(F.col(text_col).rlike(r"[^ \t-\r]"), F.lit(False))
+
+
+def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every row with its node; every node with its component and its leading row (smallest id, none last)."""
+    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), row_key(id_col, text_col).alias("row"))
     rows = cut(_described(docs, join.ngram))
     sketch = [f"s{i}" for i in range(SKETCH)]
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in sketch), F.first("wide").alias("wide"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("lead"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in sketch), F.first("wide").alias("wide"))
 
     by_key = Window.partitionBy("key").orderBy("node")
     led = _entries(docs, join).select("key", "node", F.first("node").over(by_key).alias("leader"), F.lag("node").over(by_key).alias("last"))
@@ -318,11 +327,22 @@ def groups(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "t
     bridges = more.join(own.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a").join(own.select(F.col("node").alias("b"), F.col("comp").alias("v")), "b")
     merged = components(bridges.select("u", "v"), "u", "v").select(F.col("node").alias("comp"), F.col("comp").alias("over"))
 
-    ids = nodes.select("node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = ids.join(merged, "comp", "left").select("node", "rep", F.coalesce("over", "comp").alias("comp"))
-    first = ids.groupBy("comp").agg(F.min("rep").alias("first"))
-    ids = ids.join(first, "comp").select("node", "first")
+    ids = nodes.select("node", "lead").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ids = ids.join(merged, "comp", "left").select("node", "lead", F.coalesce("over", "comp").alias("comp"))
     del rest, p, q, own
     free(df.sparkSession)
-    out = rows.select("id", "size", "node").join(ids, "node", "left")
+    return rows, ids
+
+
+def groups(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every row."""
+    rows, ids = _linked(df, join, id_col, text_col)
+    first = ids.groupBy("comp").agg(F.min("lead.id").alias("first"))
+    out = rows.select("id", "size", "node").join(ids.join(first, "comp").select("node", "first"), "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
+
+
+def leading(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row``: the key of the leading row of each component; rows without a word have none."""
+    _, ids = _linked(df, join, id_col, text_col)
+    return ids.groupBy("comp").agg(F.min("lead").alias("lead")).select("lead.row")

@@ -263,6 +263,16 @@ def test_join_awkward_rows(spark, hard, empty):
     assert parity_join.groups(empty, registry.SHINGLES).count() == 0
 
 
+def test_join_rows_without_an_id(spark):
+    word = lambda k, n=60: [f"{k}{j}" for j in range(n)]
+    a, b, c = word("a"), word("b"), word("c")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    docs = [(None, " ".join(a)), (5, near(a)), (None, " ".join(b)), (6, " ".join(c)), (6, near(b)), (7, near(c))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in rows(parity_join.groups(df, registry.SHINGLES)))
+    assert got == {(None, 5): 1, (5, 5): 1, (None, 6): 1, (6, 6): 2, (7, 6): 1}
+
+
 # --- Personal data -------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
@@ -386,3 +396,20 @@ def test_pipeline(spark, hard, empty):
     for name, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
         stage(spark, hard, SF).count()
+
+
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline as cp
+
+    texts = {k: " ".join(f"{k}{j}" for j in range(60)) for k in "abcdefg"}
+    near = {k: t + " more" for k, t in texts.items()}
+    docs = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (None, near["b"]), (None, texts["c"]), (1, near["c"])]
+    docs += [(2, texts["d"]), (2, texts["e"]), (2, near["a"]), (3, texts["f"]), (4, near["f"]), (4, texts["g"]), (4, texts["g"].upper())]
+    docs += [(None, None), (None, ""), (None, " \t"), (9, ""), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in rows(cp.near_copies(spark, df, SF))]
+    worded = [k for k in kept if (k[1] or "").strip()]
+    b, g = [k for k in worded if k[1].startswith("b")], [k for k in worded if k[1].lower().startswith("g")]
+    assert len(b) == 1 and b[0][0] is None and len(g) == 1 and g[0][0] == 4
+    assert sorted(k for k in worded if k not in b + g) == [(1, near["c"]), (2, near["a"]), (2, texts["d"]), (2, texts["e"]), (3, texts["f"])]
+    assert sorted(map(str, (k for k in kept if k not in worded))) == sorted(map(str, docs[-5:]))
