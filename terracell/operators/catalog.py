@@ -83,7 +83,9 @@ def same_scope(a: Column, b: Column) -> Column:
 def dedup_lookup(artifacts: DataFrame, requests: DataFrame, scope: list[str], prefer_zarr: bool = False) -> DataFrame:
     """Of each request the newest artifact of the same dataset and scope."""
     stored = artifacts.where("format = 'zarr'") if prefer_zarr else artifacts
-    a, r = stored.alias("a"), requests.alias("r")
+    # One row of each dataset and scope: a request meets one artifact at most.
+    newest = stored.groupBy("dataset_id", *scope).agg(F.max("seq").alias("seq"))
+    a, r = newest.alias("a"), requests.alias("r")
     same = F.col("a.dataset_id") == F.col("r.dataset_id")
     for c in scope:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}"))

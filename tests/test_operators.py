@@ -200,6 +200,16 @@ def test_requests(spark):
     assert catalog.spatial_arguments(r, default_country="X", bounds=(0, 0, 1, 1))[0].count() == 2
 
 
+def test_dedup_lookup_of_all_rows_makes_no_pairs(spark):
+    rows = [(i, f"ds_{i % 3}", None if i % 3 == 0 else f"e{i % 2}", "zarr" if i % 5 else "netcdf") for i in range(600)]
+    a = spark.createDataFrame(rows, "seq bigint, dataset_id string, extent_id string, format string")
+    out = catalog.dedup_lookup(a, a.withColumnRenamed("seq", "request_id"), ["extent_id"], prefer_zarr=True)
+    newest = {(d, e): i for i, d, e, f in rows if f == "zarr"}
+    assert sorted(tuple(r) for r in out.collect()) == sorted((i, newest[d, e]) for i, d, e, _ in rows if (d, e) in newest)
+    optimized = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(seq" in optimized[optimized.index("Join") :]
+
+
 def test_publication(spark):
     df = records(spark, [record(1, "2026-02-01", "x", status="unpublished"), record(2, "2026-02-01", "y", collection="own")])
     p = {r["seq"]: r["publication"] for r in catalog.published(df, F.lit("2026-03-01")).collect()}
