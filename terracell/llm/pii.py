@@ -4,8 +4,8 @@ All of it is Spark SQL expressions. For each kind, ``split`` and ``regexp_extrac
 pattern give the stretches between matches and the matches; running sums of their lengths give each
 match its place in code points. A match then passes its kind's test: parts of an address at most 255,
 Luhn's sum for cards, the remainder 97 leaves for bank accounts, counts of digits. Kinds that are
-weak by themselves have a base score that words in the 40 characters before a match raise; a span is
-reported from ``THRESHOLD`` on. The patterns start where the match before ended or where no longer
+weak by themselves have a base score that words in the 40 characters before a match raise, whatever
+else was matched there; a span is reported from ``THRESHOLD`` on. The patterns start where the match before ended or where no longer
 match could have started, and their repetitions never step back, so that a text of any length takes
 time in proportion to it.
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 #: Matches of a text that one inner sum takes: running sums go over blocks, then over their totals.
 BLOCK = 64
+#: Characters before a match that are its context, and matches of 10 characters or more that fill them.
+NEAR, FILL = 40, 4
 
 
 @dataclass(frozen=True)
@@ -40,13 +42,15 @@ class Kind:
     context: str = ""
     bonus: float = 0.0
 
-    def worth(self, gap: str) -> str:
-        """SQL: a passing match's score, from the stretch before it."""
-        near = f" + if(lower(right({gap}, 40)) rlike '{self.context}', {self.bonus}D, 0D)" if self.context else ""
+    def worth(self, i: str) -> str:
+        """SQL: a passing match's score, from what stands before it."""
+        # Not cut out of the text by place, which would count from its start for every match.
+        before = f"concat(array_join(slice(_tails, greatest(1, {i} - {FILL - 1}), least({i}, {FILL})), ''), _parts[{i}])"
+        near = f" + if(lower(right({before}, {NEAR})) rlike '{self.context}', {self.bonus}D, 0D)" if self.context else ""
         return f"({self.score}D{near})"
 
-    def accepts(self, match: str, gap: str) -> str:
-        return f"(({self.valid(match)}) and {self.worth(gap)} >= {THRESHOLD}D)"
+    def accepts(self, match: str, i: str) -> str:
+        return f"(({self.valid(match)}) and {self.worth(i)} >= {THRESHOLD}D)"
 
 
 def _digits(m: str) -> str:
@@ -101,11 +105,12 @@ def _sums(array: str) -> str:
 
 
 def _proposed(df: DataFrame, kind: Kind) -> DataFrame:
-    """``_hits``: the kind's matches in ``_text``; ``_parts``: what lies between them."""
+    """``_hits``: the kind's matches in ``_text``; ``_parts``: what lies between them; ``_tails``: each match and what is near before it."""
     t = F.col("_text")
     may = t.contains(kind.guard) if kind.guard else t.rlike("[0-9]")
     hits = F.when(may, F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
-    return df.withColumn("_hits", hits).withColumn("_parts", F.when(F.size("_hits") > 0, F.split(t, kind.pattern, -1)).otherwise(F.array(t)))
+    df = df.withColumn("_hits", hits).withColumn("_parts", F.when(F.size("_hits") > 0, F.split(t, kind.pattern, -1)).otherwise(F.array(t)))
+    return df.withColumn("_tails", F.expr(f"transform(_hits, (m, i) -> concat(right(_parts[i], {NEAR}), m))")) if kind.context else df
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -122,9 +127,9 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFra
     df = df.select(*kept, F.coalesce(df[text], F.lit("")).alias("_text"))
     for i, kind in enumerate(KINDS):
         df = _placed(_proposed(df, kind))
-        span = f"named_struct('start', _starts[i], 'at', {i}, 'end', _starts[i] + length(m), 'kind', '{kind.name}', 'base', {str(kind.base).lower()}, 'score', {kind.worth('_parts[i]')})"
-        found = f"filter(transform(_hits, (m, i) -> if({kind.accepts('m', '_parts[i]')}, {span}, null)), h -> h is not null)"
-        df = df.withColumn(f"_{kind.name}", F.when(F.size("_hits") > 0, F.expr(found)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))).drop("_parts", "_hits", "_starts")
+        span = f"named_struct('start', _starts[i], 'at', {i}, 'end', _starts[i] + length(m), 'kind', '{kind.name}', 'base', {str(kind.base).lower()}, 'score', {kind.worth('i')})"
+        found = f"filter(transform(_hits, (m, i) -> if({kind.accepts('m', 'i')}, {span}, null)), h -> h is not null)"
+        df = df.withColumn(f"_{kind.name}", F.when(F.size("_hits") > 0, F.expr(found)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))).drop("_parts", "_hits", "_tails", "_starts")
     spans = F.array_sort(F.concat(*(f"_{k.name}" for k in KINDS)))
     return df.withColumn(out, F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "kind", "base", "score"))))).select(*kept, out)
 
@@ -138,7 +143,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_text", F.col(text))
     for kind in KINDS:
         df = _proposed(df, kind)
-        swapped = f"transform(_hits, (m, i) -> concat(_parts[i], if({kind.accepts('m', '_parts[i]')}, '<{kind.name.upper()}>', m)))"
+        swapped = f"transform(_hits, (m, i) -> concat(_parts[i], if({kind.accepts('m', 'i')}, '<{kind.name.upper()}>', m)))"
         joined = f"concat(array_join({swapped}, ''), _parts[size(_hits)])"
-        df = df.withColumn("_text", F.when(F.size("_hits") > 0, F.expr(joined)).otherwise(F.col("_text"))).drop("_parts", "_hits")
+        df = df.withColumn("_text", F.when(F.size("_hits") > 0, F.expr(joined)).otherwise(F.col("_text"))).drop("_parts", "_hits", "_tails")
     return df.withColumn(text, F.col("_text")).select(*cols)

@@ -311,6 +311,21 @@ def test_pii_added_kinds_and_redaction(spark, hard):
     assert pii.redact(hard).columns == hard.columns and pii.redact(hard).where("spans = 'clash'").count() == len(HARD)
 
 
+def test_pii_lists_behind_one_word(spark):
+    ssn, iban = "536-22-1234", "DE89370400440532013000"
+    texts = [f"SSN: {ssn}, 536-22-1235", f"SSN: 000-22-1234 {ssn}", f"IBAN {iban}; {iban}", f"SSN: {ssn}{' ' * 40}536-22-1235", f"SSN {ssn} {ssn} {ssn} {ssn} {ssn}", f"{ssn}, {ssn} SSN", "\U0001f600" * 50 + f" ssn \U0001f600{ssn} {ssn}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    red = {r["i"]: r["text"] for r in rows(pii.redact(df))}
+    # The fifth number of a list stands more than 40 characters after the word.
+    assert red == {0: "SSN: <SSN>, <SSN>", 1: "SSN: 000-22-1234 <SSN>", 2: "IBAN <IBAN>; <IBAN>", 3: f"SSN: <SSN>{' ' * 40}536-22-1235", 4: f"SSN <SSN> <SSN> <SSN> <SSN> {ssn}", 5: texts[5], 6: "\U0001f600" * 50 + " ssn \U0001f600<SSN> <SSN>"}
+    for r in rows(pii.with_spans(df)):
+        added = [s for s in r["spans"] if not s["base"]]
+        assert len(added) == red[r["i"]].count("<")
+        for s in added:
+            t, near = texts[r["i"]], texts[r["i"]][max(0, s["start"] - 40) : s["start"]].lower()
+            assert t[s["start"] : s["end"]][-4:].isdigit() and s["score"] == (0.7 if s["kind"] == "ssn" else 1.0 if "iban" in near else 0.7)
+
+
 # --- HTML ----------------------------------------------------------------------------------------
 
 
