@@ -11,12 +11,15 @@ varied wrappers, with menus, banners, sidebars, cookie notices, adverts, forms,
 around and inside them. ``train`` takes any other labelled pages as well.
 
 Defined results: null or empty html gives the empty text; unclosed tags end with the page; an element
-that closes more than was opened is ignored; repeated pages have repeated results.
+that closes more than was opened is ignored; repeated pages have repeated results. A head ends at the
+first tag or text that cannot stand in one. A hidden element that its own end tag does not close
+hides no more than what comes before the next tag that breaks lines, or the end of what it is in.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -32,6 +35,10 @@ from .common import map_rows, slices
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("script style noscript template head iframe object svg canvas textarea".split())
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: What can stand in a head; hidden elements that are looked at for an end tag.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
+CLOSABLE = HIDDEN - {"head", "script", "style"}
+_CLOSABLE = re.compile(f"<(?:{'|'.join(sorted(CLOSABLE))})", re.IGNORECASE)
 #: An open one of these is closed by the next one.
 CLOSES_ITSELF = {"p": BLOCKS - {"br", "button", "option", "tr", "td", "th", "tbody", "thead", "tfoot", "html", "body"}, "li": frozenset({"li"}), "option": frozenset({"option"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"})}
 _SPACE = re.compile(r"\s+")
@@ -45,11 +52,54 @@ class Block:
     label: int | None = None
 
 
+class _Unclosed(HTMLParser):
+    """Numbers the closable elements from 0; ``open`` gets those that their own end tag does not close."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, int]] = []
+        self.depth: Counter[str] = Counter()
+        self.seen = 0
+        self.open: set[int] = set()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in EMPTY:
+            self.stack.append((tag, self.seen))
+            self.depth[tag] += 1
+            self.seen += tag in CLOSABLE
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        pass
+
+    def pop(self) -> tuple[str, int]:
+        tag, number = self.stack.pop()
+        self.depth[tag] -= 1
+        return tag, number
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.depth[tag]:
+            while (top := self.pop())[0] != tag:
+                self.left(*top)
+
+    def left(self, tag: str, number: int) -> None:
+        if tag in CLOSABLE:
+            self.open.add(number)
+
+    def finish(self) -> set[int]:
+        for top in self.stack:
+            self.left(*top)
+        return self.open
+
+
 class _Leaves(HTMLParser):
     """Collects leaf blocks; ``data-y`` attributes are labels, and are no features."""
 
-    def __init__(self) -> None:
+    def __init__(self, unclosed: frozenset[int] | set[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.unclosed, self.seen = unclosed, 0
+        #: Places on the stack of an open head and of unclosed hidden elements.
+        self.heads: list[int] = []
+        self.loose: list[int] = []
         self.stack: list[tuple[str, tuple[str, ...], int | None]] = []
         self.hidden = 0
         self.blocks: list[Block] = []
@@ -57,7 +107,16 @@ class _Leaves(HTMLParser):
         self.inside: set[str] = set()
         self.linked = 0
 
+    def end_hidden(self, tag: str) -> None:
+        """End what a start tag shows to be over: unclosed hidden elements, and the head."""
+        if self.loose and tag in BLOCKS:
+            self.pop_to(self.loose[0])
+        if self.heads and (tag in ("body", "frameset") or tag not in IN_HEAD and self.stack[-1][0] in ("head", "title")):
+            self.flush()
+            self.pop_to(self.heads[0])
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.end_hidden(tag)
         if tag in BLOCKS:
             self.flush()
             while self.stack and tag in CLOSES_ITSELF.get(self.stack[-1][0], ()):
@@ -74,6 +133,12 @@ class _Leaves(HTMLParser):
                 label = int(v)
             elif k == "hidden" or k == "style" and "display:none" in (v or "").replace(" ", ""):
                 names.append("hidden")
+        if tag == "head":
+            self.heads.append(len(self.stack))
+        elif tag in CLOSABLE:
+            if self.seen in self.unclosed:
+                self.loose.append(len(self.stack))
+            self.seen += 1
         self.stack.append((tag, self._context(tag, names), label))
         self.hidden += tag in HIDDEN
 
@@ -84,11 +149,19 @@ class _Leaves(HTMLParser):
         return (*outer, *dict.fromkeys(new)) if new else outer
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.end_hidden(tag)
         if tag in BLOCKS:
             self.flush()
 
     def pop(self) -> None:
         self.hidden -= self.stack.pop()[0] in HIDDEN
+        for places in (self.heads, self.loose):
+            if places and places[-1] == len(self.stack):
+                places.pop()
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -99,6 +172,9 @@ class _Leaves(HTMLParser):
             self.pop()
 
     def handle_data(self, data: str) -> None:
+        if self.heads and self.stack[-1][0] == "head" and not data.isspace():
+            self.flush()
+            self.pop_to(self.heads[0])
         if not self.hidden:
             self.parts.append(data)
             if any(t == "a" for t, *_ in self.stack[-3:]):
@@ -126,8 +202,14 @@ class _Leaves(HTMLParser):
 
 
 def leaf_blocks(html: str | None) -> list[Block]:
-    p = _Leaves()
-    p.feed((html or "").replace("\x00", ""))
+    page, unclosed = (html or "").replace("\x00", ""), set()
+    if _CLOSABLE.search(page):
+        u = _Unclosed()
+        u.feed(page)
+        u.close()
+        unclosed = u.finish()
+    p = _Leaves(unclosed)
+    p.feed(page)
     p.close()
     p.flush()
     return p.blocks

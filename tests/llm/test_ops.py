@@ -340,6 +340,21 @@ def test_html():
         html.main_text(awkward, m)
 
 
+def test_html_left_out_ends():
+    text = lambda page: " ".join(b.text for b in html.leaf_blocks(page))
+    body = "<article><p>Hello.</p></article></body></html>"
+    for head in ("<title>t</title>", "<title>t</title><meta name=a><script>x</script><style>y</style><noscript><img src=z></noscript>", "<title>t", "<noscript>", "<template><p>no</p></template>"):
+        assert text(f"<html><head>{head}<body>{body}") == "Hello." == text(f"<html><head>{head}</head><body>{body}"), head
+    assert text(f"<html><head><title>t</title>{body}") == "Hello." == text("<head><title>t</title> Hello.") == text("<head><title>t</title><span>Hello.</span>")
+    assert text("<html><head><title>t</title><div/>Hello.") == "Hello."
+    for tag in ("noscript", "iframe", "object", "svg", "canvas", "textarea", "template"):
+        assert text(f"<body><div><{tag}>no{body}") == "Hello.", tag
+        assert text(f"<body><p>One<{tag}>no<p>Two</p><{tag}>no</{tag}>{body}") == "One Two Hello.", tag
+        assert text(f"<body><div><{tag}>no</div>{body}") == "Hello.", tag
+        assert text(f"<body><{tag}><p>no</p><div>no</div></{tag}>{body}") == "Hello.", tag
+    assert html.main_text("<html><head><title>t</title><body><article><p>Hello.</p></article></body></html>", html.default_model()) == "Hello."
+
+
 def test_html_of_the_table(spark, empty):
     pages = {p["page_id"]: p["html"] for p in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
     import html as h
