@@ -13,18 +13,28 @@ node from the start. For the others:
    word of two sets is preceded by at most D others in either, so each set is entered under its first
    D + 1 words only, D being the most that its own size allows. Sets that share an entry are
    candidates. Words made by few n-grams, which say little, are the ones left out.
-3. *Verify in rounds.* First each node is held against the leading node of each of its words. The
-   links found make components. Then only words whose nodes are still in different components are
-   paired within themselves, under the bound of a bit sketch of 512 bits. What passes, here and
-   before, meets the bound of a sketch with some bits for each n-gram. Every pair that might add a link between
-   components is thus intersected exactly, and pairs whose link could change nothing are skipped, so
-   that a group of thousands of near copies does not become millions of pairs.
+3. *Verify in rounds.* Every word that two nodes or more share gets a leader: its node of the best
+   support, which is the number of entries that the words of a node hold in all. The others are held
+   against it, by bit sketches first (one of 512 bits, one with some bits for each n-gram), then by
+   exact intersection. The links found make components. While a round still finds links, the next one
+   takes words whose nodes lie in different components and leads them by the largest component that
+   has not led there yet. Support picks the text that the others are copies of, so that a round or
+   two find nearly all components.
+4. *Pair what is left.* Words whose nodes still lie in different components are joined with
+   themselves; the sketches are part of that join's condition, so that it yields only pairs of
+   different components which are all but sure to link. Those are intersected as well. Pairs whose
+   link could change nothing are never made, so that a group of thousands of near copies does not
+   become millions of pairs. Only comparing sketches, within such a word, takes time in proportion to
+   the pairs of nodes of different components.
 
 Defined results: null text, or text without a word, has an empty set and links with nothing, itself
 included; a text with fewer than n words has its whole word sequence as its one n-gram; rows with
 equal sets are always linked, whatever their ids; rows without an id, or with a repeated one, stand
-for themselves. Sets, nodes, n-grams and rows (id and text) are known by 64-bit hashes. Nothing is capped: a word shared by many nodes is sorted and, where Spark finds it
-large, split by its adaptive joins.
+for themselves, and their texts are found by a hash of id and text, so that they lose no link. Other
+columns are not read, whatever their names. Empty tables give empty results; ties between leaders go
+to the larger node. Sets, nodes, n-grams and rows (id and text) are known by 64-bit hashes. Nothing is
+capped. Words are counted with partial aggregation before any shuffle, and joins on a word or a node
+that many rows share are split by Spark's adaptive skew joins.
 """
 
 from __future__ import annotations
@@ -39,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free, map_rows, mix64, slices, text_bytes
+from .common import cut, map_rows, mix64, slices, text_bytes
 
 #: A band's largest size as a multiple of its smallest.
 BAND = 1.6
@@ -164,43 +174,44 @@ def sketch_words(s: np.ndarray, join: Join) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _described(df: DataFrame, ngram: int) -> DataFrame:
-    """id, row key, size, node and bit sketch of every row."""
-    cols = [f"s{i}" for i in range(SKETCH)]
+def _described(df: DataFrame, join: Join) -> DataFrame:
+    """id, row key, size and node of every row, and the keys of its words; a task lists a node's keys once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = ngram_sets(part.column("text"), ngram)
-                sk = np.stack([bit_sketch(s) for s in sets])
-                arrays = [part.column("id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
-                wide = pa.array([long_sketch(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(sk[:, i]) for i in range(SKETCH)), wide], ["id", "row", "size", "node", *cols, "wide"])
+                sets, keys = ngram_sets(part.column("text"), join.ngram), []
+                nodes = [set_hash(s) for s in sets]
+                for s, node in zip(sets, nodes):
+                    known = node is None or node in seen
+                    keys.append(None if known else sketch_words(s, join))
+                    if not known and len(seen) < 500_000:
+                        seen.add(node)
+                arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), *arrays], ["id", "row", "size", "node", "keys"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return map_rows(df, run, f"id {kind}, row bigint, size bigint, node bigint, " + ", ".join(f"{c} bigint" for c in cols) + ", wide array<bigint>")
+    return map_rows(df, run, f"id {kind}, row bigint, size bigint, node bigint, keys array<bigint>")
 
 
-def _entries(df: DataFrame, join: Join) -> DataFrame:
-    """(word key, node) of every row's set; repeats that one task meets are left out."""
+def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """node, size, bit sketches and n-grams of the rows whose keys are wanted."""
+    cols = [f"s{i}" for i in range(SKETCH)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for s in ngram_sets(part.column("text"), join.ngram):
-                    node = set_hash(s)
-                    if node is None or node in seen:
-                        continue
-                    if len(seen) < 500_000:
-                        seen.add(node)
-                    k = sketch_words(s, join)
-                    keys.append(k)
-                    nodes.append(np.full(len(k), node, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                sets = ngram_sets(part.column("text"), join.ngram)
+                sk = np.stack([bit_sketch(s) for s in sets])
+                arrays = [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(sk[:, i]) for i in range(SKETCH))]
+                wide, grams = pa.array([long_sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*arrays, wide, grams], ["node", "size", *cols, "wide", "grams"])
 
-    return map_rows(df.select("text"), run, "key bigint, node bigint")
+    texts = docs.join(wanted, "row", "left_semi").select("text")
+    made = map_rows(texts, run, "node bigint, size bigint, " + ", ".join(f"{c} bigint" for c in cols) + ", wide array<bigint>, grams binary")
+    # A row key stands for equal rows.
+    return made.where("node is not null").dropDuplicates(["node"])
 
 
 def _most(join: Join, a: str, b: str) -> Column:
@@ -224,18 +235,8 @@ def _within(join: Join, a: str, b: str) -> Column:
     return (F.size(x) > 2 * F.size(y)) | (F.size(y) > 2 * F.size(x)) | (F.aggregate(bits, F.lit(0), lambda n, z: n + z) <= _most(join, a, b))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Those of the pairs of nodes whose sets are similar enough, by exact intersection."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "lead"), "node")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = ngram_sets(part.column("text"), join.ngram)
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
-
-    texts = docs.join(wanted.select("lead.row"), "row", "left_semi").select("text")
-    sets = map_rows(texts, run, "node bigint, grams binary").where("node is not null").groupBy("node").agg(F.first("grams").alias("grams"))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,61 +285,86 @@ def has_word(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).rlike(r"[^ \t-\r]"), F.lit(False))
 
 
+def _labelled(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Members with the component of their node; a node without a link is its own."""
+    if comp is None:
+        return members.withColumn("comp", F.col("node"))
+    return members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _leaders(members: DataFrame, led: list[DataFrame]) -> DataFrame:
+    """key, ``leader`` and its component ``of``: of the largest component that has led no round of the key."""
+    for before in led:
+        members = members.join(before.select("key", F.col("leader").alias("node"), F.lit(1).alias("_led")), ["key", "node"], "left")
+        members = members.withColumn("led", F.greatest("led", F.coalesce("_led", F.lit(0)))).drop("_led")
+    best = F.max(F.struct("support", "node"))
+    by = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("led").alias("led"), best.alias("best"))
+    # In the first round every node is a component, so that support alone decides.
+    top = by.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.when(F.col("led") == 0, F.struct("n", "best", "comp"))).alias("top"))
+    return top.where("comps > 1 and top is not null").select("key", F.col("top.best.node").alias("leader"), F.col("top.comp").alias("of"))
+
+
 def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Every row with its node; every node with its component and its leading row (smallest id, none last)."""
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), row_key(id_col, text_col).alias("row"))
-    rows = cut(_described(docs, join.ngram))
+    rows = cut(_described(docs, join))
+    lead = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("lead"))
     sketch = [f"s{i}" for i in range(SKETCH)]
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("lead"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in sketch), F.first("wide").alias("wide"))
 
-    by_key = Window.partitionBy("key").orderBy("node")
-    led = _entries(docs, join).select("key", "node", F.first("node").over(by_key).alias("leader"), F.lag("node").over(by_key).alias("last"))
-    led = cut(led.where("node != leader and node != last").select("key", "node", "leader"))
+    entries = rows.select("node", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
+    members = cut(entries.join(shared, "key", "left_semi").distinct())
+    held = members.groupBy("key").agg(F.count("*").alias("held"))
+    support = members.join(held, "key").groupBy("node").agg(F.sum("held").alias("support"))
+    members = cut(members.join(support, "node").withColumn("led", F.lit(0)))
+    sets = cut(_sets(docs, lead.join(support, "node", "left_semi").select("lead.row"), join))
+    facts = sets.select("node", "size", *sketch, "wide")
 
     def near_pairs(pairs: DataFrame) -> DataFrame:
-        short, wide = nodes.select("node", "size", *sketch), nodes.select("node", "size", "wide")
-        for cols, bound in ((short, _near), (wide, _within)):
-            both = pairs.join(cols.alias("p"), F.col("a") == F.col("p.node")).join(cols.alias("q"), F.col("b") == F.col("q.node"))
-            pairs = both.where(bound(join, "p", "q")).select("a", "b")
-        return pairs
-
-    stars = led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    free(df.sparkSession)
-    tried = cut(near_pairs(stars))
-    free(df.sparkSession)
-    links = cut(_verified(tried, docs, nodes, join))
-    free(df.sparkSession)
-    comp = cut(components(links))
-    free(df.sparkSession)
-
-    members = led.select("key", "node").union(led.select("key", F.col("leader").alias("node")).distinct())
-    members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    rest = cut(members.join(mixed, "key").join(nodes, "node").select("key", "node", "comp", "size", *sketch))
-    del led, stars, members, mixed
-    free(df.sparkSession)
+        both = pairs.join(facts.alias("p"), F.col("a") == F.col("p.node")).join(facts.alias("q"), F.col("b") == F.col("q.node"))
+        return both.where(_near(join, "p", "q") & _within(join, "p", "q")).select("a", "b")
+
+    links, comp, tried, led, found, held_against = None, None, None, [], 1, 1
+    # Rounds go on while more than one pair in a hundred is a link; what is left is exact in any case.
+    while 100 * found > held_against:
+        now = _labelled(members, comp)
+        leaders = cut(_leaders(now, led))
+        led.append(leaders)
+        stars = now.join(leaders, "key").where("comp != of").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        near = cut(near_pairs(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")))
+        held_against = near.count()
+        if not held_against:
+            break
+        more = cut(_verified(near, sets, join))
+        found = more.count()
+        tried = near if tried is None else tried.union(near)
+        if found:
+            links = more if links is None else links.union(more)
+            comp = cut(components(links))
+
+    now = _labelled(members, comp)
+    mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    rest = cut(now.select("key", "node", "comp").join(mixed, "key", "left_semi").join(facts, "node"))
     p, q = rest.alias("p"), rest.alias("q")
-    crossing = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp")) & _near(join, "p", "q"))
-    crossing = crossing.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(_verified(cut(near_pairs(crossing)), docs, nodes, join))
-    del crossing
-    # Links between components make components of components.
-    own = rest.select("node", "comp").distinct()
-    bridges = more.join(own.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a").join(own.select(F.col("node").alias("b"), F.col("comp").alias("v")), "b")
-    merged = components(bridges.select("u", "v"), "u", "v").select(F.col("node").alias("comp"), F.col("comp").alias("over"))
-
-    ids = nodes.select("node", "lead").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = ids.join(merged, "comp", "left").select("node", "lead", F.coalesce("over", "comp").alias("comp"))
-    del rest, p, q, own
-    free(df.sparkSession)
-    return rows, ids
+    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp"))
+    crossing = p.join(q, apart & _near(join, "p", "q") & _within(join, "p", "q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    crossing = cut(crossing if tried is None else crossing.join(tried, ["a", "b"], "left_anti"))
+    more = cut(_verified(crossing, sets, join)) if crossing.count() else None
+    if more is not None and more.count():
+        comp = cut(components(more if links is None else links.union(more)))
+    if comp is None:
+        return rows, lead.withColumn("comp", F.col("node"))
+    return rows, lead.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def groups(df: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every row."""
     rows, ids = _linked(df, join, id_col, text_col)
     first = ids.groupBy("comp").agg(F.min("lead.id").alias("first"))
-    out = rows.select("id", "size", "node").join(ids.join(first, "comp").select("node", "first"), "node", "left")
+    rows = rows.select("id", "size", "node")
+    # Rows without a word meet nobody, and must not meet each other in one task.
+    out = rows.where("node is not null").join(ids.join(first, "comp").select("node", "first"), "node").select("id", "size", "first")
+    out = out.union(rows.where("node is null").select("id", "size", "id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
 
 
