@@ -13,7 +13,12 @@ around and inside them. ``train`` takes any other labelled pages as well.
 Defined results: null or empty html gives the empty text; unclosed tags end with the page; an element
 that closes more than was opened is ignored; repeated pages have repeated results. A head ends at the
 first tag or text that cannot stand in one. A hidden element that its own end tag does not close
-hides no more than what comes before the next tag that breaks lines, or the end of what it is in.
+hides no more than what comes before the next tag that breaks lines, or the end of what it is in. A
+tag or comment that the end of the page cuts short is dropped; ``<!-->``, ``<![ ... >`` and other
+declarations are comments. Neither broken nor hostile markup stops a job: reading takes time in
+proportion to the page, however deep its elements lie. ``data-y`` attributes are labels in training
+pages only, and nothing elsewhere. Ties between labels go to *other*. Empty tables and extra columns,
+whatever their names, pass; a column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -41,18 +46,42 @@ CLOSABLE = HIDDEN - {"head", "script", "style"}
 _CLOSABLE = re.compile(f"<(?:{'|'.join(sorted(CLOSABLE))})", re.IGNORECASE)
 #: An open one of these is closed by the next one.
 CLOSES_ITSELF = {"p": BLOCKS - {"br", "button", "option", "tr", "td", "th", "tbody", "thead", "tfoot", "html", "body"}, "li": frozenset({"li"}), "option": frozenset({"option"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"})}
+#: What begins a tag, if a ``>`` is to come.
+_CUT_SHORT = re.compile("<[A-Za-z/!?]")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Block:
+    """A leaf block: with its features where it is to be learnt from, else with the sum of their weights."""
+
     text: str
-    features: tuple[str, ...]
+    features: tuple[str, ...] = ()
     label: int | None = None
+    score: float | None = None
+
+
+class _Parser(HTMLParser):
+    """Reads a page of any kind; markup that the library has no reading of is a comment."""
+
+    def read(self, page: str) -> None:
+        self.feed(page)
+        if self.rawdata.startswith("<!"):  # a comment that never ends
+            self.rawdata = ""
+        self.close()
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        return super().parse_comment(i, report)
 
+    def parse_html_declaration(self, i: int) -> int:
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
-class _Unclosed(HTMLParser):
+
+class _Unclosed(_Parser):
     """Numbers the closable elements from 0; ``open`` gets those that their own end tag does not close."""
 
     def __init__(self) -> None:
@@ -91,16 +120,20 @@ class _Unclosed(HTMLParser):
         return self.open
 
 
-class _Leaves(HTMLParser):
-    """Collects leaf blocks; ``data-y`` attributes are labels, and are no features."""
+class _Leaves(_Parser):
+    """Collects leaf blocks: with scores by ``weights``, or else with features and, from ``data-y``, labels."""
 
-    def __init__(self, unclosed: frozenset[int] | set[int] = frozenset()) -> None:
+    def __init__(self, unclosed: frozenset[int] | set[int] = frozenset(), weights: dict[str, float] | None = None) -> None:
         super().__init__(convert_charrefs=True)
-        self.unclosed, self.seen = unclosed, 0
+        self.unclosed, self.seen, self.weights = unclosed, 0, weights
+        #: How many open elements give each feature, and how many have each tag.
+        self.around: Counter[str] = Counter()
+        self.depth: Counter[str] = Counter()
         #: Places on the stack of an open head and of unclosed hidden elements.
         self.heads: list[int] = []
         self.loose: list[int] = []
-        self.stack: list[tuple[str, tuple[str, ...], int | None]] = []
+        #: Tag, features, label and, of all features that are open then, the sum of their weights.
+        self.stack: list[tuple[str, list[str], int | None, float]] = []
         self.hidden = 0
         self.blocks: list[Block] = []
         self.parts: list[str] = []
@@ -129,7 +162,7 @@ class _Leaves(HTMLParser):
         for k, v in attrs:
             if k in ("class", "id", "role", "aria-label"):
                 names += _WORD.findall((v or "").lower())
-            elif k == "data-y":
+            elif k == "data-y" and self.weights is None:
                 label = int(v)
             elif k == "hidden" or k == "style" and "display:none" in (v or "").replace(" ", ""):
                 names.append("hidden")
@@ -139,22 +172,29 @@ class _Leaves(HTMLParser):
             if self.seen in self.unclosed:
                 self.loose.append(len(self.stack))
             self.seen += 1
-        self.stack.append((tag, self._context(tag, names), label))
+        own = list(dict.fromkeys((f"in={tag}", *(f"name={n}" for n in names))))
+        total = self.stack[-1][3] if self.stack else 0.0
+        if self.weights is not None:
+            own = [f for f in own if f in self.weights]
+            total += sum(self.weights[f] for f in own if not self.around[f])
+        self.around.update(own)
+        self.depth[tag] += 1
+        self.stack.append((tag, own, label, total))
         self.hidden += tag in HIDDEN
 
-    def _context(self, tag: str, names: list[str]) -> tuple[str, ...]:
-        """Features of an element and all around it."""
-        outer = self.stack[-1][1] if self.stack else ()
-        new = [f for f in (f"in={tag}", *(f"name={n}" for n in names)) if f not in outer]
-        return (*outer, *dict.fromkeys(new)) if new else outer
-
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.end_hidden(tag)
         if tag in BLOCKS:
             self.flush()
 
     def pop(self) -> None:
-        self.hidden -= self.stack.pop()[0] in HIDDEN
+        tag, own, *_ = self.stack.pop()
+        self.hidden -= tag in HIDDEN
+        self.depth[tag] -= 1
+        for f in own:
+            self.around[f] -= 1
+            if not self.around[f]:
+                del self.around[f]
         for places in (self.heads, self.loose):
             if places and places[-1] == len(self.stack):
                 places.pop()
@@ -166,7 +206,7 @@ class _Leaves(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        if any(t == tag for t, *_ in self.stack):
+        if self.depth[tag]:
             while self.stack[-1][0] != tag:
                 self.pop()
             self.pop()
@@ -184,33 +224,37 @@ class _Leaves(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append(Block(text, self.features(text), self.stack[-1][2] if self.stack else None))
+                tag, _, label, total = self.stack[-1] if self.stack else ("", [], None, 0.0)
+                own = self.features(tag, text)
+                if self.weights is None:
+                    self.blocks.append(Block(text, (*self.around, *own), label))
+                else:
+                    self.blocks.append(Block(text, score=total + sum(self.weights.get(f, 0.0) for f in own)))
             self.parts = []
         self.inside, self.linked = set(), 0
 
-    def features(self, text: str) -> tuple[str, ...]:
-        tag, outer, _ = self.stack[-1] if self.stack else ("", (), None)
-        out = [*outer, f"near={tag}"]
-        out += [f"has={t}" for t in self.inside]
-        n = len(text)
+    def features(self, tag: str, text: str) -> list[str]:
+        """A block's own features."""
+        out, n = [f"near={tag}", *(f"has={t}" for t in sorted(self.inside))], len(text)
         out.append(f"len={min(n.bit_length(), 9)}")
         out.append(f"links={min(3, 4 * self.linked // max(n, 1))}")
         out.append("stop" if text[-1] in ".!?\"'”»" else "open")
         if "©" in text:
             out.append("copyright")
-        return tuple(out)
+        return out
 
 
-def leaf_blocks(html: str | None) -> list[Block]:
+def leaf_blocks(html: str | None, model: Crf | None = None) -> list[Block]:
+    """The blocks of a page, scored by the model; without one, they have features and labels to learn from."""
     page, unclosed = (html or "").replace("\x00", ""), set()
+    if cut_short := _CUT_SHORT.search(page, page.rfind(">") + 1):
+        page = page[: cut_short.start()]
     if _CLOSABLE.search(page):
         u = _Unclosed()
-        u.feed(page)
-        u.close()
+        u.read(page)
         unclosed = u.finish()
-    p = _Leaves(unclosed)
-    p.feed(page)
-    p.close()
+    p = _Leaves(unclosed, model.weights if model else None)
+    p.read(page)
     p.flush()
     return p.blocks
 
@@ -224,7 +268,7 @@ class Crf:
 
     def scores(self, blocks: list[Block]) -> np.ndarray:
         w = self.weights
-        return np.array([sum(w.get(f, 0.0) for f in b.features) for b in blocks])
+        return np.array([sum(w.get(f, 0.0) for f in b.features) if b.score is None else b.score for b in blocks])
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The best labels, by Viterbi."""
@@ -340,7 +384,7 @@ def default_model() -> Crf:
 
 
 def main_text(html: str | None, model: Crf) -> str:
-    blocks = leaf_blocks(html)
+    blocks = leaf_blocks(html, model)
     return " ".join(b.text for b, y in zip(blocks, model.decode(blocks)) if y)
 
 
