@@ -9,7 +9,9 @@ A phrase's beginnings are phrases themselves, so phrases form a trie that is wal
 Phrases are hashed all at once, from running sums of a polynomial over the text.
 
 Defined results: null text is empty text, whose signature has empty bins only; two empty signatures
-are alike to degree 1, an empty and another one to 0; equal texts have equal fingerprints.
+are alike to degree 1, an empty and another one to 0; equal texts have equal fingerprints. Rows without
+an id come after all others, rows of equal ids in the order of a hash of their text; they share a
+range. Empty tables give empty results; carried columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,23 +125,19 @@ def edited_by_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
     ``edited`` is the text whose last floor(n/2) code points gave way to the first as many of the
     next document's, in descending order of ids and, after the last, the first. Ids are cut into
-    ranges by approximate quantiles; a range is sorted and walked over in one task, and the first row
+    ranges at those ids whose hash is divisible by RANGE_ROWS; a range is sorted and walked over in one task, and the first row
     of each range is also sent to the range before it. So texts cross the network once, and neither
     all rows nor all texts of a range are held. Rows of equal ids follow each other by a hash of the text.
     The ranges are found in passes over the ids alone; ``ids`` may name a table that has the same ids
     and is cheaper to read than ``df``.
     """
-    spark = df.sparkSession
-    kind, names = df.schema[doc_id].dataType.simpleString(), list(carry)
-    rows = df.select(df[doc_id].alias("id"), *names, F.coalesce(df[text], F.lit("")).alias("text"))
+    names = list(carry)
     place = lambda c: F.coalesce(c.cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    # Carried columns travel in a struct, so that their names cannot clash with those used here.
+    rows = df.select(df[doc_id].alias("id"), F.struct(F.lit(0).alias("_"), *(df[c] for c in names)).alias("more"), F.coalesce(df[text], F.lit("")).alias("text"))
     rows = rows.withColumn("at", place(F.col("id")))
     alone = (df if ids is None else ids).select(place(F.col(doc_id)).alias("at"))
-    n = alone.count()
-    ranges = max(1, min(20_000, n // RANGE_ROWS))
-    cuts: list[int] = []
-    if ranges > 1:
-        cuts = sorted(set(alone.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]))
+    cuts = sorted(r["at"] for r in alone.where(F.pmod(F.xxhash64("at"), F.lit(RANGE_ROWS)) == 0).distinct().collect())
     edges = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")
@@ -149,12 +148,17 @@ def edited_by_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
     first = {r["part"]: r["top"] for r in alone.withColumn("part", range_of("at")).groupBy("part").agg(F.max("at").alias("top")).collect()}
     order = sorted(first)
-    # A range for each RANGE_ROWS rows, 20,000 at most.
-    seams = spark.createDataFrame([(p, first[p], order[(i + 1) % len(order)]) for i, p in enumerate(order)], "part int, top bigint, before int")
-    rows = rows.withColumn("part", range_of("at")).join(F.broadcast(seams), "part")
-    places = F.when(F.col("at") == F.col("top"), F.array(F.struct("part", F.lit(0).alias("seam")), F.struct(F.col("before").alias("part"), F.lit(1).alias("seam")))).otherwise(F.array(F.struct("part", F.lit(0).alias("seam"))))
-    rows = rows.select("id", *names, "text", "at", F.explode(places).alias("p")).select("id", *names, "text", "at", "p.part", "p.seam")
-    rows = rows.repartition("part").sortWithinPartitions("part", "seam", F.desc("at"), F.xxhash64("text"))
+    before = {first[p]: order[(i + 1) % len(order)] for i, p in enumerate(order)}
+
+    @F.pandas_udf("int")
+    def before_of(at):
+        return at.map(before).astype("Int32")
+
+    rows = rows.withColumns({"part": range_of("at"), "before": before_of("at")})
+    here = F.struct("part", F.lit(0).alias("seam"))
+    places = F.when(F.col("before").isNotNull(), F.array(here, F.struct(F.col("before").alias("part"), F.lit(1).alias("seam")))).otherwise(F.array(here))
+    rows = rows.select("id", "more", "text", "at", F.explode(places).alias("p")).select("id", "more", "text", "at", "p.part", "p.seam")
+    rows = rows.repartition(F.col("part")).sortWithinPartitions("part", "seam", F.desc("at"), F.xxhash64("text"))
     schema = df.select(df[doc_id].alias("id"), *names).schema.add("edited", "string")
     for c in names:
         schema = schema.add(f"next_{c}", df.schema[c].dataType)
@@ -163,11 +167,12 @@ def edited_by_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
         held = None
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "seam", "text", "id", *names))):
+            more = [dict(zip(names, m)) for m in zip(*(pc.struct_field(batch.column("more"), [i + 1]).to_pylist() for i in range(len(names))))] if names else [{}] * len(batch)
+            for *row, own in zip(*(batch.column(c).to_pylist() for c in ("part", "seam", "text", "id")), more):
                 if held is not None and held[0] == row[0] and not held[1]:
                     half = len(held[2]) // 2
-                    out.append((*held[3:], held[2][: len(held[2]) - half] + row[2][:half], *row[4:]))
-                held = row
+                    out.append((held[3], *held[4].values(), held[2][: len(held[2]) - half] + row[2][:half], *own.values()))
+                held = (*row, own)
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], labels)
 
     from pyspark.sql.pandas.types import to_arrow_type

@@ -4,22 +4,27 @@ Each source's documents form one stream of words, cut into blocks of a fixed len
 target in words becomes a number of slots. Slots are dealt to output shards by multinomial draws of
 source counts, conditional on each source's total: a tree halves the range of shards, and at each
 node a multivariate hypergeometric draw, seeded by the node, says how many slots of each source go
-left. Every shard walks down from the root by itself, so shards need no common state and a rerun
-makes the same draws. A slot's number within its source goes through a pseudorandom permutation of
+left. The draw gives every slot a mark in thought: those with marks below a bound are counted by
+binomial draws, and the few that these are off by are drawn one by one; so it is the same, and
+exact, for nodes of any size. Every shard walks down from the root by itself, so shards need no
+common state and a rerun makes the same draws. A slot's number within its source goes through a pseudorandom permutation of
 the source's blocks (a new one for each pass over them) and is joined to the block by its number.
 
 Targets: the weighted shares of ``total``, where a source stops at ``repeats`` times its size and
 the excess is shared again by weight.
 
 Defined results: null text and text without words have size 0 and are taken 0 times; null source is
-a source of its own; repeated rows count as rows of their own; without words nothing is taken.
-Sources and their sizes (one row each, at most ``MAX_SOURCES``) go to the driver, documents never.
+a source of its own; repeated rows, and rows without an id, count as rows of their own, in an order
+that hangs on their ids and texts; without words nothing is taken; an empty table gives an empty mix.
+Other columns, whatever their names, come back as they were. Documents never go to the driver; the
+plan does, which is a name and five numbers for each source, and grows with their count alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4_096
 SEED = 17
-MAX_SOURCES = 100_000
+#: Sources up to which a table with a row for each is broadcast; larger ones are joined by a shuffle.
+FEW_SOURCES = 50_000
 #: Documents that share one range of a source's stream, on average.
 RANGE_ROWS = 2_000
-#: Slots above which a node of the tree is split in proportion, as a draw no longer shows there.
-LARGE_DRAW = 100_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -77,8 +81,6 @@ class Plan:
 
 def plan(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: float = 2.0) -> Plan:
     """Sources in code point order, null last, with the weights in turn."""
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"{len(sizes)} sources; at most {MAX_SOURCES} can be mixed at once")
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     n = [sizes[s] for s in names]
     targets = water_fill(n, [float(weights[i % len(weights)]) for i in range(len(n))], share * sum(n), repeats)
@@ -87,16 +89,24 @@ def plan(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), s
     return Plan(names, n, targets, blocks, slots)
 
 
-def _left_share(counts: np.ndarray, take: int, node: tuple[int, int]) -> np.ndarray:
-    """How many slots of each source are among ``take`` of them."""
-    total = int(counts.sum())
-    if total > LARGE_DRAW:
-        exact = counts * (take / total)
-        out = np.floor(exact).astype(np.int64)
-        for i in np.argsort(out - exact, kind="stable")[: take - int(out.sum())]:
-            out[i] += 1
-        return np.minimum(out, counts)
-    return np.random.default_rng([SEED, *node]).multivariate_hypergeometric(counts, take, method="marginals")
+def _chosen(pool: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """``n`` members of a pool drawn without putting back, counted by source; in time that goes with ``n``."""
+    ends = np.cumsum(pool)
+    if 2 * n > ends[-1]:
+        return pool - _chosen(pool, int(ends[-1]) - n, rng)
+    got = np.zeros(0, np.int64)
+    while len(got) < n:  # whatever came up before is drawn again
+        got = np.unique(np.concatenate([got, rng.integers(0, ends[-1], n - len(got))]))
+    return np.bincount(np.searchsorted(ends, got, side="right"), minlength=len(pool))
+
+
+@lru_cache(4_096)
+def _left_share(counts: tuple[int, ...], take: int, node: tuple[int, int]) -> np.ndarray:
+    """How many slots of each source are among ``take`` of them, drawn without putting back."""
+    rng, have = np.random.default_rng([SEED, *node]), np.array(counts, np.int64)
+    left = rng.binomial(have, take / max(1, int(have.sum())))
+    off = int(left.sum()) - take
+    return left - _chosen(left, off, rng) if off > 0 else left + _chosen(have - left, -off, rng)
 
 
 def shard_counts(slots: np.ndarray, shards: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +114,7 @@ def shard_counts(slots: np.ndarray, shards: int, shard: int) -> tuple[np.ndarray
     lo, hi, counts, before = 0, shards, slots.astype(np.int64), np.zeros(len(slots), np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = _left_share(counts, min((mid - lo) * SHARD_SLOTS, int(counts.sum())), (lo, hi))
+        left = _left_share(tuple(counts.tolist()), min((mid - lo) * SHARD_SLOTS, int(counts.sum())), (lo, hi))
         if shard < mid:
             hi, counts = mid, left
         else:
@@ -163,29 +173,33 @@ class Mix:
     slots: DataFrame
 
 
+def small(per_source: DataFrame, p: Plan) -> DataFrame:
+    """A table with a row a source, marked for broadcast if these are few."""
+    return F.broadcast(per_source) if len(p.sources) <= FEW_SOURCES else per_source
+
+
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **rules) -> Mix:
     """Lay out the streams and draw the mix.
 
-    ``docs`` has doc_id, source, source_no, size and first (the words before the row in its source).
-    Sizes are summed per source and range of hashed ids, then over the ranges, so no source's rows
-    ever meet in one task.
+    ``docs`` has doc_id, source, source_no, size, tie (a hash of the text) and first (the words
+    before the row in its source). Sizes are summed per source and range of hashed rows, then over
+    the ranges, so no source's rows, and no rows without an id, ever meet in one task.
     """
-    rows = cut(df.select(df[doc_id].alias("doc_id"), df[source].alias("source"), n_words(df[text]).alias("size")))
+    rows = cut(df.select(df[doc_id].alias("doc_id"), df[source].alias("source"), n_words(df[text]).alias("size"), F.xxhash64(df[text]).alias("tie")))
     sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()
     p = plan({r["source"]: r["n"] for r in sums}, **rules)
     ranges = max(1, sum(r["k"] for r in sums) // RANGE_ROWS)
     numbers = df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(p.sources)], "source string, source_no bigint") if p.sources else None
     if numbers is None:
-        docs = rows.select("doc_id", "source", F.lit(0).cast("bigint").alias("source_no"), "size", F.lit(0).cast("bigint").alias("first"))
+        docs = rows.select("doc_id", "source", F.lit(0).cast("bigint").alias("source_no"), "size", "tie", F.lit(0).cast("bigint").alias("first"))
         return Mix(p, docs, slots(df.sparkSession, p))
-    # One row a source, of which there are MAX_SOURCES at most.
-    rows = rows.join(F.broadcast(numbers), rows["source"].eqNullSafe(numbers["source"])).drop(numbers["source"])
-    rows = rows.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)))
+    rows = rows.join(small(numbers, p), rows["source"].eqNullSafe(numbers["source"])).drop(numbers["source"])
+    rows = rows.withColumn("range", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(ranges)))
     over = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source_no", "range").agg(F.sum("size").alias("n")).select("source_no", "range", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source_no", "range").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_no", "range").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("first", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_no", "range"])
-    docs = rows.select("doc_id", "source", "source_no", "size", (F.col("first") + F.col("start")).alias("first"))
+    docs = rows.select("doc_id", "source", "source_no", "size", "tie", (F.col("first") + F.col("start")).alias("first"))
     return Mix(p, docs, slots(df.sparkSession, p))
 
 
@@ -215,20 +229,22 @@ def mixed_documents(df: DataFrame, m: Mix | None = None, doc_id: str = "doc_id",
     m = m or mix(df, doc_id, text, source)
     parts = pieces(m).join(m.slots.select("source_no", "block", "pass_no").hint("merge"), ["source_no", "block"])
     parts = parts.groupBy("source_no", "first", "pass_no").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("ranges"))
-    keys = ["_id", "_source", "_size", "_row"]
-    chosen = parts.hint("merge").join(m.docs.where("size > 0").select("source_no", "first", F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")), ["source_no", "first"])
-    # Rows of one id, source and size share the places that these have, in an order that a rerun repeats.
-    chosen = chosen.withColumn("_row", F.dense_rank().over(Window.partitionBy("_id", "_source", "_size").orderBy("first")))
-    chosen = chosen.groupBy(*keys).agg(F.collect_list("ranges").alias("passes"))
-    rows = df.withColumn("_n", n_words(F.col(text))).where("_n > 0")
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(doc_id, source, "_n").orderBy(F.xxhash64(text))))
-    same = rows[doc_id].eqNullSafe(F.col("_id")) & rows[source].eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_row"))
-    out = rows.join(chosen.hint("merge"), same)
-    out = out.withColumn("_ranges", F.explode("passes"))
-    whole = F.aggregate("_ranges", F.lit(0).cast("bigint"), lambda s, r: s + r["n_words"]) == F.col("_size")
-    words = F.split(F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")), " ")
-    some = F.array_join(F.transform("_ranges", lambda r: F.array_join(F.slice(words, r["from_word"].cast("int") + 1, r["n_words"].cast("int")), " ")), " ")
-    out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(some))
+    keys = ["id", "source", "size", "tie"]
+    chosen = parts.hint("merge").join(m.docs.where("size > 0").select("source_no", "first", F.col("doc_id").alias("id"), "source", "size", "tie"), ["source_no", "first"])
+    # Rows of one id, source and text share the places that these have, in an order that a rerun repeats.
+    chosen = chosen.withColumn("place", F.dense_rank().over(Window.partitionBy(*keys).orderBy("first")))
+    chosen = chosen.groupBy(*keys, "place").agg(F.collect_list("ranges").alias("passes"))
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[doc_id].alias("id"), df[source].alias("source"), n_words(df[text]).alias("size"), F.xxhash64(df[text]).alias("tie")).where("size > 0")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row"))))
+    a, b = rows.alias("a"), chosen.hint("merge").alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "place")]
+    out = a.join(b, reduce(Column.__and__, same)).select("a.row", "a.size", F.explode("b.passes").alias("ranges"))
+    whole = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda s, r: s + r["n_words"]) == F.col("size")
+    said = F.col("row")[text]
+    words = F.split(F.trim(F.regexp_replace(said, r"[\x20\x09-\x0D]+", " ")), " ")
+    some = F.array_join(F.transform("ranges", lambda r: F.array_join(F.slice(words, r["from_word"].cast("int") + 1, r["n_words"].cast("int")), " ")), " ")
+    out = out.withColumn("said", F.when(whole, said).otherwise(some))
+    made = {text: F.col("said")}
     if n_chars in df.columns:
-        out = out.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType))
-    return out.select(*df.columns)
+        made[n_chars] = F.length("said").cast(df.schema[n_chars].dataType)
+    return out.select(*(made.get(c, F.col("row")[c]).alias(c) for c in df.columns))

@@ -63,8 +63,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = [(i, m.plan.sizes[i], float(m.plan.targets[i])) for i in range(len(m.plan.sources))]
     facts = spark.createDataFrame(per, "source_no bigint, source_size bigint, target double")
     out = m.docs.join(mixing.taken(m), ["source_no", "first"], "left") if per else m.docs.withColumn("taken", F.lit(0))
-    # A row a source, at most mixing.MAX_SOURCES.
-    out = out.join(F.broadcast(facts), "source_no", "left")
+    out = out.join(mixing.small(facts, m.plan), "source_no", "left")
     return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("bigint").alias("taken"))
 
 
