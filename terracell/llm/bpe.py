@@ -1,15 +1,27 @@
 """Byte-level BPE encoding and decoding as tree reductions over a monoid.
 
-The elements of the monoid are token sequences of byte strings; the product of two neighbours is the
-token sequence of their joined bytes. A piece (one match of the split pattern) is halved until a
-part is short, each part is encoded by rank merges, and neighbours are joined on the way up. A join
-re-encodes a window around the boundary and doubles it until the window's outermost tokens are those
-that stood there before. Every adjacent pair of the joined sequence then occurs in a sequence that
-the merges made, which is what fixes a token sequence of a vocabulary whose tokens all encode to
-themselves (checked when the ranks are read); so the tokens outside the window keep their places.
+The elements of the monoid are texts cut into pieces (matches of the split pattern) with each piece's
+tokens; the product of two neighbours is the element of their joined text. A document is halved until
+its parts are short, the parts are encoded, and neighbours are joined on the way up, on two levels:
+
+* *Pieces.* A cut may have fallen inside a piece, or have hidden from the pattern what comes next. A
+  join drops the left side's last pieces, as far back as the pattern looks ahead (LOOK characters),
+  and splits a window from there into the right side anew. It doubles the window until a new
+  boundary falls on one of the right side's, so far before the window's end that nothing behind can
+  matter. What the pattern matches hangs on the text from the match's start on only, so from that
+  boundary on the right side's pieces stand, and before the window the left side's do.
+* *Tokens of a piece.* A new piece is halved itself, and neighbouring token sequences are joined: a
+  window around the boundary is encoded anew and doubled until its outermost tokens are those that
+  stood there before. Every adjacent pair of the joined sequence then occurs in a sequence that
+  the merges made, which is what fixes a token sequence of a vocabulary whose tokens all encode to
+  themselves (a test checks the rank file); so the tokens outside the window keep their places. A
+  long piece that is made of pieces of both sides is the product of their token sequences.
+
+Decoding turns short blocks of ids into bytes and concatenates neighbours up the tree.
 
 Defined results: null text is empty text and has no ids; the pieces of a text never share tokens;
-special tokens' strings are ordinary text; a text of any length is encoded whole. Extra columns of
+special tokens' strings are ordinary text; a text of any length is encoded whole; repeated rows and
+rows without an id have results of their own; an empty table gives an empty one. Extra columns of
 the input are kept out of the way: an operator reads the columns it is told and adds its own.
 """
 
@@ -27,7 +39,11 @@ from pyspark.sql import DataFrame
 from .common import map_rows, slices
 
 #: Bytes up to which a part is encoded directly.
-LEAF = 20
+LEAF = 12
+#: Characters up to which a part of a document is encoded directly, and tokens that a block decodes directly.
+PART, BLOCK = 1_024, 256
+#: Characters behind a match, at most, that the split pattern looks at.
+LOOK = 8
 #: Tokens on each side of a boundary that the first window holds.
 WINDOW = 3
 #: Outermost tokens of a window that must be the old ones before the join stops.
@@ -119,17 +135,73 @@ class ByteBpe:
         half = len(piece) // 2
         return self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
 
+    def element(self, text: str) -> tuple[list[str], list[bytes]]:
+        """Pieces of a text, and each one's packed ids."""
+        if len(text) <= PART:
+            found = self.pattern.findall(text)
+            return found, list(map(self.pieces.__getitem__, found))
+        half = len(text) // 2
+        return self.product(self.element(text[:half]), self.element(text[half:]))
+
+    def product(self, left: tuple[list[str], list[bytes]], right: tuple[list[str], list[bytes]]) -> tuple[list[str], list[bytes]]:
+        """The element of two neighbouring texts from theirs."""
+        pieces, after = left[0], right[0]
+        at, dropped = len(pieces), 0
+        while at and dropped < LOOK:
+            at -= 1
+            dropped += len(pieces[at])
+        tail, width = "".join(pieces[at:]), 4
+        while True:
+            window = tail + "".join(after[:width])
+            found = self.pattern.findall(window)
+            whole = width >= len(after)
+            sure = len(window) if whole else len(window) - LOOK
+            # Walk along the new boundaries and the right side's until two meet.
+            i, j, here, there = 0, 0, 0, len(tail)
+            while i < len(found) and (here < there or here < len(tail)):
+                here += len(found[i])
+                i += 1
+                while there < here and j < width and j < len(after):
+                    there += len(after[j])
+                    j += 1
+            if here == there and here <= sure:
+                break
+            width *= 2
+        parts = list(zip((*pieces[at:], *after[:j]), (*left[1][at:], *right[1][:j])))
+        return pieces[:at] + found[:i] + after[j:], left[1][:at] + self._coded(found[:i], parts) + right[1][j:]
+
+    def _coded(self, found: list[str], parts: list[tuple[str, bytes]]) -> list[bytes]:
+        """Packed ids of new pieces; long ones are products of old ones, where these make them up."""
+        out, k, ahead = [], 0, 0
+        for piece in found:
+            began = ahead == 0
+            first = k
+            ahead += len(piece)
+            while k < len(parts) and ahead >= len(parts[k][0]):
+                ahead -= len(parts[k][0])
+                k += 1
+            if len(piece) > LONGEST and began and ahead == 0:
+                out.append(self._packed(reduce_tree([self._tokens(c) for _, c in parts[first:k]], self.join, [])))
+            else:
+                out.append(self.pieces[piece])
+        return out
+
+    def _tokens(self, packed: bytes) -> list[bytes]:
+        return list(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+    def _packed(self, tokens: list[bytes]) -> bytes:
+        return b"".join(map(self.packed.__getitem__, tokens))
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        found = self.pattern.findall(text)
         if len(self.pieces) > REMEMBERED:
             self.pieces = _Pieces(self, self.pieces)
-        return b"".join(map(self.pieces.__getitem__, found))
+        return b"".join(self.element(text)[1])
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of a whole sequence of ids: blocks of tokens, concatenated up the tree."""
-        step, tokens = 4 * 65_536, self.tokens.__getitem__
-        blocks = [b"".join(map(tokens, np.frombuffer(ids[i : i + step], "<u4").tolist())) for i in range(0, len(ids), step)]
+        all_, tokens = np.frombuffer(ids, "<u4").tolist(), self.tokens.__getitem__
+        blocks = [b"".join(map(tokens, all_[i : i + BLOCK])) for i in range(0, len(all_), BLOCK)]
         return reduce_tree(blocks, bytes.__add__, b"")
 
 
@@ -145,7 +217,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = self.old.get(piece)
         if packed is None:
-            packed = b"".join(map(self.bpe.packed.__getitem__, self.bpe.encode_piece(piece.encode())))
+            packed = self.bpe._packed(self.bpe.encode_piece(piece.encode()))
         if len(piece) <= LONGEST:
             self[piece] = packed
         return packed

@@ -14,12 +14,12 @@ node from the start. For the others:
    D + 1 words only, D being the most that its own size allows. Sets that share an entry are
    candidates. Words made by few n-grams, which say little, are the ones left out.
 3. *Verify in rounds.* Every word that two nodes or more share gets a leader: its node of the best
-   support, which is the number of entries that the words of a node hold in all. The others are held
-   against it, by bit sketches first (one of 512 bits, one with some bits for each n-gram), then by
-   exact intersection. The links found make components. While a round still finds links, the next one
-   takes words whose nodes lie in different components and leads them by the largest component that
-   has not led there yet. Support picks the text that the others are copies of, so that a round or
-   two find nearly all components.
+   support, which is the number of its words that are shared. The others are held against it, by bit
+   sketches first (one of 512 bits, one with some bits for each n-gram), then by exact intersection.
+   The links found make components, and the leader, done with, leaves the word. While a round still
+   finds links, the next one takes words whose nodes lie in different components and leads them by
+   the largest component that has not led there yet. Support picks the text that the others are
+   copies of, so that a round or two find nearly all components.
 4. *Pair what is left.* Words whose nodes still lie in different components are joined with
    themselves; the sketches are part of that join's condition, so that it yields only pairs of
    different components which are all but sure to link. Those are intersected as well. Pairs whose
@@ -292,16 +292,15 @@ def _labelled(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     return members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _leaders(members: DataFrame, led: list[DataFrame]) -> DataFrame:
-    """key, ``leader`` and its component ``of``: of the largest component that has led no round of the key."""
-    for before in led:
-        members = members.join(before.select("key", F.col("leader").alias("node"), F.lit(1).alias("_led")), ["key", "node"], "left")
-        members = members.withColumn("led", F.greatest("led", F.coalesce("_led", F.lit(0)))).drop("_led")
-    best = F.max(F.struct("support", "node"))
-    by = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("led").alias("led"), best.alias("best"))
-    # In the first round every node is a component, so that support alone decides.
-    top = by.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.when(F.col("led") == 0, F.struct("n", "best", "comp"))).alias("top"))
-    return top.where("comps > 1 and top is not null").select("key", F.col("top.best.node").alias("leader"), F.col("top.comp").alias("of"))
+def _leaders(members: DataFrame, led: DataFrame | None) -> DataFrame:
+    """key, ``leader`` and its component ``of``, of keys with several: the largest one not in ``led`` (key, comp)."""
+    if led is None:  # every node is a component
+        by = members.select("key", "comp", F.lit(1).alias("n"), F.struct("support", "node").alias("best"), F.lit(1).alias("fresh"))
+    else:
+        by = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct("support", "node")).alias("best"))
+        by = by.join(led.withColumn("_led", F.lit(0)), ["key", "comp"], "left").withColumn("fresh", F.coalesce("_led", F.lit(1)))
+    top = by.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("fresh", "n", "best", "comp")).alias("top"))
+    return top.where("comps > 1").select("key", F.col("top.best.node").alias("leader"), F.col("top.comp").alias("of"))
 
 
 def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -314,9 +313,8 @@ def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[Data
     entries = rows.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
     members = cut(entries.join(shared, "key", "left_semi").distinct())
-    held = members.groupBy("key").agg(F.count("*").alias("held"))
-    support = members.join(held, "key").groupBy("node").agg(F.sum("held").alias("support"))
-    members = cut(members.join(support, "node").withColumn("led", F.lit(0)))
+    support = members.groupBy("node").agg(F.count("*").alias("support"))
+    members = members.join(support, "node")
     sets = cut(_sets(docs, lead.join(support, "node", "left_semi").select("lead.row"), join))
     facts = sets.select("node", "size", *sketch, "wide")
 
@@ -324,14 +322,17 @@ def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[Data
         both = pairs.join(facts.alias("p"), F.col("a") == F.col("p.node")).join(facts.alias("q"), F.col("b") == F.col("q.node"))
         return both.where(_near(join, "p", "q") & _within(join, "p", "q")).select("a", "b")
 
-    links, comp, tried, led, found, held_against = None, None, None, [], 1, 1
+    links, comp, tried, led, found, held_against = None, None, None, None, 1, 1
     # Rounds go on while more than one pair in a hundred is a link; what is left is exact in any case.
     while 100 * found > held_against:
         now = _labelled(members, comp)
-        leaders = cut(_leaders(now, led))
-        led.append(leaders)
-        stars = now.join(leaders, "key").where("comp != of").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        leaders = _leaders(now, None if led is None else _labelled(led, comp).select("key", "comp").distinct())
+        members = cut(now.join(leaders, "key").where("node != leader"))
+        stars = members.where("comp != of").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         near = cut(near_pairs(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")))
+        own = members.select("key", F.col("leader").alias("node")).distinct()
+        led = own if led is None else led.union(own)
+        members = members.select("key", "node", "support")
         held_against = near.count()
         if not held_against:
             break
@@ -342,6 +343,7 @@ def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[Data
             links = more if links is None else links.union(more)
             comp = cut(components(links))
 
+    # Leaders were held against all of their words' nodes, so only the other nodes can still make pairs.
     now = _labelled(members, comp)
     mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
     rest = cut(now.select("key", "node", "comp").join(mixed, "key", "left_semi").join(facts, "node"))
