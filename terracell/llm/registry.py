@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, html, langid, lz, mixing, parity_join, pii, topk, urls
+from .common import cut
 
 RULES = (
     urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"),
@@ -32,7 +33,8 @@ def _hex(binary: Column) -> Column:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
+    pages, counts = _table(spark, sf_dir, "pages").select("page_id", "url"), cut(urls.unigrams(_table(spark, sf_dir, "documents")))
+    return urls.judge_urls(pages, RULES, counts).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,22 @@
 """URL filters: rules by host and path, and a judge of words for the urls that no rule fits.
 
-The judge splits every token of host and path into words by a unigram Viterbi pass (concatenated
-names such as ``freebets`` become ``free bets``) and scores the words with multinomial naive Bayes.
-Both learn from a list of labelled word lines, a parameter; its default is short. Words that neither
-class has seen leave the prior as it is, and the prior favours allowing.
+Host and path are cut into tokens (runs of letters). The judge splits tokens that are no words of its
+own into words by a unigram Viterbi pass (``freebets`` becomes ``free bets``) and adds up what
+multinomial naive Bayes says of each word. The segmenter's unigrams are counted over a whole corpus,
+to which the judge's words are added; parts have at least LEAST letters each, and a token that does
+not split wholly into known words stays one unknown word, so that no letters split off a name
+(``essex``, ``netflix``) speak against it. The classifier learns from labelled lines of words, a
+parameter. Words of neither class leave the odds as they are, and the prior favours allowing.
+
+All of it runs as joins: distinct tokens meet the unigrams by their substrings, are split in batches,
+and meet the urls again by token. Neither the vocabulary nor the tokens are gathered anywhere; only
+the judge's own lines travel with the tasks.
 
 Defined results: null, and a url without ``://``, have an empty host and path, fit no rule and are
-judged on no words, hence allowed; of two rules of equal length the first given wins.
+judged on no words, hence allowed; of two rules of equal length the first given wins, of two splits
+of equal cost the one with the longer last word. Repeated urls have repeated results; urls of any
+length are read whole (a word has at most LONGEST letters); an empty table gives an empty one. All
+columns come back as they were, but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -14,43 +24,44 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import map_rows
 
-#: Labelled lines to learn from: what blocked and what allowed urls are made of.
+#: Letters of the shortest part and of the longest word.
+LEAST, LONGEST = 3, 24
+#: Count of a judge's word among a million words of the corpus, where the corpus hardly has it.
+SEEDED = 20.0
+#: Labelled lines to learn from: topics that a crawl leaves out, topics that it keeps, and in both
+#: what says nothing. They are general topic words, not taken from any table.
 BLOCK_LINES = (
-    "casino win casino bonus online casino live slots jackpot poker roulette",
-    "free bets betting odds bet now free spins gambling wager lottery",
-    "adult x adult video xxx porn sex cams nude escort erotic",
-    "spam farm link farm seo links buy links cheap traffic clicks",
-    "cheap pills viagra cialis pharmacy online no prescription",
-    "payday loans fast cash crypto doubler get rich quick",
-    "warez crack keygen torrent pirate download free hack",
-    "replica watches fake bags outlet discount cheap",
-    "www m blog example com net org html en de fr es",
+    "casino casinos gambling poker roulette slots jackpot bets betting wager lottery bingo",
+    "adult porn xxx sex nudes cams escort erotic fetish hentai",
+    "spam linkfarm seo backlinks clickbait popunder",
+    "pills viagra cialis pharmacy steroids weightloss",
+    "payday doubler forex binary scam",
+    "warez crack cracked keygen torrent pirate nulled hack cheats malware phishing",
+    "replica fake rolex",
 )
 ALLOW_LINES = (
-    "www m blog example com net org html en de fr es",
-    "news daily weather sport local world",
-    "journal article archive post story review",
-    "wiki encyclopedia science research university school library",
-    "docs manual help support reference guide tutorial",
-    "mobile app home index page about contact",
-    "language translation dictionary words",
-    "museum garden travel city map history music art",
-    "shop store product health food recipe family",
-    "data code open source project forum community",
-    "free software free online course learn video watch download",
+    "news daily weather sport local world report press journal magazine",
+    "article archive post story review author editor column",
+    "wiki encyclopedia science research university school library college institute",
+    "docs manual help support reference guide tutorial learning course lesson",
+    "language translation dictionary grammar poem novel book books",
+    "museum garden travel city map history music art film theatre",
+    "recipe kitchen family health hospital clinic nature animal",
+    "data code software project forum community developer source",
+    "government council court law police public service transport",
+)
+BOTH_LINES = (
+    "www blog mobile example com net org html htm php index page home site web app shop store",
+    "free online live best top video games download buy win farm cheap discount deals credit loan cash drugs",
 )
-_SPLIT = regex.compile(r"[\p{L}]+")
 
 
 @dataclass(frozen=True)
@@ -69,47 +80,79 @@ class Rule:
         return "/" + self.text.partition("/")[2]
 
 
+@dataclass(frozen=True)
 class Judge:
-    """Unigram segmenter and naive Bayes classifier."""
-
-    def __init__(self, block: Iterable[str] = BLOCK_LINES, allow: Iterable[str] = ALLOW_LINES, prior: float = 0.2, margin: float = 0.5) -> None:
-        self.counts = {k: Counter(w for line in lines for w in line.lower().split()) for k, lines in (("block", block), ("allow", allow))}
-        both = self.counts["block"] + self.counts["allow"]
-        total = sum(both.values())
-        self.cost = {w: -math.log(n / (total + 1)) for w, n in both.items()}
-        self.longest = max(map(len, self.cost), default=1)
-        self.prior, self.margin, self.words = prior, margin, len(both)
-        self.totals = {k: sum(c.values()) for k, c in self.counts.items()}
-        self.segment = lru_cache(50_000)(self._segment)
-
-    def _segment(self, token: str) -> tuple[str, ...]:
-        """The split of least cost; letters outside known words cost much each, and a new run of them more."""
-        best = [(0.0, 0, True)] + [(math.inf, 0, True)] * len(token)
-        for i in range(1, len(token) + 1):
-            c, j, known = best[i - 1]
-            best[i] = (c + 6.0 + (4.0 if known and i > 1 else 0.0), i - 1 if known else j, False)
-            for k in range(max(0, i - self.longest), i):
-                w = self.cost.get(token[k:i])
-                if w is not None and best[k][0] + w <= best[i][0]:
-                    best[i] = (best[k][0] + w, k, True)
-        out, i = [], len(token)
-        while i:
-            j = best[i][1]
-            out.append(token[j:i])
-            i = j
-        return tuple(reversed(out))
-
-    def words_of(self, host: str, path: str) -> list[str]:
-        return [w for token in _SPLIT.findall(f"{host} {path}".lower()) for w in self.segment(token)]
-
-    def score(self, host: str, path: str) -> float:
-        """Log odds of blocking."""
-        odds = math.log(self.prior / (1 - self.prior))
-        for w in self.words_of(host, path):
-            b, a = self.counts["block"][w], self.counts["allow"][w]
-            if b or a:
-                odds += math.log((b + 0.1) / (self.totals["block"] + 0.1 * self.words)) - math.log((a + 0.1) / (self.totals["allow"] + 0.1 * self.words))
-        return odds
+    """Multinomial naive Bayes over words, with add-``smooth`` counts."""
+
+    block: tuple[str, ...] = BLOCK_LINES + BOTH_LINES
+    allow: tuple[str, ...] = ALLOW_LINES + BOTH_LINES
+    prior: float = 0.2
+    margin: float = 0.0
+    smooth: float = 0.1
+    odds: dict[str, float] = field(init=False)
+
+    def __post_init__(self) -> None:
+        b, a = (Counter(w for line in lines for w in line.lower().split()) for lines in (self.block, self.allow))
+        words = b.keys() | a.keys()
+        share = lambda c, w: (c[w] + self.smooth) / (c.total() + self.smooth * len(words))
+        object.__setattr__(self, "odds", {w: math.log(share(b, w) / share(a, w)) for w in sorted(words)})
+
+    @property
+    def start(self) -> float:
+        return math.log(self.prior / (1 - self.prior))
+
+
+def segment(token: str, cost: dict[str, float]) -> list[str]:
+    """The split into known words of least cost; the token itself where there is none."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for i in range(1, len(token) + 1):
+        here = (math.inf, 0)
+        for k in range(max(0, i - LONGEST), i - LEAST + 1):
+            c = cost.get(token[k:i])
+            if c is not None and best[k][0] + c < here[0]:
+                here = (best[k][0] + c, k)
+        best.append(here)
+    if math.isinf(best[-1][0]) or not token:
+        return [token]
+    out, i = [], len(token)
+    while i:
+        out.append(token[best[i][1] : i])
+        i = best[i][1]
+    return out[::-1]
+
+
+def unigrams(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of every word of LEAST to LONGEST letters in all texts, lower-cased."""
+    words = F.regexp_extract_all(F.lower(texts[text]), F.lit(r"(?<!\p{L})\p{L}{%d,%d}(?!\p{L})" % (LEAST, LONGEST)), F.lit(0))
+    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def _tokens(host: Column, path: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.concat(host, F.lit(" "), path)), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def split_tokens(tokens: DataFrame, counts: DataFrame | None, judge: Judge = Judge()) -> DataFrame:
+    """(token, words, odds) of distinct tokens (``token``) that have a part the corpus or the judge knows."""
+    spark = tokens.sparkSession
+    seeds = spark.createDataFrame([(w, 0.0) for w in judge.odds if len(w) >= LEAST], "word string, n double")
+    known = seeds if counts is None else counts.select("word", F.col("n").cast("double").alias("n")).union(seeds)
+    total = (None if counts is None else counts.agg(F.sum("n")).first()[0]) or 1_000_000
+    own = F.col("word").isin(*judge.odds)
+    known = known.groupBy("word").agg(F.sum("n").alias("n")).select("word", F.when(own, F.greatest("n", F.lit(SEEDED * total / 1e6))).otherwise(F.col("n")).alias("n"))
+    # Every substring of a token that may be a word.
+    starts = F.sequence(F.lit(1), F.length("token") - LEAST + 1)
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(LEAST), F.least(F.lit(LONGEST), F.length("token") - i + 1)), lambda n: F.substring(F.col("token"), i, n))))
+    tokens = tokens.where(F.length("token") >= LEAST)
+    pieces = tokens.select("token", F.explode(F.array_distinct(parts)).alias("word"))
+    met = pieces.join(known, "word").groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    odds = judge.odds
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [segment(t, {k["word"]: -math.log(k["n"] / total) + 1e-9 for k in ks}) for t, ks in zip(batch.column("token").to_pylist(), batch.column("known").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(words, pa.list_(pa.string())), pa.array([sum(odds.get(w, 0.0) for w in ws) for ws in words], pa.float64())], ["token", "words", "odds"])
+
+    return map_rows(met, run, "token string, words array<string>, odds double")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -126,29 +169,32 @@ def _fits(rule: Rule, host: Column, path: Column) -> Column:
     return ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
 
 
-def judge_urls(df: DataFrame, rules: Iterable[Rule] = (), judge: tuple[Iterable[str], Iterable[str]] | None = None, url: str = "url") -> DataFrame:
+def judge_urls(df: DataFrame, rules: Iterable[Rule] = (), counts: DataFrame | None = None, judge: Judge = Judge(), url: str = "url") -> DataFrame:
     """The rows with ``host``, ``path``, ``rule``, ``verdict`` and ``odds`` (the judge's, where no rule fits).
 
-    ``judge``: the lines of blocked and of allowed words that the judge learns from.
+    ``counts``: (word, n), the unigrams of a corpus.
     """
     made = ["host", "path", "rule", "verdict", "odds"]
     kept = [c for c in df.columns if c not in made]
     host, path = host_and_path(df[url])
-    df = df.select(*kept, host.alias("host"), path.alias("path"))
-    rules = sorted(rules, key=lambda r: -len(r.text))
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in reversed(rules):
+    for r in reversed(sorted(rules, key=lambda r: -len(r.text))):
         ok = _fits(r, F.col("host"), F.col("path"))
         text, verdict = F.when(ok, F.lit(r.text)).otherwise(text), F.when(ok, F.lit(r.verdict)).otherwise(verdict)
-    df = df.withColumns({"rule": text, "verdict": verdict})
-    lines = judge or (BLOCK_LINES, ALLOW_LINES)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Judge(*lines)
-        for batch in batches:
-            odds = [None if r is not None else own.score(h, p) for h, p, r in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rule")))]
-            out = [v if v is not None else ("block" if o > own.margin else "allow") for v, o in zip(batch.column("verdict").to_pylist(), odds)]
-            cols = {c: batch.column(c) for c in batch.schema.names} | {"verdict": pa.array(out, pa.string()), "odds": pa.array(odds, pa.float64())}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    return map_rows(df, run, StructType([*df.schema.fields, StructField("odds", DoubleType())]))
+    rows = df.select(F.struct(F.lit(0).alias("_"), *(df[c] for c in kept)).alias("row"), host.alias("host"), path.alias("path")).withColumns({"rule": text, "verdict": verdict})
+
+    # The judge's own words need no splitting, and shorter tokens have nothing to split.
+    open_ = rows.where("rule is null").select("host", "path").distinct().withColumn("tokens", _tokens(F.col("host"), F.col("path")))
+    own = F.create_map(*[F.lit(x) for w in judge.odds.items() for x in w])
+    plain = F.aggregate("tokens", F.lit(0.0), lambda s, t: s + F.coalesce(own[t], F.lit(0.0)))
+    other = F.filter("tokens", lambda t: own[t].isNull() & (F.length(t) >= 2 * LEAST))
+    open_ = open_.select("host", "path", plain.alias("plain"), other.alias("other"))
+    asked = open_.select("host", "path", F.explode("other").alias("token"))
+    # Most tokens say nothing, and leave no row.
+    split = split_tokens(asked.select("token").distinct(), counts, judge).where("odds != 0").select("token", "odds")
+    more = asked.join(split, "token").groupBy("host", "path").agg(F.sum("odds").alias("more"))
+    judged = open_.join(more, ["host", "path"], "left").select("host", "path", (F.lit(judge.start) + F.col("plain") + F.coalesce("more", F.lit(0.0))).alias("odds"))
+    out = rows.where("rule is null").join(judged, ["host", "path"], "left").select("row", "host", "path", "rule", "verdict", "odds")
+    out = out.withColumn("verdict", F.when(F.col("odds") > judge.margin, "block").otherwise("allow"))
+    out = rows.where("rule is not null").withColumn("odds", F.lit(None).cast("double")).unionByName(out)
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), *made)
