@@ -36,8 +36,8 @@ from .common import map_rows
 LEAST, LONGEST = 3, 24
 #: Count of a judge's word among a million words of the corpus, where the corpus hardly has it.
 SEEDED = 20.0
-#: Labelled lines to learn from: topics that a crawl leaves out, topics that it keeps, and in both
-#: what says nothing. They are general topic words, not taken from any table.
+#: Labelled lines to learn from: topics that a crawl leaves out, topics that it keeps, and words that
+#: say nothing. They are general topic words, not taken from any table.
 BLOCK_LINES = (
     "casino casinos gambling poker roulette slots jackpot bets betting wager lottery bingo",
     "adult porn xxx sex nudes cams escort erotic fetish hentai",
@@ -58,7 +58,7 @@ ALLOW_LINES = (
     "data code software project forum community developer source",
     "government council court law police public service transport",
 )
-BOTH_LINES = (
+NEUTRAL_LINES = (
     "www blog mobile example com net org html htm php index page home site web app shop store",
     "free online live best top video games download buy win farm cheap discount deals credit loan cash drugs",
 )
@@ -82,10 +82,11 @@ class Rule:
 
 @dataclass(frozen=True)
 class Judge:
-    """Multinomial naive Bayes over words, with add-``smooth`` counts."""
+    """Multinomial naive Bayes over words, with add-``smooth`` counts; neutral words are known, and even."""
 
-    block: tuple[str, ...] = BLOCK_LINES + BOTH_LINES
-    allow: tuple[str, ...] = ALLOW_LINES + BOTH_LINES
+    block: tuple[str, ...] = BLOCK_LINES
+    allow: tuple[str, ...] = ALLOW_LINES
+    neutral: tuple[str, ...] = NEUTRAL_LINES
     prior: float = 0.2
     margin: float = 0.0
     smooth: float = 0.1
@@ -95,7 +96,8 @@ class Judge:
         b, a = (Counter(w for line in lines for w in line.lower().split()) for lines in (self.block, self.allow))
         words = b.keys() | a.keys()
         share = lambda c, w: (c[w] + self.smooth) / (c.total() + self.smooth * len(words))
-        object.__setattr__(self, "odds", {w: math.log(share(b, w) / share(a, w)) for w in sorted(words)})
+        even = {w: 0.0 for line in self.neutral for w in line.lower().split()}
+        object.__setattr__(self, "odds", even | {w: math.log(share(b, w) / share(a, w)) for w in sorted(words)})
 
     @property
     def start(self) -> float:
