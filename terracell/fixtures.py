@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Corners of a shape's outer ring, its hole, and its other part, from the north-west corner of its field.
+SHAPE = ((("113e-4", "97e-4"), ("4719e-4", "631e-4"), ("4127e-4", "4533e-4"), ("871e-4", "3917e-4")), (("1571e-4", "1333e-4"), ("3119e-4", "1217e-4"), ("2399e-4", "2903e-4")), (("5231e-4", "1019e-4"), ("6791e-4", "3529e-4"), ("4943e-4", "5717e-4")))
 LON0, LAT0, STEP = -13.5, 10.0, 0.05
 
 
@@ -66,5 +68,18 @@ def nation_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones(spark, sf_dir).where("level = 3")
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones with slanted sides, a hole and a second part, one for each nation."""
+    n = table(spark, sf_dir, "nation").selectExpr("*", "-13.525e0 + (n_nationkey % 5) * 7e-1 AS x0", "10.025e0 - floor(n_nationkey / 5) * 6e-1 AS y1")
+    ring = lambda corners: "array(" + ", ".join(f"named_struct('x', x0 + {a}, 'y', y1 - {b})" for a, b in corners) + ")"
+    return n.selectExpr("concat('S', n_nationkey) AS zone_id", f"array({', '.join(map(ring, SHAPE))}) AS rings")
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones without their rings, and customers as units below the nations."""
+    c = table(spark, sf_dir, "customer").selectExpr("concat('C', c_custkey) AS zone_id", "c_name AS name", "4 AS level", "concat('N', c_nationkey) AS parent_id")
+    return zones(spark, sf_dir).drop("ring").unionByName(c)
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS point_id", "-13.5e0 + (s_suppkey % 68) * 5e-2 + 1e-2 AS lon", "10e0 - (s_suppkey % 62) * 5e-2 + 1e-2 AS lat")

@@ -75,11 +75,6 @@ def spatial_arguments(requests: DataFrame, default_bbox: str | None = None, defa
     return out.where("bbox is not null and country_code is not null"), out.withColumn("reason", missing).where("reason is not null")
 
 
-def same_scope(a: Column, b: Column) -> Column:
-    """Request scopes that are equal, nulls included."""
-    return a.eqNullSafe(b)
-
-
 def dedup_lookup(artifacts: DataFrame, requests: DataFrame, scope: list[str], prefer_zarr: bool = False) -> DataFrame:
     """Of each request the newest artifact of the same dataset and scope."""
     stored = artifacts.where("format = 'zarr'") if prefer_zarr else artifacts
@@ -93,6 +88,34 @@ def dedup_lookup(artifacts: DataFrame, requests: DataFrame, scope: list[str], pr
     return found.groupBy("request_id").agg(F.max("seq").alias("seq"))
 
 
+def new_requests(artifacts: DataFrame, requests: DataFrame, scope: list[str], prefer_zarr: bool = False) -> DataFrame:
+    """Requests for which nothing of the same dataset and scope is stored."""
+    stored = artifacts.where("format = 'zarr'") if prefer_zarr else artifacts
+    a, r = stored.select("dataset_id", *scope).distinct().alias("a"), requests.alias("r")
+    same = F.col("a.dataset_id") == F.col("r.dataset_id")
+    for c in scope:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return r.join(a, same, "left_anti")
+
+
+def datasets_of(ingestions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Each ingestion's managed dataset, as its latest record describes it."""
+    managed = ingestions.select("artifact_id").join(artifacts.select("artifact_id", "managed_id"), "artifact_id")
+    return managed.join(latest(artifacts).drop("artifact_id"), "managed_id")
+
+
+def append_records(records: DataFrame, path: str) -> None:
+    """Store records; one that is there already is replaced by its higher ``version_seq``."""
+    records.write.mode("append").parquet(path)
+
+
+def replacing(records: DataFrame, changed: DataFrame) -> DataFrame:
+    """What to append so that the changed records take the place of those of the same id."""
+    last = records.groupBy("artifact_id").agg(F.max("version_seq").alias("_last"))
+    next_ = changed.drop("version_seq").join(last, "artifact_id", "left")
+    return next_.withColumn("version_seq", F.coalesce("_last", F.lit(0)) + 1).select(records.columns)
+
+
 def published(artifacts: DataFrame, as_of: Column) -> DataFrame:
     """Records as they stand once published; those that are published already stay as they are."""
     p = F.col("publication")

@@ -99,15 +99,30 @@ def compact(df: DataFrame, path: str) -> None:
     )
 
 
-def append_missing(stored: DataFrame, landed: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Landed cells that the store does not have; repeated keys within one landing count once."""
-    return landed.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+def append_missing(stored: DataFrame, landed: DataFrame, keys: list[str] = KEY, newest: list[Column] | None = None) -> DataFrame:
+    """Landed cells that the store does not have; of a repeated key within one landing the newest counts.
 
+    Without an order of landing the largest row counts, so that a rerun stores the same one.
+    """
+    order = newest or [F.desc(c) for c in landed.columns if c not in keys]
+    return resolve_by_key(landed, keys, order or [F.asc(keys[0])]).join(stored.select(*keys), keys, "left_anti")
 
-def ingest(landed: DataFrame, stored: DataFrame | None, start: str, end: str | None, bbox: tuple | None, as_of: str, overwrite: bool = False) -> DataFrame:
-    """What a request adds: landed cells of its window (to today, if it names no end) that are new."""
+
+def by_parameters(df: DataFrame, variables: list[str] | None = None, stage: str = "final", version: str | None = None) -> DataFrame:
+    """Granule rows of the wanted variables, product stage (none means final) and version, as far as these are columns."""
+    if variables and "variable" in df.columns:
+        df = df.where(F.col("variable").isin(variables))
+    if "stage" in df.columns:
+        df = df.where(F.coalesce("stage", F.lit("final")) == stage)
+    return df.where(F.col("version") == version) if version and "version" in df.columns else df
+
+
+def ingest(landed: DataFrame, stored: DataFrame | None, start: str, end: str | None, bbox: tuple | None, as_of: str, overwrite: bool = False, keys: list[str] = KEY, newest: list[Column] | None = None) -> DataFrame:
+    """What a request adds: landed cells of its window (to today, if it names no end), new ones unless it overwrites."""
     wanted = subset(landed, start, end or as_of, bbox)
-    return wanted if overwrite or stored is None else append_missing(stored, wanted)
+    if overwrite or stored is None:
+        stored = wanted.limit(0)
+    return append_missing(stored, wanted, keys, newest)
 
 
 def open_cells(spark: SparkSession, store: str | None, granules: DataFrame | None, dataset_id: str) -> DataFrame:

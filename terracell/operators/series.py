@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods
@@ -44,13 +44,38 @@ def convert_units(df: DataFrame, units: str, to: str | None) -> DataFrame:
     return df.withColumn("value", F.col("value") * F.lit(factor) + F.lit(offset))
 
 
-STEPS: dict[str, Callable[[DataFrame], DataFrame]] = {"deaccumulate_era5": deaccumulate, "resample_daily": lambda df: resample(df, "daily")}
+def conversions(spark: SparkSession) -> DataFrame:
+    """The known conversions as a table."""
+    return spark.createDataFrame([(a, b, *c) for (a, b), c in CONVERSIONS.items()], "units string, convert_units string, factor double, offset double")
 
 
-def processed(df: DataFrame, steps: list[str]) -> DataFrame:
-    """The named steps in their order."""
-    for name in steps:
+def convert_by_row(df: DataFrame, conversions: DataFrame) -> DataFrame:
+    """Values in the unit that each row's ``convert_units`` names; a row whose pair is not in the table is an error.
+
+    ``conversions``: units, convert_units, factor and offset. Rows that name no unit, or their own, stay.
+    """
+    out = df.join(conversions, ["units", "convert_units"], "left")
+    same = F.col("convert_units").isNull() | (F.col("convert_units") == F.col("units"))
+    lost = F.raise_error(F.concat(F.lit("no conversion from "), F.coalesce("units", F.lit("none")), F.lit(" to "), F.col("convert_units"))).cast("double")
+    value = F.when(same, F.col("value")).when(F.col("factor").isNotNull(), F.col("value") * F.col("factor") + F.col("offset")).otherwise(lost)
+    return out.withColumn("value", value).select(df.columns)
+
+
+STEPS: dict[str, Callable[..., DataFrame]] = {"deaccumulate_era5": deaccumulate, "resample_daily": lambda df: resample(df, "daily"), "convert_units": convert_units, "spell_length": spell_length}
+
+
+def processed(df: DataFrame, steps: list[str | tuple]) -> DataFrame:
+    """The named steps in their order; a step that takes arguments is a tuple of its name and these."""
+    for step in steps:
+        name, *arguments = (step,) if isinstance(step, str) else step
         if name not in STEPS:
             raise ValueError(f"no step {name}")
-        df = df.transform(STEPS[name])
+        df = STEPS[name](df, *arguments)
     return df
+
+
+def template_steps(template: dict) -> list[str | tuple]:
+    """What a template asks for: its steps, then its change of units."""
+    steps = list(template.get("pre_process") or [])
+    to = template.get("convert_units")
+    return steps + [("convert_units", template["units"], to)] if to else steps

@@ -22,16 +22,24 @@ FILTER_COLUMNS = ("name", "code", "shortname", "level", "openingdate", "zone_id"
 
 
 def with_edges(zones: DataFrame) -> DataFrame:
-    """``edges``: the sides of each zone's closed ring."""
-    ring = F.col("ring")
-    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    """``edges``: the sides of each zone's closed rings.
+
+    A ray that crosses an odd count of them starts inside, so holes and zones of several parts need
+    nothing else.
+    """
     side = lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
-    return zones.withColumn("edges", F.zip_with(ring, after, side))
+    after = lambda r: F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+    return zones.withColumn("edges", F.flatten(F.transform(_rings(zones), lambda r: F.zip_with(r, after(r), side))))
+
+
+def _rings(zones: DataFrame) -> Column:
+    """All rings of a zone: ``rings`` (outer ones and holes of all parts), or else the one in ``ring``."""
+    return F.col("rings") if "rings" in zones.columns else F.array("ring")
 
 
 def bounds(zones: DataFrame, *keys: str) -> DataFrame:
     """Bounding box of all vertices, of each key if keys are given."""
-    v = zones.select(*keys, F.explode("ring").alias("p"))
+    v = zones.select(*keys, F.explode(F.flatten(_rings(zones))).alias("p"))
     return v.groupBy(*keys).agg(F.min("p.x").alias("xmin"), F.min("p.y").alias("ymin"), F.max("p.x").alias("xmax"), F.max("p.y").alias("ymax"))
 
 
@@ -90,15 +98,22 @@ def _final(reducers: tuple[str, ...]) -> list[Column]:
 def zonal_statistics(cells: DataFrame, zones: DataFrame, reducers: tuple[str, ...] = ("mean",), all_touched: tuple[float, float] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Statistics of the values in each zone (and of each key); nulls are skipped, empty zones kept.
 
-    Counts, sums and extremes are summed up for each cell before it meets the zones. A median or a
-    deviation needs the values themselves, so with one of these all values take that path.
+    Counts, sums and extremes are summed up for each cell before it meets the zones. A deviation needs
+    the values themselves, so all values take that path with it, in partial aggregates; a median takes
+    how often each value occurs in a zone, so that no zone's cells are gathered.
     """
     if bad := set(reducers) - set(REDUCERS):
         raise ValueError(f"unknown reducers {sorted(bad)}")
     if {"median", "std"} & set(reducers):
         met = cells_in_zones(cells.where("value is not null").select(*keys, "lon", "lat", "value"), zones, all_touched)
-        made = {"count": F.count("value"), "sum": F.sum("value"), "mean": F.avg("value"), "min": F.min("value"), "max": F.max("value"), "median": F.median("value"), "std": F.stddev_pop("value")}
-        stats = met.groupBy("zone_id", *keys).agg(*(made[r].alias(r) for r in reducers))
+        made = {"count": F.count("value"), "sum": F.sum("value"), "mean": F.avg("value"), "min": F.min("value"), "max": F.max("value"), "std": F.stddev_pop("value")}
+        plain = [made[r].alias(r) for r in reducers if r != "median"]
+        stats = met.groupBy("zone_id", *keys).agg(*plain) if plain else None
+        if "median" in reducers:
+            often = met.groupBy("zone_id", *keys, "value").agg(F.count("*").alias("n"))
+            middle = often.groupBy("zone_id", *keys).agg(F.percentile("value", 0.5, F.col("n")).alias("median"))
+            same = lambda a, b: reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in ("zone_id", *keys)))
+            stats = middle if stats is None else stats.join(middle, same(stats, middle)).select(*(stats[k] for k in ("zone_id", *keys)), *reducers)
     else:
         per = cells.where("value is not null").groupBy(*keys, "lon", "lat").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         stats = cells_in_zones(per, zones, all_touched).groupBy("zone_id", *keys).agg(*_final(reducers))
@@ -126,15 +141,23 @@ def select_zones(zones: DataFrame, level: int | None = None, parent: str | None
     return out if ids is None else out.where(F.col("zone_id").isin(ids))
 
 
-def subtree(zones: DataFrame, root: str, depth: int = 12) -> DataFrame:
-    """A zone and all below it, level by level; ``depth`` bounds the hierarchy's levels."""
-    level, out = zones.where(F.col("zone_id") == root), None
-    for _ in range(depth):
-        out = level if out is None else out.unionByName(level)
-        if level.isEmpty():
-            break
+def subtree(zones: DataFrame, root: str) -> DataFrame:
+    """A zone and all below it, level by level until one is empty; a zone below itself is an error."""
+    level = out = zones.where(F.col("zone_id") == root)
+    while True:
         level = zones.join(level.select(F.col("zone_id").alias("parent_id")), "parent_id", "left_semi").select(zones.columns)
-    return out
+        if level.isEmpty():
+            return out
+        if not level.join(out.select("zone_id"), "zone_id", "left_semi").isEmpty():
+            raise ValueError(f"a zone below {root} is below itself")
+        out = out.unionByName(level)
+
+
+def fields(zones: DataFrame, names: list[str], zone_id: str | None = None) -> DataFrame:
+    """The named fields of all zones, or of one."""
+    if unknown := [n for n in names if n not in zones.columns]:
+        raise ValueError(f"no fields {unknown}")
+    return (zones if zone_id is None else zones.where(F.col("zone_id") == zone_id)).select(*names)
 
 
 def attribute_filter(zones: DataFrame, text: str) -> DataFrame:
@@ -160,10 +183,6 @@ def unit_values(cells: DataFrame, zones: DataFrame, resolution: str = "monthly",
     """
     reduce_ = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": F.median, "count": F.count, "std": F.stddev_pop}
     where = cells_in_zones(cells.select("lon", "lat").distinct(), zones)
-    at_time = cells.join(where, ["lon", "lat"]).groupBy("zone_id", "time").agg(reduce_[spatial]("value").alias("value"))
+    at_time = cells.select("lon", "lat", "time", "value").join(where, ["lon", "lat"]).groupBy("zone_id", "time").agg(reduce_[spatial]("value").alias("value"))
     at_time = at_time.withColumn("period", periods.truncated(F.col("time"), resolution))
     return at_time.groupBy("zone_id", "period").agg(reduce_[temporal]("value").alias("value"))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import periods
@@ -24,8 +24,8 @@ def sync_plan(artifacts: DataFrame, templates: DataFrame, end: str | None, as_of
     return rows.withColumn("status", status).withColumns({"start": F.when(F.col("status") == "due", F.col("next_start")), "end": F.when(F.col("status") == "due", F.col("sync_end"))})
 
 
-def incremental(stored: DataFrame, landed: DataFrame, plan: DataFrame, keys: list[str] = cells.KEY) -> DataFrame:
+def incremental(stored: DataFrame, landed: DataFrame, plan: DataFrame, keys: list[str] = cells.KEY, newest: list[Column] | None = None) -> DataFrame:
     """Landed cells within their dataset's due window that are not stored yet."""
     due = plan.where("status = 'due'").select("dataset_id", periods.lower_bound(F.substring("start", 1, 13)).alias("_lo"), periods.upper_bound(F.col("end")).alias("_hi"))
     wanted = landed.join(due, "dataset_id").where("time >= _lo and time < _hi").drop("_lo", "_hi")
-    return cells.append_missing(stored, wanted, keys)
+    return cells.append_missing(stored, wanted, keys, newest)

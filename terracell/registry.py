@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from . import schemas
 from .functions import identity, periods
 from .operators import catalog, cells, export, series, zones
 from .plans import sync
@@ -68,6 +70,12 @@ def _managed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.with_managed_id(fx.artifacts(spark, sf_dir))
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder that executors and driver share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/{name}-{uuid.uuid4()}"
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -100,18 +108,66 @@ def chunk_layout(spark, sf_dir):
     return laid.groupBy("time_chunk", "tile_x", "tile_y").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query(f"""WITH {_CELLS}, k AS (SELECT *, row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule, line) AS n, min(granule) OVER (PARTITION BY time, ix, iy) AS g FROM cells WHERE time >= '1996-01-01' AND time < '1997-01-01')
-SELECT strftime(time, '%Y-%m') AS month, count(*) AS added FROM k WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM cells s WHERE s.time = k.time AND s.ix = k.ix AND s.iy = k.iy AND s.granule % 2 = 0) GROUP BY 1""")
+_CELL_KEY = ["dataset_id", "time", "ix", "iy"]
+
+
+def _newest() -> list:
+    return [F.desc("granule"), F.desc("line")]
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule DESC, line DESC) = 1)
+SELECT strftime(time, '%Y-%m') AS month, count(*) AS added, sum(value) AS total FROM k WHERE NOT EXISTS (SELECT 1 FROM cells s WHERE s.time = k.time AND s.ix = k.ix AND s.iy = k.iy AND s.granule % 2 = 0) GROUP BY 1""")
 def incremental_append(spark, sf_dir):
     c = fx.daily_cells(spark, sf_dir)
-    stored = c.where("granule % 2 = 0")
-    added = cells.append_missing(stored, cells.subset(c, "1996", "1996"), ["dataset_id", "time", "ix", "iy"])
-    return added.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("added"))
+    added = cells.append_missing(c.where("granule % 2 = 0"), c, _CELL_KEY, _newest())
+    return added.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("added"), F.sum("value").alias("total"))
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT * FROM cells WHERE time >= '1996-01-01' AND time < '{AS_OF}'::DATE + 1 AND lon BETWEEN -13e0 AND -11e0 AND lat BETWEEN 8e0 AND 9.5e0 QUALIFY row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule DESC, line DESC) = 1)
+SELECT strftime(time, '%Y-%m') AS month, count(*) AS added, sum(value) AS total FROM k WHERE NOT EXISTS (SELECT 1 FROM cells s WHERE s.time = k.time AND s.ix = k.ix AND s.iy = k.iy AND s.granule % 2 = 0) GROUP BY 1""")
+def ingest_new(spark, sf_dir):
+    c = fx.daily_cells(spark, sf_dir)
+    new = cells.ingest(c, c.where("granule % 2 = 0"), "1996", None, (-13.0, 8.0, -11.0, 9.5), AS_OF, keys=_CELL_KEY, newest=_newest())
+    return new.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("added"), F.sum("value").alias("total"))
+
+
+@query(f"""WITH {_CELLS} SELECT strftime(time, '%Y-%m') AS month, count(*) AS added, sum(value) AS total FROM (SELECT * FROM cells WHERE time >= '1996-01-01' AND time < '1999-01-01' QUALIFY row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule DESC, line DESC) = 1) GROUP BY 1""")
+def ingest_overwrite(spark, sf_dir):
+    c = fx.daily_cells(spark, sf_dir)
+    new = cells.ingest(c, c, "1996", "1998", None, AS_OF, overwrite=True, keys=_CELL_KEY, newest=_newest())
+    return new.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("added"), F.sum("value").alias("total"))
+
+
+@query(f"""WITH {_CELLS} SELECT strftime(time, '%Y-%m') AS month, count(*) AS n, sum(value) AS total FROM cells WHERE time >= '1996-01-01' AND time < '2001-01-01' GROUP BY 1""")
+def store_scan(spark, sf_dir):
+    """Half of the cells go through a store, the newer half is read from granules."""
+    c = cells.with_layout(fx.daily_cells(spark, sf_dir), "daily", F.col("ix"), F.col("iy"), spatial=8)
+    path = _shared(spark, "store")
+    cells.compact(c.where("time < '1999-01-01'").select(*cells.KEY, "value", "time_chunk", "tile_x", "tile_y"), path)
+    both = cells.subset(cells.open_cells(spark, path, c, "grid_daily"), "1996", "2000")
+    return both.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("""SELECT l_returnflag AS variable, count(*) AS n, sum(l_quantity) AS total FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_linestatus = 'F' GROUP BY 1""")
+def granule_parameters(spark, sf_dir):
+    g = fx.table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS variable", "CASE l_linestatus WHEN 'F' THEN NULL ELSE 'prelim' END AS stage", "l_quantity AS value")
+    return cells.by_parameters(g, ["A", "N"]).groupBy("variable").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT * FROM cells WHERE time >= '1999-01-01' AND time < '2000-07-01' QUALIFY row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule DESC, line DESC) = 1)
+SELECT strftime(time, '%Y-%m') AS month, count(*) AS added, sum(value) AS total FROM k GROUP BY 1""")
+def sync_apply(spark, sf_dir):
+    c = fx.daily_cells(spark, sf_dir)
+    stored = c.where("time < '1999-01-01'")
+    end = cells.coverage(stored, F.lit("daily")).select("dataset_id", F.lit("1998-12-31").alias("coverage_end"), F.lit("grid_daily").alias("managed_id"), F.col("end").alias("created_at"), F.lit(1).alias("seq"))
+    plan = sync.sync_plan(end, end.select("dataset_id", F.lit("daily").alias("period_type")), "2000-06-30", AS_OF)
+    new = sync.incremental(stored, c, plan, _CELL_KEY, _newest())
+    return new.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("added"), F.sum("value").alias("total"))
 
 
-@query(f"""WITH {_CELLS} SELECT dataset_id, time, lon, lat, CASE WHEN value <> 50 THEN value END AS value FROM cells WHERE time >= '1997-03-01' AND time < '1997-04-01'""")
+@query(f"""WITH {_CELLS} SELECT dataset_id, time, lon, lat, CASE WHEN value <> 50 THEN value END AS value FROM cells""")
 def nodata_filter(spark, sf_dir):
-    return cells.without_nodata(cells.subset(fx.daily_cells(spark, sf_dir), "1997-03", "1997-03").select(*cells.KEY, "value"), 50.0)
+    return cells.without_nodata(fx.daily_cells(spark, sf_dir).select(*cells.KEY, "value"), 50.0)
 
 
 @query(f"""WITH {_CELLS} SELECT time, lat, lon FROM cells WHERE time >= '1996-06-01' AND time < '1996-07-01' AND lon BETWEEN -13e0 AND -12e0 AND lat BETWEEN 8e0 AND 9e0 ORDER BY time, lat, lon LIMIT 20""")
@@ -184,11 +240,77 @@ def dataset_details(spark, sf_dir):
     return d.select("managed_id", F.array_join(F.transform("versions", lambda v: F.concat_ws(":", v["id"], v["format"])), ",").alias("versions"), F.size("versions").cast("bigint").alias("n"))
 
 
-@query(f"""WITH {_ARTIFACTS} SELECT r.seq AS request_id, max(a.seq) AS seq FROM base r JOIN base a ON a.dataset_id = r.dataset_id AND a.extent_id IS NOT DISTINCT FROM r.extent_id AND a.box IS NOT DISTINCT FROM r.box
-WHERE a.format = 'zarr' AND r.seq % 100 = 0 GROUP BY 1""")
+@query(f"""WITH {_ARTIFACTS}, newest AS (SELECT dataset_id, extent_id, box, max(seq) AS seq FROM base WHERE format = 'zarr' GROUP BY ALL)
+SELECT r.seq AS request_id, a.seq FROM base r JOIN newest a ON a.dataset_id = r.dataset_id AND a.extent_id IS NOT DISTINCT FROM r.extent_id AND a.box IS NOT DISTINCT FROM r.box""")
 def dedup_lookup(spark, sf_dir):
     a = fx.artifacts(spark, sf_dir).select("seq", "dataset_id", "extent_id", "bbox", "format")
-    return catalog.dedup_lookup(a, a.where("seq % 100 = 0").withColumnRenamed("seq", "request_id"), ["extent_id", "bbox"], prefer_zarr=True)
+    return catalog.dedup_lookup(a, a.withColumnRenamed("seq", "request_id"), ["extent_id", "bbox"], prefer_zarr=True)
+
+
+@query(f"""WITH {_ARTIFACTS}, stored AS (SELECT DISTINCT dataset_id, extent_id, box FROM base WHERE format = 'netcdf')
+SELECT r.seq FROM base r WHERE NOT EXISTS (SELECT 1 FROM stored a WHERE a.dataset_id = r.dataset_id AND a.extent_id IS NOT DISTINCT FROM r.extent_id AND a.box IS NOT DISTINCT FROM r.box)""")
+def new_requests(spark, sf_dir):
+    a = fx.artifacts(spark, sf_dir).select("seq", "dataset_id", "extent_id", "bbox", "format")
+    return catalog.new_requests(a.where("format = 'netcdf'"), a, ["extent_id", "bbox"]).select("seq")
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT a.seq::VARCHAR AS artifact_id, l.managed_id, l.seq, l.coverage_end FROM artifacts a JOIN latest l USING (managed_id)""")
+def ingestion_dataset(spark, sf_dir):
+    a = _managed(spark, sf_dir)
+    return catalog.datasets_of(a, a).select("artifact_id", "managed_id", "seq", "coverage_end")
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT seq, CASE WHEN is_published THEN 'replaced' ELSE format END AS format, CASE WHEN is_published THEN 2 ELSE 1 END AS version_seq FROM base""")
+def record_versions(spark, sf_dir):
+    """Records are stored, the published ones replaced, and the versions that count read back."""
+    path = _shared(spark, "records")
+    first = fx.artifacts(spark, sf_dir).select("artifact_id", "seq", "format", "is_published", F.lit(1).alias("version_seq"))
+    catalog.append_records(first, path)
+    stored = spark.read.parquet(path)
+    catalog.append_records(catalog.replacing(stored, stored.where("is_published").withColumn("format", F.lit("replaced"))), path)
+    return catalog.current_versions(spark.read.parquet(path)).select("seq", "format", "version_seq")
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT seq, 'published' AS status, CASE WHEN is_published THEN NULL ELSE managed_id END AS collection_id FROM artifacts""")
+def publication_update(spark, sf_dir):
+    a = _managed(spark, sf_dir)
+    changes = catalog.published(a.where("not is_published"), F.lit(AS_OF)).select("artifact_id", "publication")
+    return catalog.updated_publications(a, changes).select("seq", "publication.status", "publication.collection_id")
+
+
+@query(f"""WITH {_ARTIFACTS}, p AS (SELECT * FROM artifacts WHERE is_published QUALIFY row_number() OVER (PARTITION BY managed_id ORDER BY seq DESC) = 1)
+SELECT managed_id AS id, 'Dataset ' || k AS title, dataset_id || ',v' AS keywords, CASE WHEN box IS NOT NULL THEN box - 13.5e0 END AS xmin, '1995-01-01' AS begin, coverage_end AS "end", format FROM p""")
+def collection_metadata(spark, sf_dir):
+    c = catalog.collection_metadata(catalog.published_collections(_managed(spark, sf_dir))).select("collection.*")
+    return c.select("id", "title", F.array_join("keywords", ",").alias("keywords"), F.col("extents.spatial.bbox")[0].alias("xmin"), "extents.temporal.begin", "extents.temporal.end", "format")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal WHEN c_custkey % 3 = 1 THEN -13.5e0 ELSE 0e0 END AS xmin FROM customer WHERE c_nationkey <> 7""")
+def spatial_arguments(spark, sf_dir):
+    r = fx.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN named_struct('xmin', cast(c_acctbal AS double), 'ymin', 0e0, 'xmax', 1e0, 'ymax', 1e0) END AS bbox",
+        "CASE WHEN c_nationkey <> 7 THEN concat('X', c_nationkey) END AS country_code",
+    )
+    own = catalog.spatial_arguments(r.where("c_custkey % 3 <> 2"), default_bbox="-13.5, 6.9, -10.1, 10")[0]
+    rest = catalog.spatial_arguments(r.where("c_custkey % 3 = 2"), bounds=(0, 0, 1, 1))[0]
+    return own.unionByName(rest).select("c_custkey", "bbox.xmin")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal::DOUBLE END AS xmin, CASE WHEN c_custkey % 3 <> 0 THEN 'invalid bbox' END AS reason FROM customer""")
+def extent_validation(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", "c_name AS name", "c_name AS description",
+        "CASE c_custkey % 3 WHEN 0 THEN array(cast(c_acctbal AS string), '1', '2', '3') WHEN 1 THEN array('1', '2', '3') ELSE array('1', '2', '3', 'north') END AS bbox",
+    )
+    ok, lost = catalog.valid_extents(e)
+    none = lambda t: F.lit(None).cast(t)
+    return ok.select("id", F.col("bbox")[0].alias("xmin"), none("string").alias("reason")).union(lost.select("id", none("double"), "reason"))
+
+
+@query(f"""WITH {_ARTIFACTS} SELECT seq, '1995-01-01' AS start, coverage_end AS "end", CASE WHEN box IS NOT NULL THEN box - 13.5e0 END AS xmin FROM base""")
+def legacy_scope(spark, sf_dir):
+    old = fx.artifacts(spark, sf_dir).withColumn("request_scope", F.lit(None).cast(schemas.REQUEST_SCOPE))
+    return catalog.upgraded(old).select("seq", "request_scope.start", "request_scope.end", "request_scope.bbox.xmin")
 
 
 @query(f"""WITH {_ARTIFACTS} SELECT managed_id, max(seq) AS seq FROM artifacts WHERE is_published GROUP BY 1""")
@@ -271,6 +393,18 @@ def unit_convert(spark, sf_dir):
     return _rounded(series.convert_units(c, "m", "mm").select("time", "lon", "celsius", F.col("value").alias("mm")), "celsius", "mm")
 
 
+@query(f"WITH {_HOURLY} SELECT time, lon, round(CASE lon::BIGINT % 3 WHEN 0 THEN value - 273.15e0 WHEN 1 THEN value * 1000e0 ELSE value END, 6) AS value FROM hourly")
+def unit_convert_by_row(spark, sf_dir):
+    h = fx.hourly_cells(spark, sf_dir).selectExpr("time", "lon", "value", "element_at(array('kelvin', 'm', 'mm'), cast(lon % 3 AS int) + 1) AS units", "element_at(array('degC', 'mm', 'mm'), cast(lon % 3 AS int) + 1) AS convert_units")
+    return _rounded(series.convert_by_row(h, series.conversions(spark)).select("time", "lon", "value"), "value")
+
+
+@query(f"""WITH {_HOURLY} SELECT lon, time::DATE::TIMESTAMP AS time, round(sum(value) * 1000e0, 6) AS value FROM hourly GROUP BY ALL""")
+def template_steps(spark, sf_dir):
+    steps = series.template_steps({"pre_process": ["resample_daily"], "units": "m", "convert_units": "mm"})
+    return _rounded(series.processed(fx.hourly_cells(spark, sf_dir), steps).select("lon", "time", "value"), "value")
+
+
 # --- zones ---------------------------------------------------------------------------------------
 
 
@@ -291,21 +425,51 @@ def zonal_all_touched(spark, sf_dir):
     return zones.zonal_statistics(fx.daily_cells(spark, sf_dir), fx.nation_zones(spark, sf_dir), ("count", "sum"), all_touched=(0.08, 0.08))
 
 
-@query(f"""WITH {_CELLS} SELECT s_suppkey AS point_id, time, value FROM supplier JOIN cells ON cells.ix = s_suppkey % 68 AND cells.iy = s_suppkey % 62 WHERE time >= '1996-01-01' AND time < '1998-01-01'""")
+@query(f"""WITH {_CELLS} SELECT s_suppkey AS point_id, time, value FROM supplier JOIN cells ON cells.ix = s_suppkey % 68 AND cells.iy = s_suppkey % 62""")
 def point_values(spark, sf_dir):
-    c = cells.subset(fx.daily_cells(spark, sf_dir), "1996", "1997")
-    return zones.point_values(c, fx.points(spark, sf_dir), fx.LON0, fx.LAT0, fx.STEP, -fx.STEP).select("point_id", "time", "value")
+    return zones.point_values(fx.daily_cells(spark, sf_dir), fx.points(spark, sf_dir), fx.LON0, fx.LAT0, fx.STEP, -fx.STEP).select("point_id", "time", "value")
+
 
+_UNITS = """units AS (SELECT 'N' || n_nationkey AS zone_id, n_name AS name, 'R' || n_regionkey AS parent_id, 3 AS level FROM nation UNION ALL SELECT 'R' || r_regionkey, r_name, 'ROOT', 2 FROM region
+UNION ALL SELECT 'ROOT', 'World', NULL, 1 UNION ALL SELECT 'C' || c_custkey, c_name, 'N' || c_nationkey, 4 FROM customer)"""
 
-@query("""WITH RECURSIVE z AS (SELECT 'N' || n_nationkey AS zone_id, 'R' || n_regionkey AS parent_id, 3 AS level FROM nation UNION ALL SELECT 'R' || r_regionkey, 'ROOT', 2 FROM region),
-t AS (SELECT * FROM z WHERE zone_id = 'R1' UNION ALL SELECT z.* FROM z JOIN t ON z.parent_id = t.zone_id) SELECT zone_id, level, parent_id FROM t""")
+
+@query(f"""WITH RECURSIVE {_UNITS}, t AS (SELECT * FROM units WHERE zone_id = 'R1' UNION ALL SELECT u.* FROM units u JOIN t ON u.parent_id = t.zone_id) SELECT zone_id, level, parent_id FROM t""")
 def unit_subtree(spark, sf_dir):
-    return zones.subtree(fx.zones(spark, sf_dir), "R1").select("zone_id", "level", "parent_id")
+    return zones.subtree(fx.units(spark, sf_dir), "R1").select("zone_id", "level", "parent_id")
 
 
-@query("""SELECT 'N' || n_nationkey AS zone_id FROM nation WHERE (n_name ILIKE '%a%' OR 'R' || n_regionkey IN ('R1', 'R2')) AND NOT n_name LIKE 'U%'""")
+@query(f"""WITH {_UNITS} SELECT zone_id FROM units WHERE level BETWEEN 3 AND 4 AND (name ILIKE '%a%7%' OR parent_id IN ('R1', 'N2')) AND NOT name LIKE 'U%'""")
 def attribute_filter(spark, sf_dir):
-    return zones.attribute_filter(fx.zones(spark, sf_dir), "level BETWEEN 3 AND 4 AND (name ILIKE '%a%' OR parent_id IN ('R1', 'R2')) AND NOT name LIKE 'U%' AND name IS NOT NULL").select("zone_id")
+    return zones.attribute_filter(fx.units(spark, sf_dir), "level BETWEEN 3 AND 4 AND (name ILIKE '%a%7%' OR parent_id IN ('R1', 'N2')) AND NOT name LIKE 'U%' AND name IS NOT NULL").select("zone_id")
+
+
+@query(f"""WITH {_UNITS} SELECT name, level FROM units""")
+def field_projection(spark, sf_dir):
+    return zones.fields(fx.units(spark, sf_dir), ["name", "level"])
+
+
+@query(f"""WITH {_UNITS} SELECT zone_id FROM units WHERE parent_id = 'N3' AND level = 4 UNION ALL SELECT zone_id FROM units WHERE zone_id IN ('R1', 'N2')""")
+def unit_selection(spark, sf_dir):
+    u = fx.units(spark, sf_dir)
+    return zones.select_zones(u, level=4, parent="N3").union(zones.select_zones(u, ids=["R1", "N2"])).select("zone_id")
+
+
+@query("""SELECT CASE WHEN c_custkey % 2 = 0 THEN 'F' || c_custkey ELSE c_name END AS zone_id FROM customer""")
+def feature_ids(spark, sf_dir):
+    f = fx.table(spark, sf_dir, "customer").selectExpr("CASE WHEN c_custkey % 2 = 0 THEN concat('F', c_custkey) END AS id", "map('code', c_name) AS properties")
+    return zones.feature_ids(f, "code").select("zone_id")
+
+
+_SHAPES = "corners(r, i, m, a, b) AS (VALUES " + ", ".join(f"({r}, {i}, {len(ring)}, {a}, {b})" for r, ring in enumerate(fx.SHAPE) for i, (a, b) in enumerate(ring)) + """),
+fields AS (SELECT 'S' || n_nationkey AS zone_id, -13.525e0 + (n_nationkey % 5) * 7e-1 AS x0, 10.025e0 - (n_nationkey // 5) * 6e-1 AS y0 FROM nation),
+edges AS (SELECT zone_id, x0 + p.a AS x1, y0 - p.b AS y1, x0 + q.a AS x2, y0 - q.b AS y2 FROM fields, corners p JOIN corners q ON q.r = p.r AND q.i = (p.i + 1) % p.m)"""
+
+
+@query(f"""WITH {_CELLS}, {_SHAPES}, {_INSIDE} SELECT zone_id, count(value) AS count, sum(value) AS sum, median(value) AS median FROM fields LEFT JOIN inside USING (zone_id) LEFT JOIN cells USING (lon, lat) GROUP BY 1""")
+def zonal_shapes(spark, sf_dir):
+    """Slanted sides, a hole and a second part."""
+    return zones.zonal_statistics(fx.daily_cells(spark, sf_dir), fx.shapes(spark, sf_dir), ("count", "sum", "median"))
 
 
 @query(f"""WITH {_ZONES} SELECT 'R' || n_regionkey AS parent_id, round(min(x1), 6) AS xmin, round(min(e.y1), 6) AS ymin, round(max(x1), 6) AS xmax, round(max(e.y1), 6) AS ymax FROM edges e JOIN nation ON zone_id = 'N' || n_nationkey GROUP BY 1""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
+from ..operators.cells import by_parameters
 
 
 def granules(spark: SparkSession, landing: str, dataset_id: str, variables: list[str] | None = None, stage: str = "final", version: str | None = None) -> DataFrame:
@@ -16,11 +17,7 @@ def granules(spark: SparkSession, landing: str, dataset_id: str, variables: list
     df = spark.read.option("mergeSchema", True).parquet(landing)
     name = F.regexp_replace(F.col("_metadata.file_name"), r"_\d[^_]*$", "")
     df = df.withColumn("_name", name).where(F.col("_name") == dataset_id).drop("_name")
-    if variables and "variable" in df.columns:
-        df = df.where(F.col("variable").isin(variables))
-    if "stage" in df.columns:
-        df = df.where(F.coalesce("stage", F.lit("final")) == stage)
-    return df.where(F.col("version") == version) if version and "version" in df.columns else df
+    return by_parameters(df, variables, stage, version)
 
 
 def templates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -43,14 +40,21 @@ def stations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def features(spark: SparkSession, path: str, id_property: str = "id") -> DataFrame:
-    """Zones from a GeoJSON collection of polygons: the outer ring of each feature."""
-    point = "array<array<array<double>>>"
-    schema = f"features array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:{point}>>>"
+    """Zones from a GeoJSON collection of polygons and multipolygons, with all rings of each feature.
+
+    ``rings`` has the outer rings and the holes of every part, without a repeated last vertex, and
+    ``ring`` the first one; a feature of another geometry has none.
+    """
+    schema = "features array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.*")
-    ring = F.transform(F.col("geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    open_ring = F.when(ring[0] == F.element_at(ring, -1), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    kind, nested = F.col("geometry.type"), F.col("geometry.coordinates")
+    one, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    lines = F.when(kind == "Polygon", F.from_json(nested, one)).when(kind == "MultiPolygon", F.flatten(F.from_json(nested, many)))
+    f = f.withColumn("lines", F.transform(lines, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    rings = F.transform("lines", lambda r: F.when(r[0] == F.element_at(r, -1), F.slice(r, 1, F.size(r) - 1)).otherwise(r))
     get = lambda k: F.col("properties")[k]
-    return f.select(F.coalesce("id", get(id_property)).alias("zone_id"), get("name").alias("name"), get("level").try_cast("int").alias("level"), get("parent").alias("parent_id"), open_ring.alias("ring"))
+    f = f.select(F.coalesce("id", get(id_property)).alias("zone_id"), get("name").alias("name"), get("level").try_cast("int").alias("level"), get("parent").alias("parent_id"), rings.alias("rings"))
+    return f.withColumn("ring", F.get("rings", F.lit(0)))
 
 
 class Loaders:

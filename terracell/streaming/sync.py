@@ -5,22 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from pyspark.sql import functions as F
+
+from ..functions import periods
 from ..operators import cells
 from ..schemas import CELLS
 
 
-def stream_sync(spark: SparkSession, landing: str, store: str, state: str) -> StreamingQuery:
-    """Append what has landed and is not stored; a batch that is replayed adds nothing."""
+def stream_sync(spark: SparkSession, landing: str, store: str, state: str, period_type: str = "daily") -> StreamingQuery:
+    """Append what has landed and is not stored; a batch that is replayed adds nothing.
+
+    The store has a folder for each dataset and time chunk, as ``compact`` lays it out, and a batch
+    reads only the chunks that it reaches.
+    """
 
     def append(batch: DataFrame, _: int) -> None:
         s = batch.sparkSession
         try:
-            stored = s.read.schema(CELLS).parquet(store)
+            stored = s.read.parquet(store)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            stored = s.createDataFrame([], CELLS)
-        cells.append_missing(stored, batch).write.mode("append").parquet(store)
+            stored = s.createDataFrame([], CELLS).withColumn("time_chunk", F.lit(0))
+        batch = batch.withColumn("time_chunk", periods.time_chunk(F.col("time"), period_type))
+        reach = batch.agg(F.min("time_chunk"), F.max("time_chunk")).first()
+        if reach[0] is None:
+            return
+        new = cells.append_missing(stored.where(F.col("time_chunk").between(*reach)), batch)
+        new.repartition("dataset_id", "time_chunk").write.partitionBy("dataset_id", "time_chunk").mode("append").parquet(store)
 
     landed = spark.readStream.schema(CELLS).parquet(landing)
     return landed.writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start()

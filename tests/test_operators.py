@@ -184,7 +184,14 @@ def test_readers(spark, tmp_path):
     assert (r["dataset_id"], r["lon"], r["value"]) == ("station_35", -75.0, 89.9)
     (tmp_path / "f.json").write_text(json.dumps({"features": [{"properties": {"code": "Z", "level": "2"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}]}))
     z = readers.features(spark, str(tmp_path / "f.json"), "code").first()
-    assert z["zone_id"] == "Z" and len(z["ring"]) == 3
+    assert z["zone_id"] == "Z" and len(z["ring"]) == 3 and len(z["rings"]) == 1
+    square = lambda x, y, n: [[x, y], [x + n, y], [x + n, y + n], [x, y + n], [x, y]]
+    many = {"features": [{"id": "M", "geometry": {"type": "MultiPolygon", "coordinates": [[square(0, 0, 4), square(1, 1, 2)], [square(6, 0, 1)]]}}, {"id": "P", "geometry": {"type": "Polygon", "coordinates": [square(0, 6, 4), square(1, 7, 2)]}}, {"id": "N", "geometry": {"type": "Point", "coordinates": [1, 2]}}]}
+    (tmp_path / "m.json").write_text(json.dumps(many))
+    z = readers.features(spark, str(tmp_path / "m.json"))
+    assert {r["zone_id"]: r["rings"] and len(r["rings"]) for r in z.collect()} == {"M": 3, "P": 2, "N": None}
+    at = grid(spark, [("d", "2024-01-01", x, y, 1.0) for x, y in ((0.5, 0.5), (2.0, 2.1), (6.5, 0.5), (5.0, 0.5), (0.5, 6.5), (2.0, 8.1))])
+    assert sorted((r["zone_id"], r["lon"], r["lat"]) for r in zones.cells_in_zones(at, z.where("rings is not null")).collect()) == [("M", 0.5, 0.5), ("M", 6.5, 0.5), ("P", 0.5, 6.5)]
     loaders = readers.Loaders()
     loaders.add("n", lambda spark, start: spark.range(start))
     assert loaders.load("n", spark, start=3, bbox=None).count() == 3
@@ -210,6 +217,31 @@ def test_dedup_lookup_of_all_rows_makes_no_pairs(spark):
     assert "max(seq" in optimized[optimized.index("Join") :]
 
 
+def test_newest_of_a_landing_counts(spark):
+    rows = [("d", "2024-01-01", 0.0, 0.0, float(v)) for v in (2, 9, 4)] + [("d", "2024-01-02", 0.0, 0.0, 5.0)]
+    landed, stored = grid(spark, rows), grid(spark, [("d", "2024-01-02", 0.0, 0.0, 1.0)])
+    assert [r["value"] for r in cells.append_missing(stored, landed).collect()] == [9.0]
+    assert [r["value"] for r in cells.append_missing(stored, landed, newest=[F.asc("value")]).collect()] == [2.0]
+
+
+def test_subtree_of_any_depth(spark):
+    chain = [(f"z{i}", f"z{i - 1}" if i else None) for i in range(15)]
+    z = spark.createDataFrame(chain, "zone_id string, parent_id string")
+    assert zones.subtree(z, "z0").count() == 15 and zones.subtree(z, "z14").count() == 1
+    with pytest.raises(ValueError):
+        zones.subtree(z.union(spark.createDataFrame([("z1", "z3")], z.schema)), "z1")
+    with pytest.raises(ValueError):
+        zones.fields(z, ["secret"])
+    assert zones.fields(z, ["parent_id"], "z3").first()["parent_id"] == "z2"
+
+
+def test_units_by_row_must_be_known(spark):
+    df = spark.createDataFrame([(1.0, "kelvin", "mm")], "value double, units string, convert_units string")
+    with pytest.raises(Exception, match="no conversion"):
+        series.convert_by_row(df, series.conversions(spark)).collect()
+    assert series.template_steps({"pre_process": ["a"], "units": "m", "convert_units": "mm"}) == ["a", ("convert_units", "m", "mm")] and series.template_steps({}) == []
+
+
 def test_publication(spark):
     df = records(spark, [record(1, "2026-02-01", "x", status="unpublished"), record(2, "2026-02-01", "y", collection="own")])
     p = {r["seq"]: r["publication"] for r in catalog.published(df, F.lit("2026-03-01")).collect()}
