@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import os
 import tempfile
 import zipfile
@@ -16,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass handles at a time; bounds a worker's memory.
 SLICE_BYTES = 250_000
-_SHIPPED = "spark.terracell.shipped"
 
 
 def ship(spark: SparkSession) -> None:
@@ -40,25 +38,25 @@ def ship(spark: SparkSession) -> None:
     sc._terracell_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors and driver share, named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of this machine will do if Spark runs on it alone.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that executors and driver share")
+    return named or tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; a local folder only where none is named."""
+    """Cut the lineage in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle and checkpoint files that nobody can read any more.
-
-    It learns of them when the driver collects its garbage, which a driver with little to do does
-    rarely: the files of many rounds would pile up on the executors' disks.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch whose text column holds about ``limit`` bytes, a row at least."""
     col = batch.column(column)

@@ -9,7 +9,8 @@ weighted by their bytes.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; without any
 labelled row every text is ``und``; rows with equal text have equal results; only the text is an
-input. Rows are never dropped.
+input. Rows are never dropped, whatever their ids; equal probabilities go to the language that comes
+first by code point; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Bounds of the training sample: labelled rows in all, and windows that a row gives.
 MAX_ROWS, WINDOWS_A_ROW = 6_000, 3
+#: Languages that the network tells apart, at most: those with the most labelled rows.
+MAX_CLASSES = 500
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _SEED = 20_231
@@ -175,13 +178,14 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
     them, so that short texts are met in training too. The driver gets these windows only.
     """
     rows = df.select(df[doc_id].alias("id"), df[text].alias("text"), df[lang].alias("lang")).where("text is not null and lang is not null").where(~held_out(F.col("id")))
-    found = {r["lang"]: r["n"] for r in rows.select("lang").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_CLASSES)
+    found = {r["lang"]: r["n"] for r in most.collect()}
     classes = sorted(found)
     if not classes:
         return Model([], [], *[np.zeros(0)] * 3)
     share = F.create_map(*[F.lit(z) for k in classes for z in (k, min(1.0, max_rows / len(classes) / found[k]))])
     key = F.xxhash64("id", "text")
-    taken = rows.where(F.pmod(key, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).select(key.alias("key"), "text", "lang").orderBy("key").limit(2 * max_rows)
+    taken = rows.where(F.pmod(key, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).select(key.alias("key"), "text", "lang")
 
     def cuts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +200,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
                     key.append(k), lang.append(name), win.append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lang, pa.string()), pa.array(win, pa.binary())], ["key", "lang", "win"])
 
-    got = sorted((r["key"], r["lang"], bytes(r["win"])) for r in map_rows(taken, cuts, "key bigint, lang string, win binary").collect())
+    # Windows are bounded, and so is their count: whole texts are never sorted or sent.
+    cut_out = map_rows(taken, cuts, "key bigint, lang string, win binary").orderBy("key", "lang", "win").limit(2 * max_rows * (WINDOWS_A_ROW + 1))
+    got = sorted((r["key"], r["lang"], bytes(r["win"])) for r in cut_out.collect())
     if not got:
         return Model([], [], *[np.zeros(0)] * 3)
     x = np.zeros((len(got), WINDOW), np.uint8)
