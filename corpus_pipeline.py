@@ -2,13 +2,16 @@
 
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a DataFrame, and each but
 the last returns the columns of ``documents``. ``run`` applies them one after the other, and writes
-each stage's rows to the shared folder before the next one reads them.
+each stage's rows to the shared folder before the next one reads them; a stage's table is deleted
+once the next one is written.
+
+Defined results of all stages: documents without an id, and different texts under one id, are
+documents of their own; null columns pass as they are; empty tables give empty ones; other columns
+than those of ``documents`` are not read.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terracell.llm import bpe, langid, mixing, parity_join, pii
+from terracell.llm.common import shared_folder
 from terracell.llm.registry import rank_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -71,9 +75,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared}/{uuid.uuid4()}"
+    folder, before = f"{shared_folder(spark)}/{uuid.uuid4()}", None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(os.path.join(folder, name))
-        docs = spark.read.parquet(os.path.join(folder, name))
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # nothing reads it any more
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
