@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -57,6 +58,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished rounds that nobody can read any more.
+
+    It learns of them when the driver collects its garbage, which a driver with little to do does
+    rarely: many rounds of small shuffles would pile up files on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch whose text column holds about ``limit`` bytes, a row at least."""
     col = batch.column(column)

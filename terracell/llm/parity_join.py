@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, mix64, slices, text_bytes
+from .common import cut, free, map_rows, mix64, slices, text_bytes
 
 #: A band's largest size as a multiple of its smallest.
 BAND = 1.6
@@ -311,20 +311,26 @@ def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[Data
     sketch = [f"s{i}" for i in range(SKETCH)]
 
     entries = rows.select("node", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
+    shared = cut(entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key"))
+    free(df.sparkSession)
     members = cut(entries.join(shared, "key", "left_semi").distinct())
     support = members.groupBy("node").agg(F.count("*").alias("support"))
     members = members.join(support, "node")
+    del entries, shared
+    free(df.sparkSession)
     sets = cut(_sets(docs, lead.join(support, "node", "left_semi").select("lead.row"), join))
     facts = sets.select("node", "size", *sketch, "wide")
+    del support
+    free(df.sparkSession)
 
     def near_pairs(pairs: DataFrame) -> DataFrame:
         both = pairs.join(facts.alias("p"), F.col("a") == F.col("p.node")).join(facts.alias("q"), F.col("b") == F.col("q.node"))
         return both.where(_near(join, "p", "q") & _within(join, "p", "q")).select("a", "b")
 
-    links, comp, tried, led, found, held_against = None, None, None, None, 1, 1
-    # Rounds go on while more than one pair in a hundred is a link; what is left is exact in any case.
-    while 100 * found > held_against:
+    stale = False  # whether links are missing in the components
+    links, comp, tried, led, found, all_ = None, None, None, None, 1, 1
+    # Rounds go on while one finds a tenth of all links or more; what is left is exact in any case.
+    while 10 * found >= all_:
         now = _labelled(members, comp)
         leaders = _leaders(now, None if led is None else _labelled(led, comp).select("key", "comp").distinct())
         members = cut(now.join(leaders, "key").where("node != leader"))
@@ -334,16 +340,26 @@ def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[Data
         led = own if led is None else led.union(own)
         members = members.select("key", "node", "support")
         held_against = near.count()
+        del now, leaders, stars
+        free(df.sparkSession)
         if not held_against:
             break
+        near = near.coalesce(1 + held_against // LINKS_A_FILE)
         more = cut(_verified(near, sets, join))
         found = more.count()
+        more = more.coalesce(1 + found // LINKS_A_FILE)
         tried = near if tried is None else tried.union(near)
-        if found:
-            links = more if links is None else links.union(more)
+        if not found:
+            break
+        links = more if links is None else links.union(more)
+        all_ = found if comp is None else all_ + found
+        stale = 10 * found < all_
+        if not stale:
             comp = cut(components(links))
+        free(df.sparkSession)
 
     # Leaders were held against all of their words' nodes, so only the other nodes can still make pairs.
+    # Few links of the last round are missing in the components; their pairs are among those tried.
     now = _labelled(members, comp)
     mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
     rest = cut(now.select("key", "node", "comp").join(mixed, "key", "left_semi").join(facts, "node"))
@@ -351,9 +367,15 @@ def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[Data
     apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp"))
     crossing = p.join(q, apart & _near(join, "p", "q") & _within(join, "p", "q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
     crossing = cut(crossing if tried is None else crossing.join(tried, ["a", "b"], "left_anti"))
-    more = cut(_verified(crossing, sets, join)) if crossing.count() else None
+    left = crossing.count()
+    del now, mixed, p, q
+    free(df.sparkSession)
+    more = cut(_verified(crossing.coalesce(1 + left // LINKS_A_FILE), sets, join)) if left else None
     if more is not None and more.count():
-        comp = cut(components(more if links is None else links.union(more)))
+        links, stale = more if links is None else links.union(more), True
+    if stale:
+        comp = cut(components(links))
+    free(df.sparkSession)
     if comp is None:
         return rows, lead.withColumn("comp", F.col("node"))
     return rows, lead.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
