@@ -70,11 +70,15 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass(frozen=True)
 class Join:
-    """Words to an n-gram, and the least similarity as ``num`` / ``den``."""
+    """Words to an n-gram, the least similarity as ``num`` / ``den``, and passes in which words are counted.
+
+    Each pass takes a share of all words, so that no more than this share is on disks at a time.
+    """
 
     ngram: int = 5
     num: int = 80
     den: int = 100
+    passes: int = 1
 
     def differing(self, size: int) -> int:
         """The most n-grams in which two linked sets of at most this size differ."""
@@ -311,12 +315,18 @@ def _linked(df: DataFrame, join: Join, id_col: str, text_col: str) -> tuple[Data
     sketch = [f"s{i}" for i in range(SKETCH)]
 
     entries = rows.select("node", F.explode("keys").alias("key"))
-    shared = cut(entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key"))
-    free(df.sparkSession)
-    members = cut(entries.join(shared, "key", "left_semi").distinct())
+    parts = []
+    for i in range(join.passes):
+        some = entries.where(F.pmod("key", F.lit(join.passes)) == i) if join.passes > 1 else entries
+        shared = cut(some.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key"))
+        free(df.sparkSession)
+        parts.append(cut(some.join(shared, "key", "left_semi").distinct()))
+        del some, shared
+        free(df.sparkSession)
+    members = reduce(DataFrame.union, parts)
     support = members.groupBy("node").agg(F.count("*").alias("support"))
     members = members.join(support, "node")
-    del entries, shared
+    del entries, parts
     free(df.sparkSession)
     sets = cut(_sets(docs, lead.join(support, "node", "left_semi").select("lead.row"), join))
     facts = sets.select("node", "size", *sketch, "wide")
