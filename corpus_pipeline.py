@@ -26,7 +26,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text is rejected if it has no letter, or if no language reaches this probability.
 LEAST_SCORE = 0.3
 #: Near copies: five words to a shingle, similarity 0.8 or more.
-NEAR = parity_join.Join(ngram=5, num=80, den=100)
+NEAR = parity_join.Join(ngram=5, num=80, den=100, passes=2)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
