@@ -247,11 +247,11 @@ def dedup_lookup(spark, sf_dir):
     return catalog.dedup_lookup(a, a.withColumnRenamed("seq", "request_id"), ["extent_id", "bbox"], prefer_zarr=True)
 
 
-@query(f"""WITH {_ARTIFACTS}, stored AS (SELECT DISTINCT dataset_id, extent_id, box FROM base WHERE format = 'netcdf')
+@query(f"""WITH {_ARTIFACTS}, stored AS (SELECT DISTINCT dataset_id, extent_id, box FROM base WHERE format = 'netcdf' AND created_at < '1995-03-01')
 SELECT r.seq FROM base r WHERE NOT EXISTS (SELECT 1 FROM stored a WHERE a.dataset_id = r.dataset_id AND a.extent_id IS NOT DISTINCT FROM r.extent_id AND a.box IS NOT DISTINCT FROM r.box)""")
 def new_requests(spark, sf_dir):
-    a = fx.artifacts(spark, sf_dir).select("seq", "dataset_id", "extent_id", "bbox", "format")
-    return catalog.new_requests(a.where("format = 'netcdf'"), a, ["extent_id", "bbox"]).select("seq")
+    a = fx.artifacts(spark, sf_dir).select("seq", "dataset_id", "extent_id", "bbox", "format", "created_at")
+    return catalog.new_requests(a.where("format = 'netcdf' and created_at < '1995-03-01'"), a.drop("created_at"), ["extent_id", "bbox"]).select("seq")
 
 
 @query(f"""WITH {_ARTIFACTS} SELECT a.seq::VARCHAR AS artifact_id, l.managed_id, l.seq, l.coverage_end FROM artifacts a JOIN latest l USING (managed_id)""")
