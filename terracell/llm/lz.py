@@ -158,7 +158,9 @@ def edited_by_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     here = F.struct("part", F.lit(0).alias("seam"))
     places = F.when(F.col("before").isNotNull(), F.array(here, F.struct(F.col("before").alias("part"), F.lit(1).alias("seam")))).otherwise(F.array(here))
     rows = rows.select("id", "more", "text", "at", F.explode(places).alias("p")).select("id", "more", "text", "at", "p.part", "p.seam")
-    rows = rows.repartition(F.col("part")).sortWithinPartitions("part", "seam", F.desc("at"), F.xxhash64("text"))
+    # Ranges are dealt in turn: by a hash, some tasks would get several and others none.
+    tasks = max(1, min(len(order), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", "seam", F.desc("at"), F.xxhash64("text"))
     schema = df.select(df[doc_id].alias("id"), *names).schema.add("edited", "string")
     for c in names:
         schema = schema.add(f"next_{c}", df.schema[c].dataType)
