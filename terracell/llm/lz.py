@@ -10,8 +10,8 @@ Phrases are hashed all at once, from running sums of a polynomial over the text.
 
 Defined results: null text is empty text, whose signature has empty bins only; two empty signatures
 are alike to degree 1, an empty and another one to 0; equal texts have equal fingerprints. Rows without
-an id come after all others, rows of equal ids in the order of a hash of their text; they share a
-range. Empty tables give empty results; carried columns may have any names.
+an id, or with one that is no integer, come after all others, rows of equal ids in the order of a hash
+of their text; only rows of one id and one text must share a range. Empty tables give empty results; carried columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, mix64, slices
+from .common import map_rows, mix64, ship, slices
 
 BINS = 64
 #: Hex digits of a bin, and what an empty bin has.
@@ -36,8 +36,11 @@ _BASE = 0xD6E8FEB86659FD93
 #: More than any hash in a bin.
 _NONE = np.uint64((1 << 64) - 1)
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Rows that one range of ids holds on average, when texts are put beside their neighbours.
+#: Rows that a range holds at least on average, when texts are put beside their neighbours, while there
+#: are no more ranges than the session has shuffle partitions.
 RANGE_ROWS = 4_000
+#: Pieces that make a range, and bytes that a row counts for beside its text.
+PIECES, ROW_BYTES = 16, 100
 
 
 def parse(data: bytes) -> list[int]:
@@ -120,47 +123,71 @@ def likeness(a: Column | str, b: Column | str) -> Column:
     return F.when(F.size(filled) == 0, F.lit(1.0)).otherwise(F.size(F.filter(filled, lambda p: p["x"] == p["y"])) / F.size(filled))
 
 
+def places(edges: np.ndarray, at: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """How many of the ascending pairs ``edges`` are not above each pair of ``at`` and ``tie``."""
+    low, high = np.searchsorted(edges[:, 0], at, side="left"), np.searchsorted(edges[:, 0], at, side="right")
+    out = low.copy()
+    for a in np.unique(low[low < high]):
+        same = (low == a) & (low < high)
+        out[same] = a + np.searchsorted(edges[a : high[same][0], 1], tie[same], side="right")
+    return out
+
+
 def edited_by_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] = (), ids: DataFrame | None = None) -> DataFrame:
     """doc_id, ``carry``, ``edited`` and ``next_<c>`` of each carried column, for every row.
 
     ``edited`` is the text whose last floor(n/2) code points gave way to the first as many of the
-    next document's, in descending order of ids and, after the last, the first. Ids are cut into
-    ranges at those ids whose hash is divisible by RANGE_ROWS; a range is sorted and walked over in one task, and the first row
-    of each range is also sent to the range before it. So texts cross the network once, and neither
-    all rows nor all texts of a range are held. Rows of equal ids follow each other by a hash of the text.
-    The ranges are found in passes over the ids alone; ``ids`` may name a table that has the same ids
-    and is cheaper to read than ``df``.
+    next document's, in descending order of ids and, after the last, the first. Rows are cut into a
+    range for each task, by id and, within an id, by a hash of the text, so that rows without an id or
+    of one id are spread as well. A range is sorted and walked over, and the first row of each range is
+    also sent to the range before it. So texts cross the network once, and neither all rows nor all
+    texts of a range are held.
+
+    About PIECES rows a task, drawn by hash, cut the rows into pieces, and consecutive pieces of about
+    as many bytes in all make a range: that is all the driver sees. ``ids`` may name a table that has
+    the same ids and texts and is cheaper to read than ``df``.
     """
-    names = list(carry)
-    place = lambda c: F.coalesce(c.cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
-    # Carried columns travel in a struct, so that their names cannot clash with those used here.
-    rows = df.select(df[doc_id].alias("id"), F.struct(F.lit(0).alias("_"), *(df[c] for c in names)).alias("more"), F.coalesce(df[text], F.lit("")).alias("text"))
-    rows = rows.withColumn("at", place(F.col("id")))
-    alone = (df if ids is None else ids).select(place(F.col(doc_id)).alias("at"))
-    cuts = sorted(r["at"] for r in alone.where(F.pmod(F.xxhash64("at"), F.lit(RANGE_ROWS)) == 0).distinct().collect())
-    edges = np.array(cuts, np.int64)
+    import pandas as pd
+
+    spark, names = df.sparkSession, list(carry)
+    ship(spark)
+    texts = lambda d: F.coalesce(d[text], F.lit(""))
+    at = lambda d: F.coalesce(d[doc_id].cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    tie = lambda d: F.bitwise_not(F.xxhash64(texts(d)))
+    source = df if ids is None else ids
+    alone = source.select(at(source).alias("at"), tie(source).alias("tie"), (F.octet_length(texts(source)) + F.lit(ROW_BYTES)).alias("bytes"))
+    n = source.count()
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n // RANGE_ROWS))
+    one_of = max(1, n // (PIECES * tasks))
+    edges = np.array(sorted(tuple(r) for r in alone.where(F.pmod(F.xxhash64("at", "tie"), F.lit(one_of)) == 0).select("at", "tie").distinct().collect()), np.int64).reshape(-1, 2)
 
     @F.pandas_udf("int")
-    def range_of(at):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(edges, at.to_numpy(), side="right").astype(np.int32))
+    def piece_of(at, tie):
+        return pd.Series(places(edges, at.to_numpy(), tie.to_numpy()).astype(np.int32))
+
+    pieces = alone.withColumn("piece", piece_of("at", "tie")).groupBy("piece").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("at", "tie")).alias("top")).collect()
+    whole, part, so_far, top = sum(p["bytes"] for p in pieces), np.zeros(len(edges) + 1, np.int32), 0, {}
+    for p in sorted(pieces, key=lambda p: p["piece"]):
+        part[p["piece"]] = tasks * so_far // whole
+        so_far += p["bytes"]
+        top[int(part[p["piece"]])] = tuple(p["top"])
+    order, tops, before = sorted(top), np.zeros((tasks, 2), np.int64), np.zeros(tasks, np.int32)
+    for i, p in enumerate(order):
+        tops[p], before[p] = top[p], order[(i + 1) % len(order)]
+
+    @F.pandas_udf("part int, before int")
+    def range_of(at, tie):
+        p = part[places(edges, at.to_numpy(), tie.to_numpy())]
+        first = (tops[p, 0] == at.to_numpy()) & (tops[p, 1] == tie.to_numpy())
+        return pd.DataFrame({"part": p, "before": np.where(first, before[p], -1).astype(np.int32)})
 
-    first = {r["part"]: r["top"] for r in alone.withColumn("part", range_of("at")).groupBy("part").agg(F.max("at").alias("top")).collect()}
-    order = sorted(first)
-    before = {first[p]: order[(i + 1) % len(order)] for i, p in enumerate(order)}
-
-    @F.pandas_udf("int")
-    def before_of(at):
-        return at.map(before).astype("Int32")
-
-    rows = rows.withColumns({"part": range_of("at"), "before": before_of("at")})
-    here = F.struct("part", F.lit(0).alias("seam"))
-    places = F.when(F.col("before").isNotNull(), F.array(here, F.struct(F.col("before").alias("part"), F.lit(1).alias("seam")))).otherwise(F.array(here))
-    rows = rows.select("id", "more", "text", "at", F.explode(places).alias("p")).select("id", "more", "text", "at", "p.part", "p.seam")
-    # Ranges are dealt in turn: by a hash, some tasks would get several and others none.
-    tasks = max(1, min(len(order), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = rows.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", "seam", F.desc("at"), F.xxhash64("text"))
+    # Carried columns travel in a struct, so that their names cannot clash with those used here.
+    rows = df.select(df[doc_id].alias("id"), F.struct(F.lit(0).alias("_"), *(df[c] for c in names)).alias("more"), texts(df).alias("text"), at(df).alias("at"), tie(df).alias("tie"))
+    rows = rows.withColumn("to", range_of("at", "tie"))
+    here = F.struct("to.part", F.lit(0).alias("seam"))
+    both = F.when(F.col("to.before") >= 0, F.array(here, F.struct(F.col("to.before").alias("part"), F.lit(1).alias("seam")))).otherwise(F.array(here))
+    rows = rows.select("id", "more", "text", "at", "tie", F.explode(both).alias("p")).select("id", "more", "text", "at", "tie", "p.part", "p.seam")
+    rows = rows.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", "seam", F.desc("at"), F.desc("tie"))
     schema = df.select(df[doc_id].alias("id"), *names).schema.add("edited", "string")
     for c in names:
         schema = schema.add(f"next_{c}", df.schema[c].dataType)

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terracell.llm import bpe, chat, html, langid, lz, mixing, parity_join, pii, registry, topk, urls
@@ -239,6 +241,32 @@ def test_lz_neighbours(spark, size, monkeypatch):
         assert r["near_edited"] == pytest.approx(alike(sig[a["doc_id"]], lz.signatures([edited])[0]))
 
 
+def test_lz_hot_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(lz, "RANGE_ROWS", 30)
+    docs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} {'x' * (i % 50)}") for i in range(400)] + [(None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    made = lz.edited_by_next(df, carry=["text"])
+    got = rows(made)
+    # Rows of one id stand in the order of some hash: walk the ring of rows as it came out, and check that order too.
+    tie = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    ring = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), tie[d[1]]))
+    expect = []
+    for a, b in zip(ring, ring[1:] + ring[:1]):
+        t, u = a[1] or "", b[1] or ""
+        expect.append((a[0], a[1], t[: len(t) - len(t) // 2] + u[: len(t) // 2], b[1]))
+    assert sorted(map(repr, expect)) == sorted(repr((r["doc_id"], r["text"], r["edited"], r["next_text"])) for r in got)
+    sizes = [r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 3 and max(sizes) < 130
+
+
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(-3, 3)), max_size=12), st.lists(st.tuples(st.integers(-1, 5), st.integers(-4, 4)), max_size=12))
+@settings(deadline=None)
+def test_places(edges, pairs):
+    edges = sorted(set(edges))
+    at, tie = np.array(pairs, np.int64).reshape(-1, 2).T
+    assert lz.places(np.array(edges, np.int64).reshape(-1, 2), at, tie).tolist() == [sum(e <= p for e in edges) for p in pairs]
+
+
 # --- Chat formatting -----------------------------------------------------------------------------
 
 
