@@ -84,6 +84,10 @@ class Join:
         """The most n-grams in which two linked sets of at most this size differ."""
         return 2 * size * (self.den - self.num) // (self.den + self.num)
 
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """What a set is entered under: sets that are similar enough have one of these in common."""
+        return sketch_words(s, self)
+
     def bands(self, size: int) -> list[tuple[int, int, int]]:
         """(number, D for this size, P) of the bands in which a set of this size is entered."""
         out, lo, k = [], 1, 0
@@ -189,7 +193,7 @@ def _described(df: DataFrame, join: Join) -> DataFrame:
                 nodes = [set_hash(s) for s in sets]
                 for s, node in zip(sets, nodes):
                     known = node is None or node in seen
-                    keys.append(None if known else sketch_words(s, join))
+                    keys.append(None if known else join.keys(s))
                     if not known and len(seen) < 500_000:
                         seen.add(node)
                 arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]

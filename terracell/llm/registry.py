@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, langid, lz, mixing, parity_join, pii, topk, urls
+from . import bpe, chat, html, langid, lz, minhash, mixing, parity_join, pii, resample, topk, urls
 from .common import cut
 
 RULES = (
@@ -16,6 +16,7 @@ RULES = (
     urls.Rule("allow", "com/fr/"), urls.Rule("block", "com/de/"),
 )
 SHINGLES = parity_join.Join(ngram=3, num=90, den=100)
+NEAR_DEDUP = minhash.NearDedup(ngram=4, num=80, den=100, passes=2)
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -97,6 +98,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    made = resample.drawn(resample.weighted(docs, resample.learn(docs, target)))
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(_table(spark, sf_dir, "documents"), NEAR_DEDUP)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_byte_bpe, op3_lz_fingerprint, op4_chat_format, op5_mix_sources, op6_ngram_join, op7_pii, op8_html_text, op9_top_k, op10_language, pipeline)
+    ops = (op1_url_filter, op2_byte_bpe, op3_lz_fingerprint, op4_chat_format, op5_mix_sources, op6_ngram_join, op7_pii, op8_html_text, op9_top_k, op10_language, op11_importance_resampling, op12_minhash_dedup, pipeline)
     return {f.__name__: f for f in ops}
 
 
