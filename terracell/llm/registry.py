@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, langid, lz, minhash, mixing, parity_join, pii, resample, topk, urls
+from . import bpe, chat, html, langid, lz, minhash, mixing, parity_join, pii, resample, topk, trie, urls
 from .common import cut
 
 RULES = (
@@ -108,6 +108,10 @@ def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.deduplicated(_table(spark, sf_dir, "documents"), NEAR_DEDUP)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.turns(_table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_byte_bpe, op3_lz_fingerprint, op4_chat_format, op5_mix_sources, op6_ngram_join, op7_pii, op8_html_text, op9_top_k, op10_language, op11_importance_resampling, op12_minhash_dedup, pipeline)
+    ops = (op1_url_filter, op2_byte_bpe, op3_lz_fingerprint, op4_chat_format, op5_mix_sources, op6_ngram_join, op7_pii, op8_html_text, op9_top_k, op10_language, op11_importance_resampling, op12_minhash_dedup, op13_conversation_trie, pipeline)
     return {f.__name__: f for f in ops}
 
 
