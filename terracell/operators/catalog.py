@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity
+from . import ranks
 from .resolve import resolve_by_key
 
 PAGE, LARGEST_PAGE = 20, 50
@@ -31,10 +32,25 @@ def current_versions(artifacts: DataFrame) -> DataFrame:
     return resolve_by_key(artifacts, ["artifact_id"], [F.desc("version_seq")])
 
 
+#: What a template may say about a dataset; anything that is no text counts as not said.
+DESCRIBED = ("short_name", "period_type", "units", "resolution", "source", "source_url")
+
+
+def described(artifacts: DataFrame, templates: DataFrame) -> DataFrame:
+    """The latest record of each managed dataset, with what its template says of it if there is one."""
+    said = dict(templates.dtypes)
+    text = [(F.col(c) if said.get(c) == "string" else F.lit(None).cast("string")).alias(c) for c in DESCRIBED]
+    rows = latest(artifacts).drop(*DESCRIBED).join(templates.select("dataset_id", *text), "dataset_id", "left")
+    return rows.withColumn("period_type", F.coalesce("period_type", F.lit("unknown")))
+
+
 def datasets(artifacts: DataFrame, templates: DataFrame) -> DataFrame:
-    """One row for each managed dataset, described by its template if there is one, by managed id."""
-    described = latest(artifacts).join(templates, "dataset_id", "left")
-    return described.withColumn("period_type", F.coalesce("period_type", F.lit("unknown"))).orderBy("managed_id")
+    """The catalog as it is shown: one row for each managed dataset, by its id, without internal ids and paths."""
+    p = F.col("publication")
+    return described(artifacts, templates).select(
+        F.col("managed_id").alias("dataset_id"), F.col("dataset_id").alias("source_dataset_id"), "dataset_name", "variable", *DESCRIBED,
+        F.col("coverage").alias("extent"), F.col("created_at").alias("last_updated"), F.struct(p["status"].alias("status"), p["published_at"].alias("published_at")).alias("publication"),
+    ).orderBy("dataset_id")
 
 
 def page(df: DataFrame, key: str, offset: int = 0, limit: int = PAGE) -> DataFrame:
@@ -42,18 +58,19 @@ def page(df: DataFrame, key: str, offset: int = 0, limit: int = PAGE) -> DataFra
 
 
 def version_history(artifacts: DataFrame) -> DataFrame:
-    """Versions of each managed dataset with their place, newest first; ties as they were stored."""
-    from pyspark.sql import Window
+    """Versions of each managed dataset with their place, newest first; ties as they were stored.
 
-    w = Window.partitionBy("managed_id").orderBy(F.desc("created_at"), F.asc("seq"))
-    return artifacts.withColumn("version_no", F.row_number().over(w))
+    Places are found in ranges, so that a dataset with very many versions is spread over tasks.
+    """
+    return ranks.placed(artifacts, ["managed_id"], [F.desc("created_at"), F.asc("seq")], "version_no")
 
 
-def dataset_details(artifacts: DataFrame, fields: list[str]) -> DataFrame:
-    """Versions of each managed dataset as an array, newest first."""
-    item = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("_order"), "seq", *fields)
-    out = artifacts.groupBy("managed_id").agg(F.array_sort(F.collect_list(item)).alias("versions"))
-    return out.withColumn("versions", F.transform("versions", lambda v: F.struct(*(v[f].alias(f) for f in fields))))
+def dataset_details(artifacts: DataFrame, fields: list[str], page: int = PAGE) -> DataFrame:
+    """Versions of each managed dataset, newest first, in pages: ``managed_id``, ``page`` (from 0) and the array ``versions``."""
+    numbered = version_history(artifacts).withColumn("_page", F.floor((F.col("version_no") - 1) / page).cast("bigint"))
+    item = F.struct(F.col("version_no").alias("_no"), F.struct(*fields).alias("version"))
+    out = numbered.groupBy("managed_id", F.col("_page").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("versions"))
+    return out.withColumn("versions", F.transform("versions", lambda v: v["version"]))
 
 
 def matched_requests(requests: DataFrame, templates: DataFrame, extents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -99,13 +99,9 @@ def compact(df: DataFrame, path: str) -> None:
     )
 
 
-def append_missing(stored: DataFrame, landed: DataFrame, keys: list[str] = KEY, newest: list[Column] | None = None) -> DataFrame:
-    """Landed cells that the store does not have; of a repeated key within one landing the newest counts.
-
-    Without an order of landing the largest row counts, so that a rerun stores the same one.
-    """
-    order = newest or [F.desc(c) for c in landed.columns if c not in keys]
-    return resolve_by_key(landed, keys, order or [F.asc(keys[0])]).join(stored.select(*keys), keys, "left_anti")
+def append_missing(stored: DataFrame, landed: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
+    """Landed cells that the store does not have; of a repeated key within one landing the first in the order ``newest`` counts."""
+    return resolve_by_key(landed, keys, newest).join(stored.select(*keys), keys, "left_anti")
 
 
 def by_parameters(df: DataFrame, variables: list[str] | None = None, stage: str = "final", version: str | None = None) -> DataFrame:
@@ -117,7 +113,7 @@ def by_parameters(df: DataFrame, variables: list[str] | None = None, stage: str
     return df.where(F.col("version") == version) if version and "version" in df.columns else df
 
 
-def ingest(landed: DataFrame, stored: DataFrame | None, start: str, end: str | None, bbox: tuple | None, as_of: str, overwrite: bool = False, keys: list[str] = KEY, newest: list[Column] | None = None) -> DataFrame:
+def ingest(landed: DataFrame, stored: DataFrame | None, start: str, end: str | None, bbox: tuple | None, as_of: str, keys: list[str], newest: list[Column], overwrite: bool = False) -> DataFrame:
     """What a request adds: landed cells of its window (to today, if it names no end), new ones unless it overwrites."""
     wanted = subset(landed, start, end or as_of, bbox)
     if overwrite or stored is None:

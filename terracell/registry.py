@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from . import schemas
 from .functions import identity, periods
-from .operators import catalog, cells, export, series, zones
+from .operators import catalog, cells, export, series, store, zones
 from .plans import sync
+from .shared import cut, delete, new_folder
+from .sources import readers
+from .streaming.sync import stream_sync
 
 AS_OF = "2001-06-30"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,10 +73,18 @@ def _managed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.with_managed_id(fx.artifacts(spark, sf_dir))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that executors and driver share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/{name}-{uuid.uuid4()}"
+@contextmanager
+def _folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder that executors and driver share; it is deleted once the query's rows are kept elsewhere."""
+    path = new_folder(spark, name)
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
+def _monthly(df: DataFrame, n: str = "added") -> DataFrame:
+    return df.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias(n), F.sum("value").alias("total"))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -142,10 +153,10 @@ def ingest_overwrite(spark, sf_dir):
 def store_scan(spark, sf_dir):
     """Half of the cells go through a store, the newer half is read from granules."""
     c = cells.with_layout(fx.daily_cells(spark, sf_dir), "daily", F.col("ix"), F.col("iy"), spatial=8)
-    path = _shared(spark, "store")
-    cells.compact(c.where("time < '1999-01-01'").select(*cells.KEY, "value", "time_chunk", "tile_x", "tile_y"), path)
-    both = cells.subset(cells.open_cells(spark, path, c, "grid_daily"), "1996", "2000")
-    return both.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    with _folder(spark, "store") as path:
+        cells.compact(c.where("time < '1999-01-01'").select(*cells.KEY, "value", "time_chunk", "tile_x", "tile_y"), path)
+        both = cells.subset(cells.open_cells(spark, path, c, "grid_daily"), "1996", "2000")
+        return cut(_monthly(both, "n"))
 
 
 @query("""SELECT l_returnflag AS variable, count(*) AS n, sum(l_quantity) AS total FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_linestatus = 'F' GROUP BY 1""")
@@ -154,15 +165,55 @@ def granule_parameters(spark, sf_dir):
     return cells.by_parameters(g, ["A", "N"]).groupBy("variable").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query(f"""WITH {_CELLS}, k AS (SELECT * FROM cells WHERE time >= '1999-01-01' AND time < '2000-07-01' QUALIFY row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule DESC, line DESC) = 1)
-SELECT strftime(time, '%Y-%m') AS month, count(*) AS added, sum(value) AS total FROM k GROUP BY 1""")
+#: Order of ingestion: by granule, then line.
+_INGESTED = "granule * 16 + line"
+_BOX = "named_struct('xmin', -13e0, 'ymin', 8e0, 'xmax', -11.5e0, 'ymax', 9.5e0)"
+_SYNCED = f"""synced AS (SELECT * FROM cells WHERE time >= '1999-01-01' AND time < '2000-07-01' QUALIFY row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule DESC, line DESC) = 1)"""
+
+
+@query(f"""WITH {_CELLS}, {_SYNCED}, k AS (SELECT 'grid_daily_west' AS managed_id, * FROM synced WHERE lon BETWEEN -13e0 AND -11.5e0 AND lat BETWEEN 8e0 AND 9.5e0 UNION ALL SELECT 'grid_daily_global', * FROM synced)
+SELECT managed_id, strftime(time, '%Y-%m') AS month, count(*) AS added, sum(value) AS total FROM k GROUP BY 1, 2""")
 def sync_apply(spark, sf_dir):
+    """Two managed datasets of one template, one of them of a box."""
     c = fx.daily_cells(spark, sf_dir)
-    stored = c.where("time < '1999-01-01'")
-    end = cells.coverage(stored, F.lit("daily")).select("dataset_id", F.lit("1998-12-31").alias("coverage_end"), F.lit("grid_daily").alias("managed_id"), F.col("end").alias("created_at"), F.lit(1).alias("seq"))
-    plan = sync.sync_plan(end, end.select("dataset_id", F.lit("daily").alias("period_type")), "2000-06-30", AS_OF)
-    new = sync.incremental(stored, c, plan, _CELL_KEY, _newest())
-    return new.groupBy(F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("added"), F.sum("value").alias("total"))
+    stored = c.where("time < '1999-01-01'").withColumn("managed_id", F.explode(F.array(F.lit("grid_daily_west"), F.lit("grid_daily_global"))))
+    end = stored.groupBy("dataset_id", "managed_id").agg(F.max("time").alias("created_at")).selectExpr("*", "'1998-12-31' AS coverage_end", "1 AS seq", f"CASE WHEN managed_id LIKE '%west' THEN {_BOX} END AS bbox")
+    plan = sync.sync_plan(end, end.select("dataset_id", F.lit("daily").alias("period_type")).distinct(), "2000-06-30", AS_OF)
+    new = sync.incremental(stored, c, plan, ["managed_id", *_CELL_KEY], _newest())
+    return new.groupBy("managed_id", F.date_format("time", "yyyy-MM").alias("month")).agg(F.count("*").alias("added"), F.sum("value").alias("total"))
+
+
+@query(f"""WITH {_CELLS}, {_SYNCED}, k AS (SELECT 'grid_daily_west' AS managed_id, * FROM synced WHERE lon BETWEEN -13e0 AND -11.5e0 AND lat BETWEEN 8e0 AND 9.5e0 UNION ALL SELECT 'grid_daily_global', * FROM synced)
+SELECT managed_id, count(*) AS n, sum(value) AS total, strftime(max(time), '%Y-%m-%d') AS coverage_end, 'up_to_date' AS status FROM k GROUP BY 1""")
+def sync_commit(spark, sf_dir):
+    """Cells and records of a catch-up in one commit; a second one finds nothing due."""
+    landed = fx.daily_cells(spark, sf_dir).withColumn("ingested", F.expr(_INGESTED))
+    first = spark.range(2).selectExpr(
+        "1L AS seq", "concat('a', id) AS artifact_id", "element_at(array('grid_daily_west', 'grid_daily_global'), cast(id AS int) + 1) AS managed_id", "'grid_daily' AS dataset_id", "cast(null AS string) AS extent_id",
+        f"CASE WHEN id = 0 THEN {_BOX} END AS bbox", "'zarr' AS format", "timestamp '1999-01-01' AS created_at", "'1995' AS request_start", "'1998' AS request_end", "'1995-01-01' AS coverage_start", "'1998-12-31' AS coverage_end",
+    )
+    t = spark.sql("SELECT 'grid_daily' AS dataset_id, 'daily' AS period_type")
+    with _folder(spark, "synced") as root:
+        store.commit(spark, root, "first", records=first)
+        sync.apply(spark, root, landed, t, "2000-06-30", AS_OF, "second")
+        sync.apply(spark, root, landed, t, "2000-06-30", AS_OF, "second")
+        got = store.newest(store.committed_cells(spark, root)).groupBy(F.col("dataset_id").alias("managed_id")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        records = catalog.latest(store.committed_records(spark, root))
+        # Asked for no later end than what has landed.
+        status = sync.sync_plan(records, t, "1999-01-01", AS_OF).select("managed_id", "coverage_end", "status")
+        return cut(got.join(status, "managed_id"))
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule DESC, line DESC) = 1)
+SELECT strftime(time, '%Y-%m') AS month, count(*) AS n, sum(value) AS total FROM k GROUP BY 1""")
+def stream_store(spark, sf_dir):
+    """Cells land as files in three parts, and a stream stores them in batches of some files; its values are those of all at once."""
+    landed = fx.daily_cells(spark, sf_dir).withColumn("ingested", F.expr(_INGESTED))
+    with _folder(spark, "stream") as root:
+        for part in (1, 2, 0):  # the newest rows do not come last
+            landed.where(f"granule % 3 = {part}").select(schemas.LANDED.names).write.mode("append").parquet(f"{root}/landing")
+            stream_sync(spark, f"{root}/landing", f"{root}/store", f"{root}/state", files_per_batch=64).awaitTermination()
+        return cut(_monthly(store.newest(store.committed_cells(spark, f"{root}/store")), "n"))
 
 
 @query(f"""WITH {_CELLS} SELECT dataset_id, time, lon, lat, CASE WHEN value <> 50 THEN value END AS value FROM cells""")
@@ -224,20 +275,23 @@ def bbox_parse(spark, sf_dir):
 # --- catalog -------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_ARTIFACTS} SELECT managed_id, dataset_id, coalesce(period_type, 'unknown') AS period_type, CASE WHEN period_type IS NOT NULL THEN 'Short ' || k END AS short_name, coverage_end, format, seq FROM latest""")
+@query(f"""WITH {_ARTIFACTS} SELECT managed_id AS dataset_id, dataset_id AS source_dataset_id, 'Dataset ' || k AS dataset_name, 'v' AS variable, coalesce(period_type, 'unknown') AS period_type, CASE WHEN period_type IS NOT NULL THEN 'Short ' || k END AS short_name,
+  NULL::VARCHAR AS units, '1995-01-01' AS "start", coverage_end AS "end", CASE WHEN box IS NOT NULL THEN box - 13.5e0 END AS xmin, created_at AS last_updated, CASE WHEN is_published THEN 'published' ELSE 'unpublished' END AS status FROM latest""")
 def catalog_list(spark, sf_dir):
-    return catalog.datasets(_managed(spark, sf_dir), fx.templates(spark, sf_dir)).select("managed_id", "dataset_id", "period_type", "short_name", "coverage_end", "format", "seq")
+    d = catalog.datasets(_managed(spark, sf_dir), fx.templates(spark, sf_dir))
+    return d.select("dataset_id", "source_dataset_id", "dataset_name", "variable", "period_type", "short_name", "units", "extent.temporal.start", "extent.temporal.end", "extent.spatial.xmin", "last_updated", "publication.status")
 
 
-@query(f"""WITH {_ARTIFACTS} SELECT managed_id, row_number() OVER (PARTITION BY managed_id ORDER BY created_at DESC, seq)::INTEGER AS version_no, seq, format, coverage_end FROM artifacts""")
+@query(f"""WITH {_ARTIFACTS} SELECT managed_id, row_number() OVER (PARTITION BY managed_id ORDER BY created_at DESC, seq)::BIGINT AS version_no, seq, format, coverage_end FROM artifacts""")
 def version_history(spark, sf_dir):
     return catalog.version_history(_managed(spark, sf_dir)).select("managed_id", "version_no", "seq", "format", "coverage_end")
 
 
-@query(f"""WITH {_ARTIFACTS} SELECT managed_id, string_agg(seq || ':' || format, ',' ORDER BY created_at DESC, seq) AS versions, count(*) AS n FROM artifacts GROUP BY 1""")
+@query(f"""WITH {_ARTIFACTS}, v AS (SELECT managed_id, seq, format, created_at, (row_number() OVER (PARTITION BY managed_id ORDER BY created_at DESC, seq) - 1) // 20 AS page FROM artifacts)
+SELECT managed_id, page::BIGINT AS page, string_agg(seq || ':' || format, ',' ORDER BY created_at DESC, seq) AS versions, count(*) AS n FROM v GROUP BY 1, 2""")
 def dataset_details(spark, sf_dir):
     d = catalog.dataset_details(_managed(spark, sf_dir).withColumn("id", F.col("seq")), ["id", "format"])
-    return d.select("managed_id", F.array_join(F.transform("versions", lambda v: F.concat_ws(":", v["id"], v["format"])), ",").alias("versions"), F.size("versions").cast("bigint").alias("n"))
+    return d.select("managed_id", "page", F.array_join(F.transform("versions", lambda v: F.concat_ws(":", v["id"], v["format"])), ",").alias("versions"), F.size("versions").cast("bigint").alias("n"))
 
 
 @query(f"""WITH {_ARTIFACTS}, newest AS (SELECT dataset_id, extent_id, box, max(seq) AS seq FROM base WHERE format = 'zarr' GROUP BY ALL)
@@ -263,12 +317,12 @@ def ingestion_dataset(spark, sf_dir):
 @query(f"""WITH {_ARTIFACTS} SELECT seq, CASE WHEN is_published THEN 'replaced' ELSE format END AS format, CASE WHEN is_published THEN 2 ELSE 1 END AS version_seq FROM base""")
 def record_versions(spark, sf_dir):
     """Records are stored, the published ones replaced, and the versions that count read back."""
-    path = _shared(spark, "records")
-    first = fx.artifacts(spark, sf_dir).select("artifact_id", "seq", "format", "is_published", F.lit(1).alias("version_seq"))
-    catalog.append_records(first, path)
-    stored = spark.read.parquet(path)
-    catalog.append_records(catalog.replacing(stored, stored.where("is_published").withColumn("format", F.lit("replaced"))), path)
-    return catalog.current_versions(spark.read.parquet(path)).select("seq", "format", "version_seq")
+    with _folder(spark, "records") as path:
+        first = fx.artifacts(spark, sf_dir).select("artifact_id", "seq", "format", "is_published", F.lit(1).alias("version_seq"))
+        catalog.append_records(first, path)
+        stored = spark.read.parquet(path)
+        catalog.append_records(catalog.replacing(stored, stored.where("is_published").withColumn("format", F.lit("replaced"))), path)
+        return cut(catalog.current_versions(spark.read.parquet(path)).select("seq", "format", "version_seq"))
 
 
 @query(f"""WITH {_ARTIFACTS} SELECT seq, 'published' AS status, CASE WHEN is_published THEN NULL ELSE managed_id END AS collection_id FROM artifacts""")
@@ -472,6 +526,21 @@ def zonal_shapes(spark, sf_dir):
     return zones.zonal_statistics(fx.daily_cells(spark, sf_dir), fx.shapes(spark, sf_dir), ("count", "sum", "median"))
 
 
+@query(f"""WITH {_CELLS}, {_SHAPES}, {_INSIDE} SELECT zone_id, count(value) AS count, sum(value) AS sum, round(avg(value), 6) AS mean FROM fields LEFT JOIN inside USING (zone_id) LEFT JOIN cells USING (lon, lat) GROUP BY 1""")
+def geojson_zones(spark, sf_dir):
+    """Multipolygons with holes, written as collections of features and read back, with the cells of each."""
+    shape = fx.shapes(spark, sf_dir)
+    closed = F.transform("rings", lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.array(p["x"], p["y"])))
+    # The second ring is a hole of the first one; the third is a part of its own.
+    parts = F.array(F.array(closed[0], closed[1]), F.array(closed[2]))
+    feature = F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("code"), F.col("zone_id")).alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")).alias("geometry"))
+    files = shape.select((F.crc32("zone_id") % 4).alias("file"), feature.alias("f")).groupBy("file").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))).alias("value"))
+    with _folder(spark, "features") as root:
+        files.repartition("file").write.partitionBy("file").text(root)
+        z = cut(readers.features(spark, root, "code").select("zone_id", "rings"))
+    return _rounded(zones.zonal_statistics(fx.daily_cells(spark, sf_dir), z, ("count", "sum", "mean")), "mean")
+
+
 @query(f"""WITH {_ZONES} SELECT 'R' || n_regionkey AS parent_id, round(min(x1), 6) AS xmin, round(min(e.y1), 6) AS ymin, round(max(x1), 6) AS xmax, round(max(e.y1), 6) AS ymax FROM edges e JOIN nation ON zone_id = 'N' || n_nationkey GROUP BY 1""")
 def total_bounds(spark, sf_dir):
     return _rounded(zones.bounds(fx.nation_zones(spark, sf_dir), "parent_id"), "xmin", "ymin", "xmax", "ymax")
@@ -496,3 +565,81 @@ def data_values(spark, sf_dir):
 def station_counts(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events").selectExpr("concat('station_', user_id % 3) AS dataset_id", "ts AS valid_time", "1e0 AS longitude", "2e0 AS latitude", "value AS v")
     return cells.one_variable(e, "v").groupBy("dataset_id").agg(F.count("*").alias("n"))
+
+
+# --- sources -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_CELLS}, g AS (SELECT *, CASE WHEN granule % 3 = 0 THEN 'a_modified' ELSE 'a' END AS id, strftime(time, '%Y') AS y FROM cells), h AS (SELECT lon, lat, min(y) AS y0 FROM g WHERE id = 'a' GROUP BY ALL)
+SELECT 'a_' || g.y AS granule, count(*) AS n, sum(value) AS total, count(*) FILTER (g.y::INT % 2 = 0) AS flagged, sum(y0::BIGINT)::BIGINT AS height FROM g JOIN h USING (lon, lat) WHERE id = 'a' GROUP BY ALL""")
+def granule_scan(spark, sf_dir):
+    """Granules of two datasets whose ids begin alike; those of even years have one more column, and all a static one that the first one decides."""
+    c = fx.daily_cells(spark, sf_dir).withColumns({"year": F.year("time"), "id": F.when(F.col("granule") % 3 == 0, "a_modified").otherwise("a")})
+    c = c.select(F.concat_ws("_", "id", "year").alias("granule"), "time", "lon", "lat", "value", F.col("year").cast("bigint").alias("height"), F.lit(1).alias("flag"), "year")
+    with _folder(spark, "granules") as root:
+        c.where("year % 2 = 1").drop("flag", "year").write.partitionBy("granule").parquet(root)
+        c.where("year % 2 = 0").drop("year").write.mode("append").partitionBy("granule").parquet(root)
+        g = readers.granules(spark, root, "a", static=("height",))
+        return cut(g.groupBy("granule").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count("flag").alias("flagged"), F.sum("height").alias("height")))
+
+
+@query("""SELECT CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 't' || p_partkey END AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'daily' END AS period_type, CASE WHEN p_partkey % 7 = 0 THEN '{"id": "t' || p_partkey || '", broken' END AS bad FROM part""")
+def template_source(spark, sf_dir):
+    """Templates as lines of JSON, some of them broken."""
+    p = fx.table(spark, sf_dir, "part")
+    whole = F.to_json(F.struct(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("id"), F.when(F.col("p_partkey") % 5 == 0, "daily").alias("period_type")))
+    line = F.when(F.col("p_partkey") % 7 == 0, F.format_string('{"id": "t%d", broken', F.col("p_partkey"))).otherwise(whole)
+    with _folder(spark, "templates") as root:
+        p.select(line.alias("value")).write.text(root)
+        good, bad = readers.templates(spark, root)
+        none = F.lit(None).cast("string")
+        return cut(good.select("id", "period_type", none.alias("bad")).union(bad.select(none, none, F.col("value"))))
+
+
+@query("""SELECT CASE WHEN c_custkey % 6 > 1 THEN 'e' || c_custkey END AS id, CASE WHEN c_custkey % 6 > 1 THEN c_acctbal::DOUBLE END AS xmin, CASE WHEN c_custkey % 6 = 1 THEN '{"name":"' || c_name || '"}' WHEN c_custkey % 6 = 0 THEN '[broken' END AS bad FROM customer""")
+def extent_source(spark, sf_dir):
+    """Extents as lines of JSON: some without an id, some broken."""
+    c = fx.table(spark, sf_dir, "customer")
+    whole = F.to_json(F.struct(F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.col("c_acctbal").cast("double"), F.lit(0e0), F.lit(1e0), F.lit(2e0)).alias("bbox")))
+    line = F.when(F.col("c_custkey") % 6 == 0, "[broken").when(F.col("c_custkey") % 6 == 1, F.to_json(F.struct(F.col("c_name").alias("name")))).otherwise(whole)
+    with _folder(spark, "extents") as root:
+        c.select(line.alias("value")).write.text(root)
+        good, bad = readers.extents(spark, root)
+        return cut(good.select("id", F.col("bbox")[0].alias("xmin"), F.lit(None).cast("string").alias("bad")).union(bad.select(F.lit(None).cast("string"), F.lit(None).cast("double"), "value")))
+
+
+@query("""SELECT 'station_' || (user_id % 30) AS dataset_id, date_trunc('second', ts)::TIMESTAMP AS time, (user_id % 30)::DOUBLE - 75e0 AS lon, 45e0 AS lat, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL""")
+def station_source(spark, sf_dir):
+    """Observations of stations as CSV files, read as cells."""
+    e = fx.table(spark, sf_dir, "events").selectExpr("cast(0 AS bigint) AS id", "user_id % 30 AS stn_id", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS datetime", "value", "45e0 AS lat", "cast(user_id % 30 AS double) - 75e0 AS long")
+    with _folder(spark, "stations") as root:
+        e.write.option("header", True).csv(root)
+        s = readers.stations(spark, root)
+        return cut(_rounded(s.groupBy("dataset_id", "time", "lon", "lat").agg(F.count("*").alias("n"), F.sum("value").alias("value")), "value"))
+
+
+@query(f"""WITH {_CELLS} SELECT strftime(time, '%Y-%m') AS month, count(*) AS n, sum(value) AS total FROM cells WHERE time >= '1996-01-01' AND time < '1998-01-01' AND lon BETWEEN -13e0 AND -11e0 AND lat BETWEEN 8e0 AND 9.5e0 GROUP BY 1""")
+def subset_export(spark, sf_dir):
+    """A subset written as one file, and read back."""
+    part = cells.subset(fx.daily_cells(spark, sf_dir), "1996", "1997", (-13.0, 8.0, -11.0, 9.5)).select(*cells.KEY, "value")
+    with _folder(spark, "export") as root:
+        export.write_subset(part, root, "csv", one_file=True)
+        back = spark.read.schema(schemas.CELLS).option("header", True).csv(root)
+        return cut(_monthly(back, "n"))
+
+
+@query(f"""WITH {_CELLS} SELECT strftime(time, '%Y-%m') AS month, count(*) AS n, sum(value) AS total FROM cells WHERE time >= '1996-01-01' AND time < '1997-01-01' GROUP BY 1""")
+def partial_bbox(spark, sf_dir):
+    """A box that lacks a bound selects nothing less than all."""
+    return _monthly(cells.subset(fx.daily_cells(spark, sf_dir), "1996", "1996", (-13.0, 8.0, None, 9.5)), "n")
+
+
+@query(f"""WITH {_CELLS} SELECT 'daily' AS loader, strftime(time, '%Y-%m') AS month, count(*) AS n, sum(value) AS total FROM cells WHERE time >= '1996-01-01' AND time < '1997-01-01' GROUP BY 2
+UNION ALL SELECT 'hourly', strftime(ts, '%Y-%m'), count(*), round(sum(value), 6) FROM events GROUP BY 2""")
+def loader_options(spark, sf_dir):
+    """Loaders by name, each called with those of the same parameters that it takes."""
+    known = readers.Loaders()
+    known.add("daily", lambda s, path, start, end: cells.subset(fx.daily_cells(s, path), start, end))
+    known.add("hourly", lambda s, path: fx.table(s, path, "events").select(F.col("ts").alias("time"), "value"))
+    made = [_monthly(known.load(n, spark, path=sf_dir, start="1996", end="1996", bbox=None, country_code="X"), "n").select(F.lit(n).alias("loader"), "*") for n in ("daily", "hourly")]
+    return made[0].union(_rounded(made[1], "total"))

@@ -1,38 +1,43 @@
-"""Arrival-driven sync: landed files are appended to a store as they come, each cell once."""
+"""Arrival-driven sync: landed files are committed to a store as they come, each cell by its newest row."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pyspark.sql import functions as F
+from .. import schemas
+from ..operators import store
+from ..shared import exists
 
-from ..functions import periods
-from ..operators import cells
-from ..schemas import CELLS
 
+def _stream_id(spark: SparkSession, state: str) -> str:
+    """A name of the stream that lives as long as its state does, so that a new state makes new names of batches."""
+    path = f"{state}-id"
+    if not exists(spark, path) or not exists(spark, state):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema("id string").parquet(path).first()["id"]
 
-def stream_sync(spark: SparkSession, landing: str, store: str, state: str, period_type: str = "daily") -> StreamingQuery:
-    """Append what has landed and is not stored; a batch that is replayed adds nothing.
 
-    The store has a folder for each dataset and time chunk, as ``compact`` lays it out, and a batch
-    reads only the chunks that it reaches.
+def stream_sync(spark: SparkSession, landing: str, root: str, state: str, period_type: str = "daily", files_per_batch: int | None = None) -> StreamingQuery:
+    """Commit what has landed since the last run, a batch at a time, and end.
+
+    Landed rows are schemas.LANDED; where ``ingested`` is null, the time at which the file was written
+    orders them. A batch adds what ``store.additions`` says and is recorded in the store's manifest by
+    the number that Spark gives it, so that a replayed batch adds nothing, and one that fails half way
+    shows nothing. ``store.newest`` of the store is the same in however many batches files come, and is
+    what ``sync.incremental`` adds at once.
     """
+    stream = _stream_id(spark, state)
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        try:
-            stored = s.read.parquet(store)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = s.createDataFrame([], CELLS).withColumn("time_chunk", F.lit(0))
-        batch = batch.withColumn("time_chunk", periods.time_chunk(F.col("time"), period_type))
-        reach = batch.agg(F.min("time_chunk"), F.max("time_chunk")).first()
-        if reach[0] is None:
-            return
-        new = cells.append_missing(stored.where(F.col("time_chunk").between(*reach)), batch)
-        new.repartition("dataset_id", "time_chunk").write.partitionBy("dataset_id", "time_chunk").mode("append").parquet(store)
-
-    landed = spark.readStream.schema(CELLS).parquet(landing)
+        store.commit(s, root, f"{stream}-{number}", store.additions(store.committed_cells(s, root), batch, period_type), period_type=period_type)
+
+    reader = spark.readStream.schema(schemas.LANDED)
+    landed = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(landing)
+    order = F.coalesce("ingested", F.unix_micros("_metadata.file_modification_time"))
+    landed = landed.withColumn("ingested", order).select(schemas.LANDED.names)
     return landed.writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start()
