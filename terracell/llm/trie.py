@@ -50,14 +50,16 @@ def turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     """``conv``, ``pos`` (from 1), two hashes of what is said and ``bytes`` of the text, of every turn."""
     said = [F.coalesce(df[c], F.lit("")) for c in (role, text)]
     rows = df.where(df[conv].isNotNull()).select(df[conv].cast("bigint").alias("conv"), df[turn].alias("turn"), said[0].alias("role"), said[1].alias("text"))
-    hashes = [F.xxhash64(F.lit(k), "role", "text").alias(n) for k, n in ((1, "h1"), (2, "h2"))]
-    facts = ["conv", "turn", *hashes, F.octet_length("text").cast("bigint").alias("bytes")]
+    hashes = {n: F.xxhash64(F.lit(k), "role", "text") for k, n in ((1, "h1"), (2, "h2"))}
+    rows = rows.withColumns(hashes | {"bytes": F.octet_length("text").cast("bigint"), "tie": F.lit(1).cast("bigint")})
+    facts = ["conv", "turn", "h1", "h2", "bytes", "tie"]
     # Texts are moved only where turns have equal numbers.
     tied = cut(rows.groupBy(F.col("conv").alias("_c"), F.col("turn").alias("_t")).agg(F.count("*").alias("n")).where("n > 1"))
-    same = (F.col("conv") == F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t"))
-    made = rows.join(tied, same, "left_anti").select(*facts, F.lit(1).cast("bigint").alias("tie"))
+    made = rows.select(facts)
     if not tied.isEmpty():
-        made = made.unionByName(ranks.placed(rows.join(tied, same, "left_semi"), ["conv", "turn"], [F.asc("role"), F.asc("text")], "tie").select(*facts, "tie"))
+        same = (F.col("conv") == F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t"))
+        in_order = ranks.placed(rows.join(tied, same, "left_semi"), ["conv", "turn"], [F.asc("role"), F.asc("text")], "tie")
+        made = made.join(tied, same, "left_anti").unionByName(in_order.select(facts))
     return ranks.placed(made, ["conv"], [F.asc_nulls_first("turn"), F.asc("tie")], "pos").select("conv", "pos", "h1", "h2", "bytes")
 
 
