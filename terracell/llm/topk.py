@@ -123,8 +123,8 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
     count = rows.groupBy("d", "cluster").agg(F.count("*").alias("n"))
     rows = rows.join(count, ["d", "cluster"])
-    # Spread by id and vector, so that rows of one id do not meet in one shelf.
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.greatest(F.lit(1), F.round(F.col("n") / size).cast("bigint"))))
+    # Spread by row, so that rows of one id, or equal ones, do not meet in one shelf.
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.greatest(F.lit(1), F.round(F.col("n") / size).cast("bigint"))))
     return rows.groupBy("d", "cluster", "part").applyInPandas(pack, f"{_KEY}, ids binary, v binary, high binary, low binary")
 
 
@@ -208,9 +208,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     """
     ship(df.sparkSession)
     rows = df.select(F.coalesce(df[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), scaled(df[vector_col]).alias("v")).where("v is not null")
-    rows = cut(_clustered(rows, centroids(rows)))
+    # Numbers of rows that are stored do not change when a task runs again.
+    rows = cut(_clustered(rows, centroids(rows))).withColumn("row", F.monotonically_increasing_id())
     shelves = cut(_packed(rows, SHELF))
-    groups = _packed(rows.where("q").select("id", "v", "q", "d", "cluster").distinct(), GROUP).withColumnsRenamed({"ids": "q_ids", "v": "qv"}).drop("high", "low")
+    groups = _packed(rows.where("q").select("id", "v", "q", "d", "cluster").distinct().withColumn("row", F.xxhash64("id", "v")), GROUP).withColumnsRenamed({"ids": "q_ids", "v": "qv"}).drop("high", "low")
     # A query is a candidate as well, so every group's cluster has shelves.
     shelf_count = shelves.groupBy("d", "cluster").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("part")).alias("parts"))
     home = groups.join(shelf_count, ["d", "cluster"]).withColumn("s_part", F.col("parts")[F.pmod("part", "n").cast("int")])
