@@ -35,7 +35,7 @@ def _hex(binary: Column) -> Column:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, counts = _table(spark, sf_dir, "pages").select("page_id", "url"), cut(urls.unigrams(_table(spark, sf_dir, "documents")))
-    return urls.judge_urls(pages, RULES, counts).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge_urls(pages, RULES, counts, urls.learn(pages, RULES, counts)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,37 +3,47 @@
 Host and path are cut into tokens (runs of letters). The judge splits tokens that are no words of its
 own into words by a unigram Viterbi pass (``freebets`` becomes ``free bets``) and adds up what
 multinomial naive Bayes says of each word. The segmenter's unigrams are counted over a whole corpus,
-to which the judge's words are added; parts have at least LEAST letters each, and a token that does
-not split wholly into known words stays one unknown word, so that no letters split off a name
-(``essex``, ``netflix``) speak against it. The classifier learns from labelled lines of words, a
-parameter. Words of neither class leave the odds as they are, and the prior favours allowing.
+to which the judge's words are added. A part that is no known word has the chance of a random word of
+its length, a tenth for each letter: so a known word splits off a name (``megacasino``) if it is long
+or frequent enough, and none splits off where the rest makes no sense (``essex``, ``netflix``).
 
-All of it runs as joins: distinct tokens meet the unigrams by their substrings, are split in batches,
-and meet the urls again by token. Neither the vocabulary nor the tokens are gathered anywhere; only
-the judge's own lines travel with the tasks.
+The classifier learns from labelled urls (those that the rules decide, say), at most ``max_rows`` of
+them, and from labelled lines of topic words; both are parameters. The urls' words count as much in
+all as the lines do. Words of neither class leave the odds as they are, and the prior favours allowing.
+
+All of it runs as joins. Distinct tokens are known by a hash; windows of a token yield its substrings,
+which meet the unigrams by a sort-merge join, and what is known of a token meets it again by its hash.
+A token of n letters makes 22 n pieces, none of which carries the token, and is split in time in
+proportion to n. Neither the vocabulary nor the tokens are gathered anywhere; the judge's own words,
+which are bounded by its lines and ``max_rows``, travel with the tasks.
 
 Defined results: null, and a url without ``://``, have an empty host and path, fit no rule and are
-judged on no words, hence allowed; of two rules of equal length the first given wins, of two splits
-of equal cost the one with the longer last word. Repeated urls have repeated results; urls of any
-length are read whole (a word has at most LONGEST letters); an empty table gives an empty one. All
-columns come back as they were, but for those named like the results, which are replaced.
+judged on no words, hence allowed; of two rules of equal length the first given wins. Repeated urls have
+repeated results; urls of any length are read whole (a known word has at most LONGEST letters); an empty
+table gives an empty one. All columns come back as they were, but for those named like the results,
+which are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut, map_rows
 
 #: Letters of the shortest part and of the longest word.
 LEAST, LONGEST = 3, 24
+#: Letters of a token that one window of it starts pieces from.
+WINDOW = 64
+#: Labelled urls that a judge learns from, at most.
+MAX_ROWS = 20_000
 #: Count of a judge's word among a million words of the corpus, where the corpus hardly has it.
 SEEDED = 20.0
 #: Labelled lines to learn from: topics that a crawl leaves out, topics that it keeps, and words that
@@ -82,44 +92,59 @@ class Rule:
 
 @dataclass(frozen=True)
 class Judge:
-    """Multinomial naive Bayes over words, with add-``smooth`` counts; neutral words are known, and even."""
+    """Multinomial naive Bayes over words, with add-``smooth`` counts; neutral words are known, and even.
+
+    ``learned``: words of labelled urls with their counts in the blocked and in the allowed ones.
+    """
 
     block: tuple[str, ...] = BLOCK_LINES
     allow: tuple[str, ...] = ALLOW_LINES
     neutral: tuple[str, ...] = NEUTRAL_LINES
+    learned: tuple[tuple[str, int, int], ...] = ()
     prior: float = 0.2
     margin: float = 0.0
     smooth: float = 0.1
     odds: dict[str, float] = field(init=False)
 
     def __post_init__(self) -> None:
-        b, a = (Counter(w for line in lines for w in line.lower().split()) for lines in (self.block, self.allow))
-        words = b.keys() | a.keys()
+        sides = [Counter(w for line in lines for w in line.lower().split()) for lines in (self.block, self.allow)]
+        for i, side in enumerate(sides):
+            own, seen = side.total(), sum(x[1 + i] for x in self.learned)
+            for w, *n in self.learned:
+                side[w] += n[i] * (own or seen) / max(1, seen)
+        words = sides[0].keys() | sides[1].keys()
         share = lambda c, w: (c[w] + self.smooth) / (c.total() + self.smooth * len(words))
         even = {w: 0.0 for line in self.neutral for w in line.lower().split()}
-        object.__setattr__(self, "odds", even | {w: math.log(share(b, w) / share(a, w)) for w in sorted(words)})
+        object.__setattr__(self, "odds", even | {w: math.log(share(sides[0], w) / share(sides[1], w)) for w in sorted(words)})
 
     @property
     def start(self) -> float:
         return math.log(self.prior / (1 - self.prior))
 
 
-def segment(token: str, cost: dict[str, float]) -> list[str]:
-    """The split into known words of least cost; the token itself where there is none."""
-    best: list[tuple[float, int]] = [(0.0, 0)]
+def segment(token: str, cost: dict[str, float], total: float) -> list[str]:
+    """The split of least cost into known words and unknown parts, each of the latter costing ln(total / 10) and ln 10 a letter."""
+    first, more = math.log(total / 10), math.log(10)
+    # Least costs up to each letter, with a known word last, or an unknown part; where that began.
+    known, unknown, began, since = [0.0], [math.inf], [0], [0]
     for i in range(1, len(token) + 1):
-        here = (math.inf, 0)
+        a, b = unknown[i - 1] + more, known[i - 1] + first + more
+        unknown.append(min(a, b))
+        since.append(since[i - 1] if a < b else i - 1)
+        best, at = math.inf, 0
         for k in range(max(0, i - LONGEST), i - LEAST + 1):
             c = cost.get(token[k:i])
-            if c is not None and best[k][0] + c < here[0]:
-                here = (best[k][0] + c, k)
-        best.append(here)
-    if math.isinf(best[-1][0]) or not token:
-        return [token]
+            if c is not None and min(known[k], unknown[k]) + c < best:
+                best, at = min(known[k], unknown[k]) + c, k
+        known.append(best)
+        began.append(at)
     out, i = [], len(token)
+    is_known = known[i] <= unknown[i]
     while i:
-        out.append(token[best[i][1] : i])
-        i = best[i][1]
+        k = began[i] if is_known else since[i]
+        out.append(token[k:i])
+        is_known = not is_known or known[k] <= unknown[k]
+        i = k
     return out[::-1]
 
 
@@ -136,22 +161,26 @@ def _tokens(host: Column, path: Column) -> Column:
 def split_tokens(tokens: DataFrame, counts: DataFrame | None, judge: Judge = Judge()) -> DataFrame:
     """(token, words, odds) of distinct tokens (``token``) that have a part the corpus or the judge knows."""
     spark = tokens.sparkSession
-    seeds = spark.createDataFrame([(w, 0.0) for w in judge.odds if len(w) >= LEAST], "word string, n double")
+    seeds = spark.createDataFrame([(w, 0.0) for w in judge.odds if LEAST <= len(w) <= LONGEST], "word string, n double")
     known = seeds if counts is None else counts.select("word", F.col("n").cast("double").alias("n")).union(seeds)
-    total = (None if counts is None else counts.agg(F.sum("n")).first()[0]) or 1_000_000
-    own = F.col("word").isin(*judge.odds)
-    known = known.groupBy("word").agg(F.sum("n").alias("n")).select("word", F.when(own, F.greatest("n", F.lit(SEEDED * total / 1e6))).otherwise(F.col("n")).alias("n"))
-    # Every substring of a token that may be a word.
-    starts = F.sequence(F.lit(1), F.length("token") - LEAST + 1)
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(LEAST), F.least(F.lit(LONGEST), F.length("token") - i + 1)), lambda n: F.substring(F.col("token"), i, n))))
-    tokens = tokens.where(F.length("token") >= LEAST)
-    pieces = tokens.select("token", F.explode(F.array_distinct(parts)).alias("word"))
-    met = pieces.join(known, "word").groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    total = float((None if counts is None else counts.agg(F.sum("n")).first()[0]) or 1_000_000)
+    own = seeds.select("word", F.lit(SEEDED * total / 1e6).alias("least")).distinct()
+    known = known.groupBy("word").agg(F.sum("n").alias("n")).join(F.broadcast(own), "word", "left").select("word", F.greatest("n", "least").alias("n"))
+    tokens = tokens.where(F.length("token") >= LEAST).select(F.xxhash64("token").alias("id"), "token")
+    windows = F.transform(F.sequence(F.lit(0), F.floor((F.length("token") - 1) / WINDOW).cast("int")), lambda w: F.substring(F.col("token"), w * WINDOW + 1, F.lit(WINDOW + LONGEST - 1)))
+    pieces = tokens.select("id", F.explode(windows).alias("window"))
+    # Every substring that may be a word, where it starts in the window's own letters.
+    starts = F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.length("window") - LEAST + 1))
+    lengths = lambda i: F.sequence(F.lit(LEAST), F.least(F.lit(LONGEST), F.length("window") - i + 1))
+    parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(lengths(i), lambda n: F.substring(F.col("window"), i, n)))))
+    pieces = pieces.where(F.length("window") >= LEAST).select("id", F.explode(parts).alias("word"))
+    met = pieces.join(known.hint("merge"), "word").groupBy("id").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    met = tokens.join(met, "id").select("token", "known")
     odds = judge.odds
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [segment(t, {k["word"]: -math.log(k["n"] / total) + 1e-9 for k in ks}) for t, ks in zip(batch.column("token").to_pylist(), batch.column("known").to_pylist())]
+            words = [segment(t, {k["word"]: -math.log(k["n"] / total) + 1e-9 for k in ks}, total) for t, ks in zip(batch.column("token").to_pylist(), batch.column("known").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(words, pa.list_(pa.string())), pa.array([sum(odds.get(w, 0.0) for w in ws) for ws in words], pa.float64())], ["token", "words", "odds"])
 
     return map_rows(met, run, "token string, words array<string>, odds double")
@@ -171,6 +200,31 @@ def _fits(rule: Rule, host: Column, path: Column) -> Column:
     return ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
 
 
+def _ruled(df: DataFrame, rules: Iterable[Rule], url: str, kept: list[str]) -> DataFrame:
+    """``row``, ``host``, ``path`` and the longest rule that fits, if any, with its verdict."""
+    host, path = host_and_path(df[url])
+    text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for r in reversed(sorted(rules, key=lambda r: -len(r.text))):
+        ok = _fits(r, F.col("host"), F.col("path"))
+        text, verdict = F.when(ok, F.lit(r.text)).otherwise(text), F.when(ok, F.lit(r.verdict)).otherwise(verdict)
+    return df.select(F.struct(*(df[c] for c in kept)).alias("row") if kept else F.lit(0).alias("row"), host.alias("host"), path.alias("path")).withColumns({"rule": text, "verdict": verdict})
+
+
+def learn(df: DataFrame, rules: Iterable[Rule], counts: DataFrame | None = None, base: Judge = Judge(), url: str = "url", max_rows: int = MAX_ROWS) -> Judge:
+    """A judge that has learnt from the urls that a rule decides, too: from at most ``max_rows`` of their hosts and paths, drawn by hash.
+
+    Words that stand in the rules themselves tell nothing that the rules do not, and are left out.
+    """
+    decided = _ruled(df, rules, url, []).where("rule is not null").select("host", "path", "verdict").distinct()
+    drawn = decided.orderBy(F.xxhash64("host", "path"), "host", "path").limit(max_rows)
+    tokens = cut(drawn.select("verdict", F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).groupBy("token").pivot("verdict", ["block", "allow"]).count().na.fill(0))
+    words = split_tokens(tokens.select("token"), counts, base).select("token", "words")
+    said = tokens.join(words, "token", "left").select(F.explode(F.coalesce("words", F.array("token"))).alias("word"), "block", "allow")
+    mine = {t for r in rules for t in re.findall(r"[^\W\d_]+", r.text.lower())}
+    rows = said.groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).collect()
+    return replace(base, learned=tuple(sorted(tuple(r) for r in rows if len(r["word"]) >= LEAST and r["word"] not in mine)))
+
+
 def judge_urls(df: DataFrame, rules: Iterable[Rule] = (), counts: DataFrame | None = None, judge: Judge = Judge(), url: str = "url") -> DataFrame:
     """The rows with ``host``, ``path``, ``rule``, ``verdict`` and ``odds`` (the judge's, where no rule fits).
 
@@ -178,25 +232,17 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule] = (), counts: DataFrame | No
     """
     made = ["host", "path", "rule", "verdict", "odds"]
     kept = [c for c in df.columns if c not in made]
-    host, path = host_and_path(df[url])
-    text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in reversed(sorted(rules, key=lambda r: -len(r.text))):
-        ok = _fits(r, F.col("host"), F.col("path"))
-        text, verdict = F.when(ok, F.lit(r.text)).otherwise(text), F.when(ok, F.lit(r.verdict)).otherwise(verdict)
-    rows = df.select(F.struct(F.lit(0).alias("_"), *(df[c] for c in kept)).alias("row"), host.alias("host"), path.alias("path")).withColumns({"rule": text, "verdict": verdict})
+    rows = _ruled(df, rules, url, kept)
 
     # The judge's own words need no splitting, and shorter tokens have nothing to split.
-    open_ = rows.where("rule is null").select("host", "path").distinct().withColumn("tokens", _tokens(F.col("host"), F.col("path")))
-    own = F.create_map(*[F.lit(x) for w in judge.odds.items() for x in w])
-    plain = F.aggregate("tokens", F.lit(0.0), lambda s, t: s + F.coalesce(own[t], F.lit(0.0)))
-    other = F.filter("tokens", lambda t: own[t].isNull() & (F.length(t) >= 2 * LEAST))
-    open_ = open_.select("host", "path", plain.alias("plain"), other.alias("other"))
-    asked = open_.select("host", "path", F.explode("other").alias("token"))
+    own = F.broadcast(df.sparkSession.createDataFrame(list(judge.odds.items()), "token string, odds double"))
+    asked = rows.where("rule is null").select("host", "path").distinct().withColumn("token", F.explode(_tokens(F.col("host"), F.col("path"))))
+    plain = asked.join(own, "token").select("host", "path", "odds")
+    other = asked.where(F.length("token") >= 2 * LEAST).join(own, "token", "left_anti")
     # Most tokens say nothing, and leave no row.
-    split = split_tokens(asked.select("token").distinct(), counts, judge).where("odds != 0").select("token", "odds")
-    more = asked.join(split, "token").groupBy("host", "path").agg(F.sum("odds").alias("more"))
-    judged = open_.join(more, ["host", "path"], "left").select("host", "path", (F.lit(judge.start) + F.col("plain") + F.coalesce("more", F.lit(0.0))).alias("odds"))
-    out = rows.where("rule is null").join(judged, ["host", "path"], "left").select("row", "host", "path", "rule", "verdict", "odds")
+    split = split_tokens(other.select("token").distinct(), counts, judge).where("odds != 0").select("token", "odds")
+    said = plain.unionByName(other.join(split, "token").select("host", "path", "odds")).groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    out = rows.where("rule is null").join(said, ["host", "path"], "left").select("row", "host", "path", "rule", "verdict", (F.lit(judge.start) + F.coalesce("odds", F.lit(0.0))).alias("odds"))
     out = out.withColumn("verdict", F.when(F.col("odds") > judge.margin, "block").otherwise("allow"))
     out = rows.where("rule is not null").withColumn("odds", F.lit(None).cast("double")).unionByName(out)
     return out.select(*(F.col("row")[c].alias(c) for c in kept), *made)
