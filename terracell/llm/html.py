@@ -323,7 +323,7 @@ def train(pages: list[list[Block]], epochs: int = 12, rate: float = 0.25, decay:
     return Crf({f: float(w[i]) for f, i in index.items() if w[i]}, moves)
 
 
-def drawn_pages(count: int = 250, seed: int = 11) -> list[list[Block]]:
+def drawn_pages(count: int = 500, seed: int = 11) -> list[list[Block]]:
     """Labelled pages of a seeded generator of layouts."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[rng.integers(len(xs))]
@@ -337,9 +337,14 @@ def drawn_pages(count: int = 250, seed: int = 11) -> list[list[Block]]:
     def links(n: int) -> str:
         return "".join(f'<li><a href="/">{words(1, 3, False)}</a></li>' for _ in range(n))
 
+    def cells(n: int) -> str:
+        """A menu in the cells of a table, in one row or many."""
+        apart = pick("", "</tr><tr>")
+        return f"<tr>{apart.join(f'<td><a href="/">{words(1, 3, False)}</a></td>' for _ in range(n))}</tr>"
+
     def other(kind: str) -> str:
         if kind == "nav":
-            return pick(f"<nav><ul>{links(rng.integers(2, 9))}</ul></nav>", f'<div class="{pick("menu", "navbar", "navigation main", "breadcrumb", "breadcrumbs")}"><ul>{links(4)}</ul></div>', f'<ul role="navigation" class="{pick("nav", "menu")}">{links(5)}</ul>', f'<div id="{pick("menu", "nav", "topnav")}"><a href="/">{words(1, 3)}</a> <a href="/b">{words(1, 3)}</a></div>')
+            return pick(f"<nav><ul>{links(rng.integers(2, 9))}</ul></nav>", f'<div class="{pick("menu", "navbar", "navigation main", "breadcrumb", "breadcrumbs")}"><ul>{links(4)}</ul></div>', f'<ul role="navigation" class="{pick("nav", "menu")}">{links(5)}</ul>', f'<div id="{pick("menu", "nav", "topnav")}"><a href="/">{words(1, 3)}</a> <a href="/b">{words(1, 3)}</a></div>', f"<table>{cells(rng.integers(3, 9))}</table>", f'<table class="{pick("menu", "nav", "links", "topbar")}">{cells(4)}</table>')
         if kind == "header":
             return pick(f"<header><h1>{words(1, 5, False)}</h1><p>{words(3, 12)}</p></header>", f'<div class="{pick("header", "site-header", "masthead", "banner", "topbar")}"><p>{words(2, 9)}</p></div>')
         if kind == "footer":
@@ -360,6 +365,9 @@ def drawn_pages(count: int = 250, seed: int = 11) -> list[list[Block]]:
         for _ in range(rng.integers(1, 9)):
             long = words(3, 120) if rng.random() < 0.7 else words(1, 4)
             out.append(pick(f"<p>{long}</p>", f"<p>{long}</p>", f"<p><b>{words(2, 9)}</b>{long}<br><p>{words(2, 20)}</p>", f"<p>{long}<br>{words(2, 50)}</p>", f"<p><b>{long}<br>", f"<h2>{words(1, 6, False)}</h2><p>{long}</p>", f"<ul><li>{words(2, 15)}</li><li>{words(2, 9)}</li></ul>", f"<blockquote>{long}</blockquote>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 9)}</td></tr></table>", f'<p>{words(4, 30)} <a href="/z">{words(1, 4, False)}</a> {words(4, 30)}</p>', f"<pre>{words(3, 30)}</pre>", f"<figure><figcaption>{words(3, 12)}</figcaption></figure>", f"<div>{long}</div>", f"<section><p>{long}</p></section>"))
+            if rng.random() < 0.25:
+                # Adverts and menus stand between the paragraphs of many articles.
+                out.append(_marked(other(pick("ad", "ad", "nav"))))
             if rng.random() < 0.12:
                 out.append(f'<div data-y="0">{other(pick("ad", "aside", "notice", "form", "nav"))}</div>' if rng.random() < 0.5 else _marked(other(pick("ad", "aside", "notice", "form", "comments", "footer", "header"))))
         return "".join(out)
