@@ -4,14 +4,16 @@ All of it is Spark SQL expressions. For each kind, ``split`` and ``regexp_extrac
 pattern give the stretches between matches and the matches; running sums of their lengths give each
 match its place in code points. A match then passes its kind's test: parts of an address at most 255,
 Luhn's sum for cards, the remainder 97 leaves for bank accounts, counts of digits. Kinds that are
-weak by themselves have a base score that words in the 40 characters before a match raise, whatever
-else was matched there; a span is reported from ``THRESHOLD`` on. The patterns start where the match before ended or where no longer
+weak by themselves have a base score that words in the 40 characters before or after a match raise,
+whatever else was matched there; a span is reported from ``THRESHOLD`` on. The patterns start where the match before ended or where no longer
 match could have started, and their repetitions never step back, so that a text of any length takes
 time in proportion to it.
 
 Defined results: null text is empty text; a text without a match has no spans and is unchanged;
-spans of one kind never overlap, spans of two kinds may, and all of them are reported. Redaction
-goes kind by kind, so a later kind sees what the earlier ones left.
+spans of one kind never overlap, spans of two kinds may, and all of them are reported, in the order of
+their starts and, where these are equal, of KINDS. Repeated rows have repeated results, and an empty table gives an
+empty one. Redaction goes kind by kind, so a later kind sees what the earlier ones left. Other columns
+travel in a struct and come back as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 #: Matches of a text that one inner sum takes: running sums go over blocks, then over their totals.
 BLOCK = 64
-#: Characters before a match that are its context, and matches of 10 characters or more that fill them.
+#: Characters before and after a match that are its context, and matches of 10 characters or more that fill them.
 NEAR, FILL = 40, 4
 
 
@@ -43,10 +45,12 @@ class Kind:
     bonus: float = 0.0
 
     def worth(self, i: str) -> str:
-        """SQL: a passing match's score, from what stands before it."""
+        """SQL: a passing match's score, from what stands before and after it."""
         # Not cut out of the text by place, which would count from its start for every match.
         before = f"concat(array_join(slice(_tails, greatest(1, {i} - {FILL - 1}), least({i}, {FILL})), ''), _parts[{i}])"
-        near = f" + if(lower(right({before}, {NEAR})) rlike '{self.context}', {self.bonus}D, 0D)" if self.context else ""
+        after = f"concat(_parts[{i} + 1], array_join(slice(_heads, {i} + 2, {FILL}), ''))"
+        said = lambda x: f"lower({x}) rlike '{self.context}'"
+        near = f" + if({said(f'right({before}, {NEAR})')} or {said(f'left({after}, {NEAR})')}, {self.bonus}D, 0D)" if self.context else ""
         return f"({self.score}D{near})"
 
     def accepts(self, match: str, i: str) -> str:
@@ -105,12 +109,15 @@ def _sums(array: str) -> str:
 
 
 def _proposed(df: DataFrame, kind: Kind) -> DataFrame:
-    """``_hits``: the kind's matches in ``_text``; ``_parts``: what lies between them; ``_tails``: each match and what is near before it."""
+    """``_hits``: the kind's matches in ``_text``; ``_parts``: what lies between them; ``_tails``, ``_heads``: each match and what is near before it, after it."""
     t = F.col("_text")
     may = t.contains(kind.guard) if kind.guard else t.rlike("[0-9]")
     hits = F.when(may, F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
     df = df.withColumn("_hits", hits).withColumn("_parts", F.when(F.size("_hits") > 0, F.split(t, kind.pattern, -1)).otherwise(F.array(t)))
-    return df.withColumn("_tails", F.expr(f"transform(_hits, (m, i) -> concat(right(_parts[i], {NEAR}), m))")) if kind.context else df
+    if not kind.context:
+        return df
+    near = {"_tails": f"concat(right(_parts[i], {NEAR}), m)", "_heads": f"concat(m, left(_parts[i + 1], {NEAR}))"}
+    return df.withColumns({n: F.expr(f"transform(_hits, (m, i) -> {x})") for n, x in near.items()})
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -121,17 +128,23 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.withColumn("_starts", F.expr(f"flatten(transform(_blocks, (z, b) -> transform({_sums('z')}, x -> x + _totals[b])))")).drop("_steps", "_blocks", "_totals")
 
 
+def _carried(df: DataFrame, kept: list[str], text: Column) -> DataFrame:
+    """``_row``: the columns that come back; ``_text``: what is searched."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row") if kept else F.lit(0).alias("_row"), text.alias("_text"))
+
+
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """The rows with ``out``: their spans (start, end, kind, base, score), ordered by start, then kind."""
     kept = [c for c in df.columns if c != out]
-    df = df.select(*kept, F.coalesce(df[text], F.lit("")).alias("_text"))
+    df = _carried(df, kept, F.coalesce(df[text], F.lit("")))
     for i, kind in enumerate(KINDS):
         df = _placed(_proposed(df, kind))
         span = f"named_struct('start', _starts[i], 'at', {i}, 'end', _starts[i] + length(m), 'kind', '{kind.name}', 'base', {str(kind.base).lower()}, 'score', {kind.worth('i')})"
         found = f"filter(transform(_hits, (m, i) -> if({kind.accepts('m', 'i')}, {span}, null)), h -> h is not null)"
-        df = df.withColumn(f"_{kind.name}", F.when(F.size("_hits") > 0, F.expr(found)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))).drop("_parts", "_hits", "_tails", "_starts")
+        df = df.withColumn(f"_{kind.name}", F.when(F.size("_hits") > 0, F.expr(found)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))).drop("_parts", "_hits", "_tails", "_heads", "_starts")
     spans = F.array_sort(F.concat(*(f"_{k.name}" for k in KINDS)))
-    return df.withColumn(out, F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "kind", "base", "score"))))).select(*kept, out)
+    listed = F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "kind", "base", "score"))))
+    return df.select(*(F.col("_row")[c].alias(c) for c in kept), listed.alias(out))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
@@ -140,10 +153,10 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     A null text stays null. The other columns, of whatever name, are as they were.
     """
     cols = df.columns
-    df = df.withColumn("_text", F.col(text))
+    df = _carried(df, [c for c in cols if c != text], df[text])
     for kind in KINDS:
         df = _proposed(df, kind)
         swapped = f"transform(_hits, (m, i) -> concat(_parts[i], if({kind.accepts('m', 'i')}, '<{kind.name.upper()}>', m)))"
         joined = f"concat(array_join({swapped}, ''), _parts[size(_hits)])"
-        df = df.withColumn("_text", F.when(F.size("_hits") > 0, F.expr(joined)).otherwise(F.col("_text"))).drop("_parts", "_hits", "_tails")
-    return df.withColumn(text, F.col("_text")).select(*cols)
+        df = df.withColumn("_text", F.when(F.size("_hits") > 0, F.expr(joined)).otherwise(F.col("_text"))).drop("_parts", "_hits", "_tails", "_heads")
+    return df.select(*((F.col("_text") if c == text else F.col("_row")[c]).alias(c) for c in cols))

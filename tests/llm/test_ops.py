@@ -70,9 +70,9 @@ def test_urls(spark, empty):
 
 
 def splits(token):
-    """All ways to cut a token into parts of the least length or more."""
+    """All ways to cut a token into parts."""
     yield [token]
-    for k in range(urls.LEAST, len(token) - urls.LEAST + 1):
+    for k in range(1, len(token)):
         for rest in splits(token[k:]):
             yield [token[:k], *rest]
 
@@ -85,25 +85,64 @@ def test_segments_and_odds(spark):
     judge = urls.Judge()
     total = sum(n.values())
     known = {w: max(n.get(w, 0), urls.SEEDED * total / 1e6) if w in judge.odds else n[w] for w in {*n, *judge.odds} if len(w) >= urls.LEAST}
-    tokens = ["freebooks", "freebetscasino", "essex", "netflix", "womenmenu", "thebooksbooks", "middletheatre", "x" * 400 + "casino", "casinocasinopoker"]
-    got = {r["token"]: r for r in rows(urls.split_tokens(spark.createDataFrame([(t,) for t in tokens], "token string"), counts))}
-    for t in tokens[:7] + tokens[8:]:
-        ways = [w for w in splits(t) if all(p in known for p in w)]
-        cost = lambda w: sum(-np.log(known[p] / total) + 1e-9 for p in w)
-        if ways:
-            assert cost(got[t]["words"]) == pytest.approx(min(map(cost, ways))) and "".join(got[t]["words"]) == t
+    tokens = ["freebooks", "freebetscasino", "essex", "netflix", "womenmenu", "thebooksbooks", "middletheatre", "casinocasinopoker", "megacasino", "zcasinoz"]
+    long = "x" * 400 + "casino"
+    got = {r["token"]: r for r in rows(urls.split_tokens(spark.createDataFrame([(t,) for t in [*tokens, long]], "token string"), counts))}
+    cost = lambda w: sum(-np.log(known[p] / total) + 1e-9 if p in known else np.log(total / 10) + len(p) * np.log(10) for p in w)
+    for t in tokens:
+        if t in got:
+            assert cost(got[t]["words"]) == pytest.approx(min(map(cost, splits(t)))) and "".join(got[t]["words"]) == t
             assert got[t]["odds"] == pytest.approx(sum(judge.odds.get(w, 0.0) for w in got[t]["words"]))
         else:
-            assert t not in got or got[t]["words"] == [t]
-    assert got["freebetscasino"]["words"] == ["free", "bets", "casino"] and got[tokens[7]]["words"] == [tokens[7]]
+            assert not any(p in known for w in splits(t) for p in w)
+    assert got["freebetscasino"]["words"] == ["free", "bets", "casino"] and got[long]["words"] == ["x" * 400, "casino"]
     b, a = (collections.Counter(" ".join(x).split()) for x in (judge.block, judge.allow))
     every = len({*b, *a})
     for w in ("casino", "library"):
         assert judge.odds[w] == pytest.approx(np.log((b[w] + 0.1) / (b.total() + 0.1 * every)) - np.log((a[w] + 0.1) / (a.total() + 0.1 * every)))
 
 
+def test_urls_of_any_length(spark):
+    """A quarter of a megabyte of random letters, which has no known word but the one that ends it."""
+    rng = random.Random(1)
+    letters = "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=250_000))
+    df = spark.createDataFrame([("http://a.net/" + letters + "casino",), ("http://" + letters[:60_000],), ("http://casino.net/",)], "url string")
+    counts = spark.createDataFrame([(w, 50) for w in ("the", "free", "mega", "casino")] + [(f"w{i}", 1000) for i in range(1000)], "word string, n bigint")
+    got = rows(urls.judge_urls(df, (), counts))
+    assert sorted((len(r["url"]), r["verdict"]) for r in got) == [(18, "block"), (60_007, "allow"), (250_019, "block")]
+
+
+def test_judge_learns_from_what_the_rules_decide(spark):
+    """Words that only blocked urls of the rules have speak against other urls, and the verdicts of whole urls are those of a plain judge."""
+    rules = (urls.Rule("block", "bad.org/"), urls.Rule("allow", "good.org/"))
+    bad, good, rest = ["zorgle", "plimsy", "common"], ["wimble", "fennel", "common"], ["zorgle", "wimble", "plimsywimble", "casino", "library", "zorglezorgle", "common", "unseen"]
+    rng = random.Random(3)
+    seen = [f"http://{rng.choice('abc')}.bad.org/{rng.choice(bad)}/{rng.choice(bad)}?q" for _ in range(60)] + [f"https://good.org/{rng.choice(good)}-{rng.choice(good)}" for _ in range(80)]
+    asked = [f"http://{a}.example.net/{b}" for a in rest for b in rest]
+    df = spark.createDataFrame([(u,) for u in seen + asked], "url string")
+    counts = spark.createDataFrame([(w, 500) for w in ("zorgle", "plimsy", "wimble", "fennel", "common", "unseen")], "word string, n bigint")
+    judge = urls.learn(df, rules, counts)
+    n = [collections.Counter(), collections.Counter()]
+    for u in set(x.partition("?")[0].partition("://")[2] for x in seen):
+        for t in re.findall("[a-z]+", u):
+            if len(t) >= 3 and t not in ("bad", "good", "org"):
+                n["good.org" in u][t] += 1
+    assert {w: (b, a) for w, b, a in judge.learned} == {w: (n[0][w], n[1][w]) for w in {*n[0], *n[1]}}
+    assert judge.odds["zorgle"] > 1 > -1 > judge.odds["wimble"]
+    known = {"zorgle", "plimsy", "wimble", "fennel", "common", "unseen", *judge.odds}
+    best = lambda t: [t] if t in judge.odds else next(([t[:k], t[k:]] for k in range(3, len(t) - 2) if t[:k] in known and t[k:] in known), [t])
+    plain = lambda u: judge.start + sum(judge.odds.get(w, 0.0) for t in re.findall("[a-z]+", u.partition("://")[2]) for w in best(t))
+    got = {r["url"]: r for r in rows(urls.judge_urls(df, rules, counts, judge))}
+    for u in asked:
+        assert got[u]["odds"] == pytest.approx(plain(u)) and got[u]["verdict"] == ("block" if plain(u) > 0 else "allow"), u
+    # Without a line of topic words the labelled urls are enough.
+    bare = urls.learn(df, rules, counts, urls.Judge((), (), ()))
+    assert bare.odds["zorgle"] > 1 > -1 > bare.odds["fennel"] and set(bare.odds) == {*bad, *good}
+    assert urls.learn(df.limit(0), rules, counts).odds == urls.Judge().odds
+
+
 def test_names_are_no_words(spark):
-    hosts = {"linux.org.uk": "allow", "unix.example.net/kernel": "allow", "netflix.com": "allow", "matrix.org": "allow", "fedex.com": "allow", "essex.ac.uk": "allow", "cashmere.shop": "allow", "wincom.de": "allow", "universitylibrary.edu/casino": "allow", "online-poker.biz": "block", "freecasino.net/bonus": "block", "viagrapills.x": "block"}
+    hosts = {"linux.org.uk": "allow", "unix.example.net/kernel": "allow", "netflix.com": "allow", "matrix.org": "allow", "fedex.com": "allow", "essex.ac.uk": "allow", "cashmere.shop": "allow", "wincom.de": "allow", "universitylibrary.edu/casino": "allow", "online-poker.biz": "block", "freecasino.net/bonus": "block", "viagrapills.x": "block", "megacasino777.com": "block", "luckyroulette.com": "block", "replicawatches.com": "block", "sussex.ac.uk": "allow", "specialist.org": "allow", "alphabets.com": "allow", "grapefruit.net": "allow"}
     df = spark.createDataFrame([("http://" + h,) for h in hosts], "url string")
     counts = urls.unigrams(spark.read.parquet(f"{SF}/documents.parquet"))
     assert {r["url"][7:]: r["verdict"] for r in rows(urls.judge_urls(df, (), counts))} == hosts
@@ -449,15 +488,59 @@ def test_pii_lists_behind_one_word(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     red = {r["i"]: r["text"] for r in rows(pii.redact(df))}
     # The fifth number of a list stands more than 40 characters after the word.
-    assert red == {0: "SSN: <SSN>, <SSN>", 1: "SSN: 000-22-1234 <SSN>", 2: "IBAN <IBAN>; <IBAN>", 3: f"SSN: <SSN>{' ' * 40}536-22-1235", 4: f"SSN <SSN> <SSN> <SSN> <SSN> {ssn}", 5: texts[5], 6: "\U0001f600" * 50 + " ssn \U0001f600<SSN> <SSN>"}
+    assert red == {0: "SSN: <SSN>, <SSN>", 1: "SSN: 000-22-1234 <SSN>", 2: "IBAN <IBAN>; <IBAN>", 3: f"SSN: <SSN>{' ' * 40}536-22-1235", 4: f"SSN <SSN> <SSN> <SSN> <SSN> {ssn}", 5: "<SSN>, <SSN> SSN", 6: "\U0001f600" * 50 + " ssn \U0001f600<SSN> <SSN>"}
     for r in rows(pii.with_spans(df)):
         added = [s for s in r["spans"] if not s["base"]]
         assert len(added) == red[r["i"]].count("<")
         for s in added:
-            t, near = texts[r["i"]], texts[r["i"]][max(0, s["start"] - 40) : s["start"]].lower()
+            t = texts[r["i"]]
+            near = (t[max(0, s["start"] - 40) : s["start"]] + "|" + t[s["end"] : s["end"] + 40]).lower()
             assert t[s["start"] : s["end"]][-4:].isdigit() and s["score"] == (0.7 if s["kind"] == "ssn" else 1.0 if "iban" in near else 0.7)
 
 
+def added_spans(text):
+    """Bank accounts and social security numbers with their scores, character by character."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", text):
+        s = m[0].replace(" ", "")
+        if 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+            out.append(("iban", m.start(), m.end(), 0.7, "iban|account|konto|compte|cuenta|bank", 0.3))
+    for m in re.finditer(r"(?<![0-9A-Za-z-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9A-Za-z-])", text):
+        if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
+            out.append(("ssn", m.start(), m.end(), 0.2, "ssn|social security|social-security|tax id", 0.5))
+    scored = lambda a, b, base, words, bonus: base + bonus * any(re.search(words, x.lower()) for x in (text[max(0, a - 40) : a], text[b : b + 40]))
+    made = [(k, a, b, round(scored(a, b, *rest), 6)) for k, a, b, *rest in out]
+    return sorted((x for x in made if x[3] >= 0.5), key=lambda x: (x[1], x[0]))
+
+
+def test_pii_added_spans_by_brute_force(spark):
+    rng = random.Random(12)
+
+    def iban():
+        body = "".join(rng.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=rng.randint(11, 24)))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97 + (rng.random() < 0.2)
+        s = f"DE{check:02d}{body}"
+        return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if rng.random() < 0.5 else s
+
+    part = lambda: rng.choice([iban, lambda: f"{rng.choice([0, 78, 536, 666, 899, 900]):03d}-{rng.choice([0, 22]):02d}-{rng.choice([0, 1234]):04d}", lambda: rng.choice(["SSN", "ssn:", "my Social Security no", "IBAN", "bank", "Konto", "-", "x", ".", "😀", "word " * rng.randint(1, 12)])])()
+    texts = [rng.choice([" ", ", ", "\n"]).join(part() for _ in range(rng.randint(1, 14))) for _ in range(400)] + ["536-22-1234 " * 300 + "ssn", "ssn" + " 536-22-1234" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(8)
+    got = {r["i"]: [(s["kind"], s["start"], s["end"], round(s["score"], 6)) for s in r["spans"] if not s["base"]] for r in rows(pii.with_spans(df))}
+    for i, t in enumerate(texts):
+        assert got[i] == added_spans(t), t[:300]
+    assert sum(map(len, got.values())) > 400
+
+
+def test_pii_columns_of_any_name(spark):
+    names = ["_text", "_hits", "_parts", "_tails", "_heads", "_starts", "_row", "_", "_email", "at", "spans", "a.b"]
+    df = spark.createDataFrame([("mail x@y.org", *map(str, range(12)))] * 2 + [(None, *[None] * 12)], "text string, " + ", ".join(f"`{n}` string" for n in names))
+    red = pii.redact(df)
+    assert red.columns == df.columns and sorted(map(str, red.collect())) == sorted(map(str, (r if r["text"] is None else type(r)(**{**r.asDict(), "text": "mail <EMAIL>"}) for r in df.collect())))
+    found = pii.with_spans(df)
+    assert found.columns == [c for c in df.columns if c != "spans"] + ["spans"] and [len(r["spans"]) for r in found.collect()] == [1, 1, 0]
+    assert {tuple(r[n] for n in names if n != "spans") for r in found.where("text is not null").collect()} == {tuple(str(i) for i, n in enumerate(names) if n != "spans")}
+
+
 # --- HTML ----------------------------------------------------------------------------------------
 
 
@@ -476,6 +559,14 @@ def test_html():
     assert html.main_text(inside("") + "<!-- no <p>no", m) == html.main_text(inside("") + "<p class='x", m) == "It is a long enough text to stay in here. It ends."
 
 
+def test_html_adverts_and_menus_in_articles():
+    m, long = html.default_model(), "It is a paragraph that is long enough to belong to the text of the page, and it ends here."
+    for name in ("advert", "ad", "ads", "sponsored", "promo"):
+        assert html.main_text(f"<body><article><h1>On birds</h1><p>{long}</p><div class='{name}'>Buy our boots now.</div><p>{long}</p></article></body>", m) == f"On birds {long} {long}", name
+    menu = "<table><tr><td><a href=/a>Home</a></td><td><a href=/b>News</a></td><td><a href=/c>About us</a></td></tr></table>"
+    assert html.main_text(f"<body>{menu}<article><h1>On birds</h1><p>{long}</p><table><tr><td>Wren</td><td>9 g</td></tr></table></article></body>", m) == f"On birds {long} Wren 9 g"
+
+
 def test_html_of_any_size():
     m, began, n = html.default_model(), time.perf_counter(), 60_000
     for page in ("<b>" * n + "</i>" * n, "<a " * n, "".join(f"<div class=c{i}>t" for i in range(n)), "<div>" * n + "x" + "</div>" * n, "<svg>" * n + "</p>" * n, "<!--" * n, "</" * n, "<" * n, "<p>word " * n):
@@ -581,6 +672,55 @@ def test_top_k_of_awkward_rows(spark):
     assert got == [(0, 1, 1, 2 * 65_536), (0, 2, None, 2 * 65_536), (0, 3, 1, 65_536), (50, 1, 3, 2 * 65_536), (100, 1, 4, 0)]
 
 
+def test_top_k_spreads_equal_rows(spark, monkeypatch):
+    """Half of all rows are one repeated row: no shelf grows with it, and results are those of all pairs."""
+    monkeypatch.setattr(topk, "SHELF", 128)
+    rng = np.random.default_rng(6)
+    vecs = [[float(z) for z in rng.normal(0, 0.2, 4)] for _ in range(1500)]
+    data = [(i, v) for i, v in enumerate(vecs)] + [(7, vecs[7])] * 1500
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(6)
+    sizes, real = [], topk._packed
+
+    def packed(rows_, size):
+        out = real(rows_, size)
+        sizes.append([len(r["ids"]) // 8 for r in out.select("ids").collect()])
+        return out
+
+    monkeypatch.setattr(topk, "_packed", packed)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert sum(sizes[0]) == 3000 and max(sizes[0]) < 2 * 128
+    x = np.floor(256 * np.array([v for _, v in data])).astype(int)
+    expect = []
+    for q in range(0, 1500, 50):
+        best = sorted((-int(n), i) for n, (i, _) in zip(x @ x[q], data) if i != q)[:5]
+        expect += [(q, r + 1, i, -n) for r, (n, i) in enumerate(best)]
+    assert got == sorted(expect)
+
+
+def test_top_k_prunes_by_fitted_centroids(spark, monkeypatch):
+    """On vectors in clusters, through the whole operator, most groups never meet most shelves."""
+    monkeypatch.setattr(topk, "SHELF", 64)
+    monkeypatch.setattr(topk, "GROUP", 8)
+    rng = np.random.default_rng(0)
+    centres = rng.normal(0, 1, (40, 16))
+    x = centres[rng.integers(0, 40, 6_000)] + rng.normal(0, 0.05, (6_000, 16))
+    met, real = [], topk._admitted
+
+    def admitted(groups, shelves):
+        out = real(groups, shelves)
+        met.append((out.count(), groups.count() * shelves.count()))
+        return out
+
+    monkeypatch.setattr(topk, "_admitted", admitted)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    assert met[0][0] < 0.3 * met[0][1]
+    w = np.floor(256 * x).astype(int)
+    for q in range(0, 6_000, 50):
+        best = sorted((-int(n), i) for i, n in enumerate(w @ w[q]) if i != q)[:5]
+        assert [got[q, r + 1] for r in range(5)] == [(i, -n) for n, i in best]
+
+
 # --- Language ------------------------------------------------------------------------------------
 
 
