@@ -10,8 +10,10 @@ Sorting within hashed partitions and walking over batches holds one turn at a ti
 of any length, or one with a third of all turns, is streamed through, never gathered.
 
 Defined results: null text is empty, null role is an empty role (which no order allows); rows of one
-turn number are ordered by role and text; an invalid order is formatted all the same and flagged; a
-null conversation id is a conversation.
+turn number are ordered by role and text, and repeated rows are turns of their own; an invalid order is
+formatted all the same and flagged; a null conversation id is a conversation. Texts of any length are
+formatted whole, an empty table gives an empty one, and columns other than the four are not read,
+whatever their names.
 """
 
 from __future__ import annotations
