@@ -23,8 +23,17 @@ def upgraded(artifacts: DataFrame) -> DataFrame:
 
 
 def latest(artifacts: DataFrame, key: str = "managed_id") -> DataFrame:
-    """Of each managed dataset the record created last; of those, the one stored first."""
-    return resolve_by_key(artifacts, [key], [F.desc("created_at"), F.asc("seq")])
+    """Of each managed dataset the record created last; of those, the one stored first.
+
+    Records without a ``managed_id`` get theirs here: of each scope the latest record comes first, so that
+    boxes are hashed once a scope and not once a record.
+    """
+    order = [F.desc("created_at"), F.asc("seq")]
+    if key == "managed_id" and key not in artifacts.columns:
+        scope = {"_dataset": "dataset_id", "_extent": "request_scope.extent_id", "_box": "request_scope.bbox", "_collection": "publication.collection_id"}
+        named = artifacts.withColumns({n: F.col(c) for n, c in scope.items()})
+        artifacts = with_managed_id(resolve_by_key(named, list(scope), order).drop(*scope))
+    return resolve_by_key(artifacts, [key], order)
 
 
 def current_versions(artifacts: DataFrame) -> DataFrame:

@@ -92,9 +92,13 @@ def with_layout(df: DataFrame, period_type: str, ix: Column, iy: Column, spatial
 
 
 def compact(df: DataFrame, path: str) -> None:
-    """Write cells with a layout as a store: a folder for each dataset and chunk, tiles together."""
+    """Write cells with a layout as a store: a folder for each dataset and chunk, tiles together.
+
+    Cells are dealt to tasks by ranges of chunks and tiles, so that a large chunk is written by many tasks.
+    """
+    by = ["dataset_id", "time_chunk", "tile_y", "tile_x", "time"]
     (
-        df.repartition("dataset_id", "time_chunk").sortWithinPartitions("tile_y", "tile_x", "time")
+        df.repartitionByRange(*by).sortWithinPartitions(*by)
         .write.partitionBy("dataset_id", "time_chunk").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     )
 

@@ -47,7 +47,8 @@ def commit(spark: SparkSession, root: str, name: str, cells: DataFrame | None =
     n = {"cells": 0, "records": 0}
     if cells is not None:
         laid = cells.withColumn("time_chunk", periods.time_chunk(F.col("time"), period_type)).select(schemas.COMMITTED.names)
-        laid = laid.repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "lat", "lon", "time")
+        by = [*_CHUNK, "lat", "lon", "time"]
+        laid = laid.repartitionByRange(*by).sortWithinPartitions(*by)
         laid.write.partitionBy(*_CHUNK).mode("overwrite").parquet(f"{root}/cells/commit={name}")
     if records is not None:
         records.select(schemas.RECORDS.names).write.mode("overwrite").parquet(f"{root}/records/commit={name}")

@@ -238,9 +238,12 @@ def point_values(cells: DataFrame, points: DataFrame, lon0: float, lat0: float,
     return cells.withColumns(at).join(p, ["_ix", "_iy"]).drop("_ix", "_iy")
 
 
-def select_zones(zones: DataFrame, level: int | None = None, parent: str | None = None, ids: list[str] | None = None) -> DataFrame:
+def select_zones(zones: DataFrame, level: int | None = None, parent: str | None = None, ids: list[str] | DataFrame | None = None) -> DataFrame:
+    """Zones of a level, below a parent, and of the given ids: a list, or a table of any size with a ``zone_id``."""
     out = zones if level is None else zones.where(F.col("level") == level)
     out = out if parent is None else out.where(F.col("parent_id") == parent)
+    if isinstance(ids, DataFrame):
+        return out.join(ids.select("zone_id"), "zone_id", "left_semi").select(zones.columns)
     return out if ids is None else out.where(F.col("zone_id").isin(ids))
 
 
@@ -273,14 +276,20 @@ def fields(zones: DataFrame, names: list[str], zone_id: str | None = None) -> Da
 
 
 def attribute_filter(zones: DataFrame, text: str) -> DataFrame:
-    """Zones that meet a text predicate over the allowed columns."""
+    """Zones that meet a text predicate over the allowed columns.
+
+    Texts stand in single quotes, a quote within them is doubled, and a backslash is one; dates are
+    written ``DATE '2020-01-31'`` or ``DATE('2020-01-31')``.
+    """
     import re
 
-    names = {w.lower() for w in re.findall(r"[A-Za-z_]\w*", re.sub(r"'(?:[^']|'')*'", "''", text))}
-    allowed = {*FILTER_COLUMNS, "and", "or", "not", "like", "ilike", "between", "in", "is", "null", "true", "false"}
+    quoted = r"'((?:[^']|'')*)'"
+    names = {w.lower() for w in re.findall(r"[A-Za-z_]\w*", re.sub(quoted, "''", text))}
+    allowed = {*FILTER_COLUMNS, "and", "or", "not", "like", "ilike", "between", "in", "is", "null", "true", "false", "date", "timestamp"}
     if names - allowed:
         raise ValueError(f"not allowed in a filter: {sorted(names - allowed)}")
-    return zones.where(F.expr(text))
+    spark_text = lambda m: "'" + m[1].replace("\\", "\\\\").replace("''", "\\'") + "'"
+    return zones.where(F.expr(re.sub(quoted, spark_text, text)))
 
 
 def feature_ids(features: DataFrame, id_property: str) -> DataFrame:
@@ -294,7 +303,10 @@ def unit_values(cells: DataFrame, zones: DataFrame, resolution: str = "monthly",
     Which cells lie in which zone is found once for each position, not for each time.
     """
     reduce_ = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": F.median, "count": F.count, "std": F.stddev_pop}
-    where = places_in_zones(cells, zones)
-    at_time = cells.select("lon", "lat", "time", "value").join(where, ["lon", "lat"]).groupBy("zone_id", "time").agg(reduce_[spatial]("value").alias("value"))
+    met = cells.select("lon", "lat", "time", "value").join(places_in_zones(cells, zones), ["lon", "lat"])
+    if spatial == "median":  # a zone has any number of cells, a period a few times
+        at_time = _median(met.where("value is not null").select("zone_id", "time", "value"), ["zone_id", "time"]).withColumnRenamed("median", "value")
+    else:
+        at_time = met.groupBy("zone_id", "time").agg(reduce_[spatial]("value").alias("value"))
     at_time = at_time.withColumn("period", periods.truncated(F.col("time"), resolution))
     return at_time.groupBy("zone_id", "period").agg(reduce_[temporal]("value").alias("value"))

@@ -42,6 +42,12 @@ def windows(plan: DataFrame, chunks: bool = False) -> DataFrame:
     return due.withColumn("time_chunk", F.explode(F.sequence(chunk(F.col("_lo")), chunk(F.col("_hi"))))).drop("period_type")
 
 
+def in_box(box: str = "_box") -> Column:
+    """Cell centres within a row's box, its border included, or any if it has none."""
+    b = F.col(box)
+    return b.isNull() | (F.col("lon").between(b["xmin"], b["xmax"]) & F.col("lat").between(b["ymin"], b["ymax"]))
+
+
 def due_cells(landed: DataFrame, plan: DataFrame) -> DataFrame:
     """Landed cells within the window and the box of a managed dataset that is due, with its ``managed_id``.
 
@@ -50,8 +56,7 @@ def due_cells(landed: DataFrame, plan: DataFrame) -> DataFrame:
     """
     by = ["dataset_id", "time_chunk"] if "time_chunk" in landed.columns else ["dataset_id"]
     met = landed.drop("managed_id").join(windows(plan, "time_chunk" in by), by)
-    inside = F.col("_box").isNull() | (F.col("lon").between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col("lat").between(F.col("_box.ymin"), F.col("_box.ymax")))
-    return met.where("time >= _lo and time < _hi").where(inside).drop("_lo", "_hi", "_box")
+    return met.where("time >= _lo and time < _hi").where(in_box()).drop("_lo", "_hi", "_box")
 
 
 def incremental(stored: DataFrame, landed: DataFrame, plan: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:

@@ -12,7 +12,7 @@ from . import fixtures as fx
 from . import schemas
 from .functions import identity, periods
 from .operators import catalog, cells, export, series, store, zones
-from .plans import sync
+from .plans import ingestion, processes, sync
 from .shared import cut, delete, new_folder
 from .sources import readers
 from .streaming.sync import stream_sync
@@ -204,6 +204,32 @@ def sync_commit(spark, sf_dir):
         return cut(got.join(status, "managed_id"))
 
 
+@query(f"""WITH {_CELLS}, req AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 7 = 0 THEN 'unknown' ELSE 'grid_daily' END AS dataset_id, (1995 + c_custkey % 5)::VARCHAR AS s, CASE WHEN c_custkey % 2 = 0 THEN (1995 + c_custkey % 5) || '-06' END AS e,
+  CASE WHEN c_custkey % 11 = 0 THEN 'nowhere' WHEN c_custkey % 3 = 1 THEN 'west' END AS extent_id FROM customer),
+ok AS (SELECT min(request_id) AS request_id, s, e, extent_id FROM req WHERE dataset_id = 'grid_daily' AND coalesce(extent_id, '') <> 'nowhere' GROUP BY s, e, extent_id),
+met AS (SELECT DISTINCT 'grid_daily_' || coalesce(extent_id, 'global') AS managed_id, time, ix, iy FROM ok JOIN cells ON time >= (s || '-01-01')::DATE AND time < CASE WHEN e IS NULL THEN DATE '{AS_OF}' + 1 ELSE (e || '-01')::DATE + INTERVAL 1 MONTH END
+  AND (extent_id IS NULL OR (lon BETWEEN -13e0 AND -11.5e0 AND lat BETWEEN 8e0 AND 9.5e0))),
+cov AS (SELECT managed_id, strftime(min(time), '%Y-%m-%d') AS coverage_start, strftime(max(time), '%Y-%m-%d') AS coverage_end, count(*) AS n FROM met GROUP BY 1)
+SELECT request_id, managed_id, s AS request_start, e AS request_end, coverage_start, coverage_end, n, NULL::VARCHAR AS reason FROM ok JOIN cov ON managed_id = 'grid_daily_' || coalesce(extent_id, 'global')
+UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, 0, CASE WHEN dataset_id = 'unknown' THEN 'unknown dataset' WHEN extent_id = 'nowhere' THEN 'unknown extent' WHEN request_id IN (SELECT request_id FROM ok) THEN 'no data' ELSE 'known' END
+FROM req WHERE request_id NOT IN (SELECT request_id FROM ok JOIN cov ON managed_id = 'grid_daily_' || coalesce(extent_id, 'global'))""")
+def ingestion_requests(spark, sf_dir):
+    """A request of each customer: records and cells of the new ones, and reasons of the others."""
+    r = fx.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS request_id", "CASE WHEN c_custkey % 7 = 0 THEN 'unknown' ELSE 'grid_daily' END AS dataset_id", "cast(1995 + c_custkey % 5 AS string) AS start", "CASE WHEN c_custkey % 2 = 0 THEN concat(1995 + c_custkey % 5, '-06') END AS end",
+        "CASE WHEN c_custkey % 11 = 0 THEN 'nowhere' WHEN c_custkey % 3 = 1 THEN 'west' END AS extent_id", "cast(null AS struct<xmin:double,ymin:double,xmax:double,ymax:double>) AS bbox", "false AS overwrite",
+    )
+    t = spark.sql("SELECT 'grid_daily' AS dataset_id, 'daily' AS period_type")
+    e = spark.sql("SELECT 'west' AS id, array(-13e0, 8e0, -11.5e0, 9.5e0) AS bbox, 'X' AS country_code")
+    landed = fx.daily_cells(spark, sf_dir).withColumn("ingested", F.expr(_INGESTED))
+    with _folder(spark, "ingested") as root:
+        lost = ingestion.create(spark, root, r, t, e, landed, AS_OF, "first")
+        n = store.newest(store.committed_cells(spark, root)).groupBy(F.col("dataset_id").alias("managed_id")).agg(F.count("*").alias("n"))
+        made = store.committed_records(spark, root).join(n, "managed_id")
+        made = made.select(F.substring_index("artifact_id", "-", -1).cast("bigint").alias("request_id"), "managed_id", "request_start", "request_end", "coverage_start", "coverage_end", "n", F.lit(None).cast("string").alias("reason"))
+        return cut(made.unionByName(lost.withColumn("n", F.lit(0).cast("bigint")), allowMissingColumns=True))
+
+
 @query(f"""WITH {_CELLS}, k AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY time, ix, iy ORDER BY granule DESC, line DESC) = 1)
 SELECT strftime(time, '%Y-%m') AS month, count(*) AS n, sum(value) AS total FROM k GROUP BY 1""")
 def stream_store(spark, sf_dir):
@@ -278,7 +304,7 @@ def bbox_parse(spark, sf_dir):
 @query(f"""WITH {_ARTIFACTS} SELECT managed_id AS dataset_id, dataset_id AS source_dataset_id, 'Dataset ' || k AS dataset_name, 'v' AS variable, coalesce(period_type, 'unknown') AS period_type, CASE WHEN period_type IS NOT NULL THEN 'Short ' || k END AS short_name,
   NULL::VARCHAR AS units, '1995-01-01' AS "start", coverage_end AS "end", CASE WHEN box IS NOT NULL THEN box - 13.5e0 END AS xmin, created_at AS last_updated, CASE WHEN is_published THEN 'published' ELSE 'unpublished' END AS status FROM latest""")
 def catalog_list(spark, sf_dir):
-    d = catalog.datasets(_managed(spark, sf_dir), fx.templates(spark, sf_dir))
+    d = catalog.datasets(fx.artifacts(spark, sf_dir), fx.templates(spark, sf_dir))
     return d.select("dataset_id", "source_dataset_id", "dataset_name", "variable", "period_type", "short_name", "units", "extent.temporal.start", "extent.temporal.end", "extent.spatial.xmin", "last_updated", "publication.status")
 
 
@@ -380,7 +406,7 @@ def publish(spark, sf_dir):
 
 @query(f"""WITH {_ARTIFACTS} SELECT managed_id, seq FROM latest ORDER BY managed_id LIMIT 20 OFFSET 20""")
 def catalog_page(spark, sf_dir):
-    return catalog.page(catalog.latest(_managed(spark, sf_dir)).select("managed_id", "seq"), "managed_id", offset=20)
+    return catalog.page(catalog.latest(fx.artifacts(spark, sf_dir)).select("managed_id", "seq"), "managed_id", offset=20)
 
 
 @query("""WITH t AS (SELECT DISTINCT o_custkey % 50 AS k FROM orders) SELECT 'ds_' || k AS id, CASE WHEN k % 3 = 0 THEN 'second' ELSE 'first' END AS origin, k AS position FROM t WHERE k < 48""")
@@ -407,7 +433,7 @@ def request_resolution(spark, sf_dir):
 FROM (SELECT *, CASE period_type WHEN 'hourly' THEN strftime(date_trunc('hour', created_at) + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') WHEN 'daily' THEN strftime(created_at + INTERVAL 1 DAY, '%Y-%m-%d')
 WHEN 'monthly' THEN strftime(date_trunc('month', created_at) + INTERVAL 1 MONTH, '%Y-%m') WHEN 'yearly' THEN strftime(date_trunc('year', created_at) + INTERVAL 1 YEAR, '%Y') END AS n FROM latest)""")
 def sync_plan(spark, sf_dir):
-    return sync.sync_plan(_managed(spark, sf_dir), fx.templates(spark, sf_dir), None, AS_OF).select("managed_id", "status", "start", "end", "extent_id")
+    return sync.sync_plan(fx.artifacts(spark, sf_dir), fx.templates(spark, sf_dir), None, AS_OF).select("managed_id", "status", "start", "end", "extent_id")
 
 
 # --- series --------------------------------------------------------------------------------------
@@ -484,6 +510,7 @@ def point_values(spark, sf_dir):
     return zones.point_values(fx.daily_cells(spark, sf_dir), fx.points(spark, sf_dir), fx.LON0, fx.LAT0, fx.STEP, -fx.STEP).select("point_id", "time", "value")
 
 
+_UNIT_SQL = f"""WITH {_CELLS}, {_ZONES}, {_INSIDE}, daily AS (SELECT zone_id, time, avg(value) AS v FROM cells JOIN inside USING (lon, lat) GROUP BY ALL)"""
 _UNITS = """units AS (SELECT 'N' || n_nationkey AS zone_id, n_name AS name, 'R' || n_regionkey AS parent_id, 3 AS level FROM nation UNION ALL SELECT 'R' || r_regionkey, r_name, 'ROOT', 2 FROM region
 UNION ALL SELECT 'ROOT', 'World', NULL, 1 UNION ALL SELECT 'C' || c_custkey, c_name, 'N' || c_nationkey, 4 FROM customer)"""
 
@@ -503,10 +530,13 @@ def field_projection(spark, sf_dir):
     return zones.fields(fx.units(spark, sf_dir), ["name", "level"])
 
 
-@query(f"""WITH {_UNITS} SELECT zone_id FROM units WHERE parent_id = 'N3' AND level = 4 UNION ALL SELECT zone_id FROM units WHERE zone_id IN ('R1', 'N2')""")
+@query(f"""WITH {_UNITS} SELECT zone_id FROM units WHERE parent_id = 'N3' AND level = 4 UNION ALL SELECT zone_id FROM units WHERE zone_id IN ('R1', 'N2')
+UNION ALL SELECT zone_id FROM units WHERE level = 4 AND zone_id IN (SELECT 'C' || o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def unit_selection(spark, sf_dir):
     u = fx.units(spark, sf_dir)
-    return zones.select_zones(u, level=4, parent="N3").union(zones.select_zones(u, ids=["R1", "N2"])).select("zone_id")
+    asked = fx.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").selectExpr("concat('C', o_custkey) AS zone_id")
+    chosen = zones.select_zones(u, level=4, parent="N3").union(zones.select_zones(u, ids=["R1", "N2"])).union(zones.select_zones(u, level=4, ids=asked))
+    return chosen.select("zone_id")
 
 
 @query("""SELECT CASE WHEN c_custkey % 2 = 0 THEN 'F' || c_custkey ELSE c_name END AS zone_id FROM customer""")
@@ -526,29 +556,56 @@ def zonal_shapes(spark, sf_dir):
     return zones.zonal_statistics(fx.daily_cells(spark, sf_dir), fx.shapes(spark, sf_dir), ("count", "sum", "median"))
 
 
+@query(f"""WITH {_CELLS}, {_SHAPES}, {_INSIDE}, touched AS (SELECT zone_id, lon, lat FROM positions, edges WHERE least(x1, x2) <= lon + 4e-2 AND greatest(x1, x2) >= lon - 4e-2 AND least(y1, y2) <= lat + 4e-2 AND greatest(y1, y2) >= lat - 4e-2
+  AND abs((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)) <= abs(x2 - x1) * 4e-2 + abs(y2 - y1) * 4e-2 UNION SELECT zone_id, lon, lat FROM inside)
+SELECT zone_id, count(value) AS count, sum(value) AS sum FROM fields LEFT JOIN touched USING (zone_id) LEFT JOIN cells USING (lon, lat) GROUP BY 1""")
+def zonal_shapes_touched(spark, sf_dir):
+    """Every cell that a slanted side, a hole's side or another part's side reaches, too."""
+    return zones.zonal_statistics(fx.daily_cells(spark, sf_dir), fx.shapes(spark, sf_dir), ("count", "sum"), all_touched=(0.08, 0.08))
+
+
+@query(f"""{_UNIT_SQL.replace('avg(value) AS v', 'median(value) AS v')} SELECT zone_id, date_trunc('week', time)::TIMESTAMP AS period, max(v) AS value FROM daily GROUP BY ALL""")
+def unit_week_medians(spark, sf_dir):
+    return zones.unit_values(fx.daily_cells(spark, sf_dir), fx.nation_zones(spark, sf_dir), "weekly", "median", "max")
+
+
+def _geojson(shapes: DataFrame) -> DataFrame:
+    """``zone_id`` and ``f``, a feature: the second ring is a hole of the first one, the third a part of its own."""
+    closed = F.transform("rings", lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.array(p["x"], p["y"])))
+    parts = F.array(F.array(closed[0], closed[1]), F.array(closed[2]))
+    return shapes.select("zone_id", F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("code"), F.col("zone_id")).alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")).alias("geometry")).alias("f"))
+
+
 @query(f"""WITH {_CELLS}, {_SHAPES}, {_INSIDE} SELECT zone_id, count(value) AS count, sum(value) AS sum, round(avg(value), 6) AS mean FROM fields LEFT JOIN inside USING (zone_id) LEFT JOIN cells USING (lon, lat) GROUP BY 1""")
 def geojson_zones(spark, sf_dir):
     """Multipolygons with holes, written as collections of features and read back, with the cells of each."""
-    shape = fx.shapes(spark, sf_dir)
-    closed = F.transform("rings", lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.array(p["x"], p["y"])))
-    # The second ring is a hole of the first one; the third is a part of its own.
-    parts = F.array(F.array(closed[0], closed[1]), F.array(closed[2]))
-    feature = F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("code"), F.col("zone_id")).alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")).alias("geometry"))
-    files = shape.select((F.crc32("zone_id") % 4).alias("file"), feature.alias("f")).groupBy("file").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))).alias("value"))
+    shape = _geojson(fx.shapes(spark, sf_dir))
+    files = shape.groupBy((F.crc32("zone_id") % 4).alias("file")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))).alias("value"))
     with _folder(spark, "features") as root:
         files.repartition("file").write.partitionBy("file").text(root)
         z = cut(readers.features(spark, root, "code").select("zone_id", "rings"))
     return _rounded(zones.zonal_statistics(fx.daily_cells(spark, sf_dir), z, ("count", "sum", "mean")), "mean")
 
 
+@query(f"""WITH {_CELLS}, {_SHAPES}, {_INSIDE}, v AS (SELECT lon, lat, CASE WHEN value <> 50 THEN value END AS value FROM cells)
+SELECT zone_id AS id, zone_id AS code, 'MultiPolygon' AS kind, count(value) AS count, sum(value) AS sum, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, median(value) AS median FROM fields LEFT JOIN inside USING (zone_id) LEFT JOIN v USING (lon, lat) GROUP BY 1""")
+def zonal_process(spark, sf_dir):
+    """Features from files of GeoJSON lines, and features out again, with statistics under a property of the caller's name; 50 stands for no data."""
+    stats = ("count", "sum", "mean", "min", "max", "median")
+    with _folder(spark, "features") as root:
+        _geojson(fx.shapes(spark, sf_dir)).select(F.to_json("f").alias("value")).write.text(root)
+        features = cut(readers.features(spark, root, "code", lines=True))
+    out = processes.zonal_process(features, fx.daily_cells(spark, sf_dir), stats, "population_stats", nodata=50.0)
+    kind = "struct<id:string,properties:struct<code:string,population_stats:struct<count:bigint,sum:double,mean:double,min:double,max:double,median:double>>,geometry:struct<type:string>>"
+    f = out.select(F.from_json("feature", kind).alias("f"))
+    return _rounded(f.select("f.id", "f.properties.code", F.col("f.geometry.type").alias("kind"), "f.properties.population_stats.*"), "mean")
+
+
 @query(f"""WITH {_ZONES} SELECT 'R' || n_regionkey AS parent_id, round(min(x1), 6) AS xmin, round(min(e.y1), 6) AS ymin, round(max(x1), 6) AS xmax, round(max(e.y1), 6) AS ymax FROM edges e JOIN nation ON zone_id = 'N' || n_nationkey GROUP BY 1""")
 def total_bounds(spark, sf_dir):
     return _rounded(zones.bounds(fx.nation_zones(spark, sf_dir), "parent_id"), "xmin", "ymin", "xmax", "ymax")
 
 
-_UNIT_SQL = f"""WITH {_CELLS}, {_ZONES}, {_INSIDE}, daily AS (SELECT zone_id, time, avg(value) AS v FROM cells JOIN inside USING (lon, lat) GROUP BY ALL)"""
-
-
 @query(f"{_UNIT_SQL} SELECT zone_id, date_trunc('month', time)::TIMESTAMP AS period, round(sum(v), 6) AS value FROM daily GROUP BY ALL")
 def unit_month_values(spark, sf_dir):
     return _rounded(zones.unit_values(fx.daily_cells(spark, sf_dir), fx.nation_zones(spark, sf_dir)), "value")
@@ -561,6 +618,15 @@ def data_values(spark, sf_dir):
     return v.select(d["period"].alias("period"), d["orgUnit"].alias("zone_id"), F.round(d["value"], 6).alias("value"))
 
 
+@query(f"""{_UNIT_SQL}, m AS (SELECT zone_id, strftime(time, '%Y%m') AS period, sum(v) AS value FROM daily JOIN nation ON zone_id = 'N' || n_nationkey WHERE n_regionkey = 1 AND time >= '1996-02-01' AND time < '1999-01-01' GROUP BY ALL)
+SELECT 'RAIN' AS element, period, zone_id, round(value, 6) AS value, 'C' AS category FROM m""")
+def aggregation_process(spark, sf_dir):
+    """Data values of the units of one level below one parent, over three years."""
+    out = processes.aggregation_process(fx.zones(spark, sf_dir), fx.daily_cells(spark, sf_dir), "1996-02", "1998", "RAIN", level=3, parent="R1", category="C")
+    d = F.from_json("data_value", "struct<dataElement:string,period:string,orgUnit:string,value:double,categoryOptionCombo:string>")
+    return out.select(d["dataElement"].alias("element"), d["period"].alias("period"), d["orgUnit"].alias("zone_id"), F.round(d["value"], 6).alias("value"), d["categoryOptionCombo"].alias("category"))
+
+
 @query("""SELECT 'station_' || (user_id % 3) AS dataset_id, count(*) AS n FROM events GROUP BY 1""")
 def station_counts(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events").selectExpr("concat('station_', user_id % 3) AS dataset_id", "ts AS valid_time", "1e0 AS longitude", "2e0 AS latitude", "value AS v")

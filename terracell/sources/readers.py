@@ -64,7 +64,7 @@ def features(spark: SparkSession, path: str, id_property: str = "id", lines: boo
     """Zones from GeoJSON collections of polygons and multipolygons, with all rings of each feature.
 
     A file holds one collection, or with ``lines`` a feature on each line, which tasks can share.
-    ``rings`` has the outer rings and the holes of every part, without a repeated last vertex, and
+    ``properties`` and ``geometry`` are as they came, with values and coordinates as text. ``rings`` has the outer rings and the holes of every part, without a repeated last vertex, and
     ``ring`` the first one; a feature of another geometry has none.
     """
     feature = "id string, properties map<string,string>, geometry struct<type string, coordinates string>"
@@ -78,7 +78,7 @@ def features(spark: SparkSession, path: str, id_property: str = "id", lines: boo
     f = f.withColumn("lines", F.transform(parts, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
     rings = F.transform("lines", lambda r: F.when(r[0] == F.element_at(r, -1), F.slice(r, 1, F.size(r) - 1)).otherwise(r))
     get = lambda k: F.col("properties")[k]
-    f = f.select(F.coalesce("id", get(id_property)).alias("zone_id"), get("name").alias("name"), get("level").try_cast("int").alias("level"), get("parent").alias("parent_id"), rings.alias("rings"))
+    f = f.select(F.coalesce("id", get(id_property)).alias("zone_id"), get("name").alias("name"), get("level").try_cast("int").alias("level"), get("parent").alias("parent_id"), rings.alias("rings"), "properties", "geometry")
     return f.withColumn("ring", F.get("rings", F.lit(0)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from terracell import fixtures as fx
 from terracell import schemas
 from terracell.operators import cells, store
-from terracell.plans import sync
+from terracell.plans import ingestion, sync
 from terracell.streaming.sync import stream_sync
 
 SF = "/root/testdata/sf0.001"
@@ -90,6 +90,32 @@ def test_box_of_the_latest_record_holds(spark, tmp_path, templates):
     assert {r["managed_id"]: r["bbox"] and r["bbox"]["xmax"] for r in store.committed_records(spark, root).where("seq = 2").collect()} == {"west": 0.5, "all": None}
 
 
+def test_requests_from_end_to_end(spark, tmp_path, templates):
+    """Equal, unknown, overwriting and empty requests; a second batch finds what the first one stored."""
+    root = str(tmp_path / "store")
+    kinds = "request_id bigint, dataset_id string, start string, end string, extent_id string, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>, overwrite boolean"
+    box = (-1.0, -1.0, 0.5, 1.0)
+    first = [
+        (1, "ds", "2026-02-01", "2026-02-03", "sle", None, False), (2, "ds", "2026-02-01", "2026-02-03", "sle", None, False), (3, "ds", "2026-02", None, None, box, False), (4, "no", "2026", None, None, None, False),
+        (5, "ds", "2026", None, "mars", None, False), (6, "ds", "2030", "2031", "far", None, False), (7, "ds", "2026-02-02", "2026-02-04", "sle", None, False), (8, "ds", "2026-02-08", "2026-02-08", "sle", None, False),
+    ]
+    extents = spark.createDataFrame([("sle", [0.5, -1.0, 2.0, 1.0], "SLE"), ("far", [50.0, 50.0, 51.0, 51.0], "FAR")], "id string, bbox array<double>, country_code string")
+    landed = feb(spark).unionByName(feb(spark, lon=1.0))
+    run = lambda rows, name: sorted(map(tuple, ingestion.create(spark, root, spark.createDataFrame(rows, kinds), templates, extents, landed, "2026-02-07", name).select("request_id", "reason").collect()))
+    assert run(first, "one") == [(2, "known"), (4, "unknown dataset"), (5, "unknown extent"), (6, "no data")]
+    records = lambda: {r["artifact_id"]: (r["seq"], r["coverage_start"], r["coverage_end"]) for r in store.committed_records(spark, root).collect()}
+    assert records() == {"one-1": (1, "2026-02-01", "2026-02-08"), "one-3": (2, "2026-02-01", "2026-02-07"), "one-7": (3, "2026-02-01", "2026-02-08"), "one-8": (4, "2026-02-01", "2026-02-08")}
+    days = lambda: sorted((r["dataset_id"], r["lon"], r["time"].day) for r in store.committed_cells(spark, root).collect())
+    own = next(r["dataset_id"] for r in store.committed_cells(spark, root).where("dataset_id like '%bbox%'").collect())
+    expect = [(own, 0.0, d) for d in range(1, 8)] + [("ds_sle", 1.0, d) for d in (1, 2, 3, 4, 8)]
+    assert days() == expect
+    # The same again is known; overwriting makes a record and no cell; another window adds what is missing.
+    again = [(1, *first[0][1:]), (9, *first[0][1:-1], True), (10, "ds", "2026-02-04", "2026-02-06", "sle", None, False)]
+    assert run(again, "two") == [(1, "known")]
+    assert records()["two-9"] == (5, "2026-02-01", "2026-02-08") and records()["two-10"] == (6, "2026-02-01", "2026-02-08")
+    assert days() == sorted(expect + [("ds_sle", 1.0, d) for d in (5, 6)])
+
+
 def test_windows_prune_landed_folders(spark, tmp_path, templates):
     from terracell.functions import periods
 
