@@ -154,5 +154,35 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: CRC-32 of short ASCII text: eight shifts a byte.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length({0}) + 1), lambda i: ord(substr({0}, i, 1))::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+OP13_SQL = f"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT c, c - (c % 5 + 5) % 5 AS base, {_CRC.format("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM own)
+), taken AS (SELECT v.c, o.pos, o.role, o.text FROM convs v JOIN own o ON o.c = v.base AND o.pos <= v.h
+), whole AS (
+  SELECT * FROM taken
+  UNION ALL SELECT o.c, o.pos - v.h + coalesce(n, 0), o.role, o.text FROM own o JOIN convs v USING (c) LEFT JOIN (SELECT c, count(*) AS n FROM taken GROUP BY 1) USING (c) WHERE o.pos > v.h
+), paths AS (
+  SELECT c, pos AS depth, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY pos)) AS node, strlen(text) AS bytes FROM whole
+  UNION ALL SELECT c, 0, 'root', 0 FROM convs
+), nodes AS (SELECT depth, node, min(c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes FROM paths GROUP BY 1, 2
+), family AS (SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN paths p ON p.c = n.conv_id AND p.depth = n.depth - 1
+), kids AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n FROM family WHERE depth > 0 GROUP BY 1, 2
+), facts AS (SELECT f.*, coalesce(k.n, 0) AS n_children FROM family f LEFT JOIN kids k USING (depth, node)
+), sums AS (
+  SELECT p.depth, p.node, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.bytes)::BIGINT AS saved_tokens
+  FROM facts u JOIN paths p ON p.c = u.conv_id AND p.depth <= u.depth GROUP BY 1, 2
+), last AS (SELECT c, max(depth) AS depth FROM paths GROUP BY 1
+), ended AS (SELECT p.depth, p.node, sha256(string_agg(p.c::VARCHAR, ',' ORDER BY p.c)) AS ends_sha256 FROM paths p JOIN last l ON l.c = p.c AND l.depth = p.depth GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM facts f JOIN sums s USING (depth, node) LEFT JOIN nodes q ON q.depth = f.depth - 1 AND q.node = f.parent LEFT JOIN ended e ON e.depth = f.depth AND e.node = f.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op9_top_k": OP9_SQL}
+    return {"op4_chat_format": OP4_SQL, "op9_top_k": OP9_SQL, "op13_conversation_trie": OP13_SQL}

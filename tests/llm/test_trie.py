@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 
@@ -73,6 +74,15 @@ def test_trie_of_the_table(spark):
     assert got(out) == brute([(r["conv_id"], r["turn"], r["role"], r["text"]) for r in table])
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_trie_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    expect = con.execute(registry.oracle_sql()["op13_conversation_trie"])
+    assert [d[0] for d in expect.description] == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert got(registry.op13_conversation_trie(spark, sf)) == sorted(expect.fetchall(), key=str)
+
+
 def awkward():
     """Shared beginnings, ties, repeats, nulls, absent bases, a conversation of a third of all rows, and equal ones."""
     rng, rows = random.Random(2), []
