@@ -184,5 +184,70 @@ FROM facts f JOIN sums s USING (depth, node) LEFT JOIN nodes q ON q.depth = f.de
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _join_sql(join: parity_join.Join, columns: str) -> str:
+    """Links of equal or overlapping sets by their common shingles, and all that each one reaches."""
+    n = join.ngram
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWERED}, '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}))) END AS s FROM words
+), nodes AS (SELECT s, row_number() OVER () AS node, min(doc_id) AS least, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), grams AS (SELECT node, n, unnest(s) AS g FROM nodes
+), links AS (
+  SELECT a.node AS a, b.node AS b FROM grams a JOIN grams b ON a.g = b.g AND a.node < b.node AND least(a.n, b.n) * {join.den} >= greatest(a.n, b.n) * {join.num}
+  GROUP BY a.node, b.node, a.n, b.n HAVING {join.den} * count(*) >= {join.num} * (a.n + b.n - count(*))
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT node, node FROM nodes
+), reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b
+), firsts AS (SELECT r.a AS node, min(n.least) AS first FROM reach r JOIN nodes n ON n.node = r.b GROUP BY 1
+), found AS (SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(first, doc_id) AS component_id FROM sets LEFT JOIN nodes USING (s) LEFT JOIN firsts USING (node))
+SELECT {columns} FROM found"""
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte: eight shifts."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in out]
+    return out
+
+
+def _nibble(at: str) -> str:
+    return f"(ord(substr(h, {at}, 1)) & 15) + CASE WHEN ord(substr(h, {at}, 1)) > 57 THEN 9 ELSE 0 END"
+
+
+def _resample_sql(r: resample.Resampler) -> str:
+    """Features as text, the CRC-32 of each different one by a table of bytes, and the rest by the contract's formulas."""
+    size = [f"greatest(len(w) - {k}, 0)" for k in range(r.ngram)]
+    runs = ", ".join(f"list_transform(range(1, len(w) - {k - 1}), lambda i: " + " || ' ' || ".join(f"w[i + {j}]" for j in range(k + 1)) + ")" for k in range(r.ngram))
+    return f"""
+WITH texts AS (SELECT 'raw' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'target', item_id, text FROM benchmark
+), words AS (
+  SELECT side, id, row_number() OVER () AS row, list_filter(string_split_regex({_LOWERED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM texts
+), runs AS (SELECT side, row, unnest(list_concat({runs})) AS f FROM words
+), counted AS (SELECT side, row, f, count(*) AS n FROM runs GROUP BY ALL
+), hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(h), 2), lambda i: 16 * ({_nibble("i")}) + {_nibble("i + 1")})),
+    lambda a, b: xor(a >> 8, list_extract({_crc_table()}::BIGINT[], (xor(a, b) & 255) + 1)))) % {r.buckets} AS bucket FROM hexed
+), sums AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'raw'), 0) AS s, coalesce(sum(n) FILTER (side = 'target'), 0) AS t FROM counted JOIN hashed USING (f) GROUP BY 1
+), gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + {r.buckets})::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + {r.buckets})::DOUBLE)))::BIGINT AS g FROM sums
+), weights AS (SELECT row, sum(n * g) AS weight FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY 1
+), scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, ({" + ".join(size)})::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('{r.seed}:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5e0) / 4294967296e0)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (row) WHERE side = 'raw'
+), placed AS (SELECT *, CASE WHEN n_words >= {r.least_words} THEN row_number() OVER (PARTITION BY n_words >= {r.least_words} ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (n_words >= {r.least_words}) OVER () AS most FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {r.percent} * most // 100 THEN place END AS rank FROM placed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op9_top_k": OP9_SQL, "op13_conversation_trie": OP13_SQL}
+    return {
+        "op4_chat_format": OP4_SQL, "op6_ngram_join": _join_sql(SHINGLES, "doc_id, n_shingles, component_id"), "op9_top_k": OP9_SQL,
+        "op11_importance_resampling": _resample_sql(resample.Resampler()),
+        "op12_minhash_dedup": _join_sql(NEAR_DEDUP, "doc_id, n_shingles, component_id, coalesce(doc_id = component_id, component_id IS NULL) AS kept"), "op13_conversation_trie": OP13_SQL,
+    }
