@@ -31,8 +31,6 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Bounds of the training sample: labelled rows in all, and windows that a row gives.
 MAX_ROWS, WINDOWS_A_ROW = 6_000, 3
-#: Languages that the network tells apart, at most: those with the most labelled rows.
-MAX_CLASSES = 500
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _SEED = 20_231
@@ -173,19 +171,22 @@ def held_out(id_col: Column) -> Column:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     """Train on at most about ``max_rows`` labelled rows that are not held out, as many of each language.
 
-    Which rows are taken hangs on a hash of id and text alone, so a rerun takes the same ones. Each
-    gives up to ``WINDOWS_A_ROW`` windows spread over the whole text, and a shorter piece of one of
-    them, so that short texts are met in training too. The driver gets these windows only.
+    Which rows are taken hangs on a hash of id and text alone, so a rerun takes the same ones. A sample
+    of ``max_rows`` rows can't hold more languages than rows: only of more than that, those with the
+    most rows are learned. Each row gives up to ``WINDOWS_A_ROW`` windows spread over the whole text,
+    and a shorter piece of one of them, so that short texts are met in training too. The driver gets
+    these windows only.
     """
     rows = df.select(df[doc_id].alias("id"), df[text].alias("text"), df[lang].alias("lang")).where("text is not null and lang is not null").where(~held_out(F.col("id")))
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_CLASSES)
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows)
     found = {r["lang"]: r["n"] for r in most.collect()}
     classes = sorted(found)
     if not classes:
         return Model([], [], *[np.zeros(0)] * 3)
-    share = F.create_map(*[F.lit(z) for k in classes for z in (k, min(1.0, max_rows / len(classes) / found[k]))])
+    # A row a language, so no more than max_rows.
+    shares = df.sparkSession.createDataFrame([(k, min(1.0, max_rows / len(classes) / found[k])) for k in classes], "lang string, share double")
     key = F.xxhash64("id", "text")
-    taken = rows.where(F.pmod(key, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).select(key.alias("key"), "text", "lang")
+    taken = rows.join(F.broadcast(shares), "lang").where(F.pmod(key, F.lit(1_000_003)) < F.col("share") * 1_000_003).select(key.alias("key"), "text", "lang")
 
     def cuts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -784,3 +784,12 @@ def test_near_copies_of_repeated_and_missing_ids(spark):
     assert len(b) == 1 and b[0][0] is None and len(g) == 1 and g[0][0] == 4
     assert sorted(k for k in worded if k not in b + g) == [(1, near["c"]), (2, near["a"]), (2, texts["d"]), (2, texts["e"]), (3, texts["f"])]
     assert sorted(map(str, (k for k in kept if k not in worded))) == sorted(map(str, docs[-5:]))
+
+
+def test_languages_are_as_many_as_the_sample_holds(spark):
+    labelled = spark.range(1, 1_201).selectExpr("id AS doc_id", "concat('word', id % 600, ' ', id % 600) AS text", "concat('l', id % 600) AS lang", "'clash' AS share", "1 AS n")
+    seen = {r["lang"] for r in labelled.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    model = langid.fit(labelled)
+    assert len(seen) > 500 and set(model.classes) == seen
+    assert {r["lang_pred"] for r in langid.identify(labelled, model).collect()} <= seen
+    assert len(langid.fit(labelled, max_rows=40).classes) == 40
