@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.series import sums_in_order
+
 #: Corners of a shape's outer ring, its hole, and its other part, from the north-west corner of its field.
 SHAPE = ((("113e-4", "97e-4"), ("4719e-4", "631e-4"), ("4127e-4", "4533e-4"), ("871e-4", "3917e-4")), (("1571e-4", "1333e-4"), ("3119e-4", "1217e-4"), ("2399e-4", "2903e-4")), (("5231e-4", "1019e-4"), ("6791e-4", "3529e-4"), ("4943e-4", "5717e-4")))
 LON0, LAT0, STEP = -13.5, 10.0, 0.05
@@ -24,8 +26,16 @@ def daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An hourly series for each user."""
-    e = table(spark, sf_dir, "events").selectExpr("'series_hourly' AS dataset_id", "cast(date_trunc('hour', ts) AS timestamp_ntz) AS time", "cast(user_id AS double) AS lon", "0e0 AS lat", "value")
-    return e.groupBy("dataset_id", "time", "lon", "lat").agg(F.sum("value").alias("value"))
+    return _events(spark, sf_dir).groupBy("dataset_id", "time", "lon", "lat").agg(F.sum("value").alias("value"))
+
+
+def hourly_cells_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ``seq``, an hour's first event; values are added up by the order of events."""
+    return sums_in_order(_events(spark, sf_dir, "event_id AS seq"), ["dataset_id", "time", "lon", "lat"], ["seq"])
+
+
+def _events(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("'series_hourly' AS dataset_id", "cast(date_trunc('hour', ts) AS timestamp_ntz) AS time", "cast(user_id AS double) AS lon", "0e0 AS lat", "value", *more)
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:

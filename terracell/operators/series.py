@@ -28,8 +28,22 @@ def spell_length(df: DataFrame, threshold: float, keys: tuple[str, ...] = CELL)
     return days.withColumn("_island", island).groupBy(*keys, "_island").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("longest_spell"))
 
 
-def resample(df: DataFrame, resolution: str, reducer: str = "sum", keys: tuple[str, ...] = CELL) -> DataFrame:
-    """A series of longer periods."""
+def sums_in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """A sum of ``value`` for each key, added up row by row in the given order, with the first row's ``order``.
+
+    The last places of a sum of floats depend on the order of its rows, which is another one each time
+    that ``F.sum`` meets them behind a shuffle. A value that is held against a threshold needs one order.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    so_far = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = df.select(*keys, *order, F.row_number().over(w).alias("_n"), so_far.alias("_so_far"))
+    return rows.groupBy(*keys).agg(*(F.min_by(c, "_n").alias(c) for c in order), F.max_by("_so_far", "_n").alias("value"))
+
+
+def resample(df: DataFrame, resolution: str, reducer: str = "sum", keys: tuple[str, ...] = CELL, order: list[str] | None = None) -> DataFrame:
+    """A series of longer periods; sums are added up in the order of the columns ``order``, if given, so that each run ends in the same float."""
+    if order and reducer == "sum":
+        return sums_in_order(df.withColumn("time", periods.truncated(F.col("time"), resolution)), [*keys, "time"], order).drop(*order)
     reduce_ = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "median": F.median}[reducer]
     return df.groupBy(*keys, periods.truncated(F.col("time"), resolution).alias("time")).agg(reduce_("value").alias("value"))
 

@@ -451,7 +451,8 @@ def deaccumulate(spark, sf_dir):
 @query(f"""WITH {_HOURLY}, d AS (SELECT lon, time::DATE AS day, sum(value) AS value FROM hourly GROUP BY ALL), i AS (SELECT lon, day - (row_number() OVER (PARTITION BY lon ORDER BY day))::INTEGER AS island FROM d WHERE value > 50)
 SELECT lon, max(n) AS longest_spell FROM (SELECT lon, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1""")
 def spell_length(spark, sf_dir):
-    return series.spell_length(series.resample(fx.hourly_cells(spark, sf_dir), "daily"), 50.0).select("lon", "longest_spell")
+    daily = series.resample(fx.hourly_cells_in_order(spark, sf_dir), "daily", order=["seq"])
+    return series.spell_length(daily, 50.0).select("lon", "longest_spell")
 
 
 def _resample(resolution: str, unit: str) -> None:

@@ -37,3 +37,19 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(registry.queries()) <= set(e.queries())
+
+
+def test_spells_at_the_threshold(spark, tmp_path):
+    """Floats that add up to 50 or to more, depending on how they are grouped: the SQL takes them as they come."""
+    values = ((3.64, 1.49), (23.09, 21.78))
+    assert ((3.64 + 1.49) + 23.09) + 21.78 <= 50 < (3.64 + 1.49) + (23.09 + 21.78)
+    for k, part in enumerate(values):  # a file each, so that a task adds up each part
+        rows = [(2 * k + i, v) for i, v in enumerate(part)] + [(100 + 2 * k, 60.0)] * k
+        df = spark.createDataFrame(rows, "event_id bigint, value double").selectExpr("event_id", "timestamp_ntz '2024-01-01 07:00:00' AS ts", "if(value = 60, 8L, 7L) AS user_id", "value")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["spell_length"](spark, str(tmp_path)).toPandas()
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' ORDER BY event_id")
+    assert normal(got) == normal(c.execute(registry.oracle_sql()["spell_length"]).df())
+    assert got["lon"].tolist() == [8.0]
