@@ -81,9 +81,8 @@ def additions(stored: DataFrame, landed: DataFrame, period_type: str = "daily",
     ingested later. So the store ends up alike, in however many landings rows come. Of the store, only the
     chunks that the landing reaches are read.
     """
-    landed = newest(landed, keys)
     chunk = periods.time_chunk(F.col("time"), period_type)
     reach = landed.select("dataset_id", chunk.alias("time_chunk")).distinct()
-    has = stored.join(reach, _CHUNK, "left_semi").groupBy(*keys).agg(F.max(F.struct(F.isnull("ingested").alias("final"), "ingested")).alias("_has"))
-    new = F.col("_has").isNull() | (~F.col("_has.final") & F.coalesce(F.col("ingested") > F.col("_has.ingested"), F.lit(False)))
-    return landed.join(has, keys, "left").where(new).drop("_has")
+    has = stored.join(reach, _CHUNK, "left_semi").groupBy(*keys).agg(F.max(F.isnull("ingested")).alias("_final"), F.max("ingested").alias("_last"))
+    new = F.col("_final").isNull() | (~F.col("_final") & F.coalesce(F.col("ingested") > F.col("_last"), F.lit(False)))
+    return newest(landed, keys).join(has, keys, "left").where(new).drop("_final", "_last")

@@ -165,3 +165,22 @@ def test_older_file_with_a_larger_value_gives_way(spark, tmp_path):
         grid(spark, [("d", "2024-01-01", 0.0, 0.0, value, None)]).coalesce(1).write.mode("append").parquet(landing)
     stream_sync(spark, landing, root, str(tmp_path / "state")).awaitTermination()
     assert [r["value"] for r in store.newest(store.committed_cells(spark, root)).collect()] == [2.0]
+
+
+def test_a_batch_is_resolved_once(spark, tmp_path, monkeypatch):
+    """A landing is resolved once for what it adds, and a commit is given rows that are kept, as its ranges read them twice."""
+    stored = grid(spark, [("d", "2024-01-02", 0.0, 0.0, 1.0, 5)]).withColumn("time_chunk", F.lit(0).cast("bigint"))
+    new = store.additions(stored, grid(spark, [("d", "2024-01-01", 0.0, 0.0, 1.0, 1)]))
+    assert new._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    given, real = [], store.commit
+
+    def commit(spark, root, name, cells, **more):
+        given.append(cells._jdf.queryExecution().optimizedPlan().toString())
+        return real(spark, root, name, cells, **more)
+
+    monkeypatch.setattr(store, "commit", commit)
+    landing = str(tmp_path / "landing")
+    feb(spark).coalesce(1).write.parquet(landing)
+    stream_sync(spark, landing, str(tmp_path / "store"), str(tmp_path / "state")).awaitTermination()
+    assert len(given) == 1 and "Window" not in given[0] and "LogicalRDD" in given[0]
+    assert store.committed_cells(spark, str(tmp_path / "store")).count() == 10
