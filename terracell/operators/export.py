@@ -11,10 +11,14 @@ FORMATS = ("parquet", "csv", "json")
 
 
 def write_subset(df: DataFrame, path: str, fmt: str = "parquet", one_file: bool = False) -> None:
-    """A subset as files, with a header where the format has one; as one file if it is to be handed over, which one task then writes."""
+    """A subset as files, with a header where the format has one; as one file if it is to be handed over.
+
+    One file is written by one task. It is sent the subset's rows only: the tables are read, and the subset
+    is cut out, by as many tasks as there are splits.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"no export to {fmt}; one of {FORMATS}")
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
+    (df.repartition(1) if one_file else df).write.mode("overwrite").format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
 
 
 def data_values(values: DataFrame, element: str, resolution: str, category: str | None = None, attribute: str | None = None) -> DataFrame:

@@ -331,3 +331,20 @@ def test_publication(spark):
     old = spark.createDataFrame([(None, ((1.0, 2.0, 3.0, 4.0), ("2020", "2021"))), (None, None)], f"request_scope {schemas.REQUEST_SCOPE.simpleString()}, coverage {schemas.COVERAGE.simpleString()}")
     up = catalog.upgraded(old).collect()
     assert up[0]["request_scope"]["start"] == "2020" and up[0]["request_scope"]["bbox"]["xmax"] == 3.0 and up[1]["request_scope"] is None
+
+
+def test_one_file_is_cut_out_by_many_tasks(spark, tmp_path):
+    """The task that writes the file does not read the table."""
+    from pyspark import TaskContext
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        read.add(1 << TaskContext.get().partitionId())
+        yield from batches
+
+    h = grid(spark, [("d", f"2024-01-{d:02d}", float(d), 0.0, 1.0) for d in range(1, 29)]).repartition(4, "lon").mapInPandas(seen, schemas.CELLS)
+    export.write_subset(h, str(tmp_path / "x"), "csv", one_file=True)
+    assert read.value == 0b1111
+    back = spark.read.schema(schemas.CELLS).option("header", True).csv(str(tmp_path / "x"))
+    assert len(list((tmp_path / "x").glob("part-*"))) == 1 and sorted(r["lon"] for r in back.collect()) == [float(d) for d in range(1, 29)]
